@@ -32,17 +32,17 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Entries of the memos; a full memo is emptied, which costs time but no results.
-PIECES, PAIRS = 200_000, 400_000
+#: Entries of the memos; what a full memo forgets costs time but no results.
+PIECES, PAIRS = 150_000, 500_000
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-@lru_cache(maxsize=1)
-def _classes() -> dict[str, str]:
-    """Unicode's letters, numbers and white space as the inside of a character class."""
+@lru_cache(maxsize=2)
+def _classes(top: int) -> dict[str, str]:
+    """Unicode's letters, numbers and white space below ``top`` as the inside of a character class."""
 
     def ranges(belongs) -> str:
-        codes = [c for c in range(0x110000) if belongs(unicodedata.category(chr(c)), c)]
+        codes = [c for c in range(top) if belongs(unicodedata.category(chr(c)), c)]
         starts = [c for c, before in zip(codes, [-2, *codes]) if c != before + 1]
         ends = [c for c, after in zip(codes, [*codes[1:], -2]) if c + 1 != after]
         return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(starts, ends))
@@ -54,14 +54,14 @@ def _classes() -> dict[str, str]:
     }
 
 
-def spelled_out(pattern: str) -> str:
-    """``pattern`` for ``re``, which has no ``\\p`` and four more characters in ``\\s``."""
+def spelled_out(pattern: str, top: int = 0x110000) -> str:
+    """``pattern`` for ``re``, which has no ``\\p`` and four more characters in ``\\s``, for texts below ``top``."""
     inside = False
     out = []
     for part in re.findall(r"\\p\{\w\}|\\.|.", pattern):
         if part in "[]":
             inside = part == "["
-        known = _classes().get(part.replace("S", "s"))
+        known = _classes(top).get(part.replace("S", "s"))
         if known is None:
             out.append(part)
         else:
@@ -81,10 +81,19 @@ class Codec:
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self.split = re.compile(spelled_out(pattern)).findall
+        self.narrow, self.wide = (re.compile(spelled_out(pattern, top)).findall for top in (0x100, 0x110000))
         self.spines: dict[int, tuple[list[int], list[int]]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.within: dict[int, tuple[int, int] | None] = {}
+        self.fits: dict[int, bool] = {}
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+
+    def split(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.wide(text)
+        return self.narrow(text)  # the same pattern with shorter classes, which match faster
 
     def merged(self, data: bytes, stop: int = 1) -> list[int]:
         """What the merges make of ``data``, down to ``stop`` parts: for tokens, which are short."""
@@ -128,47 +137,57 @@ class Codec:
                 j += 1
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether the two tokens stay as they are side by side; ``left`` -1: at the start."""
-        known = self.fits.get((left, right))
+        """Whether ``right`` stays as it is after ``left`` (-1: at the start), from the memo if known."""
+        key = (left << 32) + right
+        known = self.fits.get(key)
         if known is None:
             if len(self.fits) >= PAIRS:
                 self.fits.clear()
-            known = self._stay(left, right) if left >= 0 else self.merged(self.tokens[right]) == [right]
-            self.fits[left, right] = known
+            known = self.merged(self.tokens[right]) == [right] if left < 0 else self.compatible(-1, right) and self._stay(left, right)
+            self.fits[key] = known
         return known
 
     def encode_piece(self, data: bytes) -> list[int]:
-        if data in self.ranks:
-            return [self.ranks[data]]
-        options: list[list[tuple[int, int]]] = [[] for _ in data]
-        for end, (size, rank) in self.automaton.iter(data.decode("latin-1")):
-            options[end + 1 - size].append((size, rank))  # shortest first, as ends rise
-        open_at = bytearray(b"\x01") * (len(data) + 1)
+        whole = self.ranks.get(data)
+        if whole is not None:
+            return [whole]
+        n = len(data)
+        longest: list[tuple[int, int]] = [(0, 0)] * n
+        for end, match in self.automaton.iter(data.decode("latin-1")):
+            longest[end + 1 - match[0]] = match  # ends rise, so the longest comes last
+        dead = bytearray(n + 1)
+        fits, compatible, shorter = self.fits, self.compatible, self.shorter
         ids: list[int] = []
-        untried: list[int] = [len(options[0])]  # of the options at each entered place
-        places, place = [0], 0
-        while place < len(data):
-            left = ids[-1] if ids else -1
-            here, k = options[place], untried[-1]
-            while k:
-                k -= 1
-                size, rank = here[k]
-                if open_at[place + size] and self.compatible(-1, rank) and (left < 0 or self.compatible(left, rank)):
-                    break
+        sizes: list[int] = []
+        place, left, match = 0, -1, longest[0]
+        while place < n:
+            while match is not None:
+                size, rank = match
+                if not dead[place + size]:
+                    fit = fits.get((left << 32) + rank)
+                    if compatible(left, rank) if fit is None else fit:
+                        break
+                match = shorter(rank)
+            if match is None:
+                dead[place] = 1
+                place -= sizes.pop()
+                match = shorter(ids.pop())
+                left = ids[-1] if ids else -1
             else:
-                open_at[place] = 0
-                places.pop()
-                untried.pop()
-                ids.pop()
-                place = places[-1]
-                continue
-            untried[-1] = k
-            ids.append(rank)
-            place += size
-            places.append(place)
-            untried.append(len(options[place]) if place < len(data) else 0)
+                ids.append(rank)
+                sizes.append(size)
+                place += size
+                left = rank
+                match = longest[place] if place < n else None
         return ids
 
+    def shorter(self, token: int) -> tuple[int, int] | None:
+        """The longest token that ``token`` begins with, with its size."""
+        if token not in self.within:
+            data = self.tokens[token]
+            self.within[token] = next(((k, self.ranks[data[:k]]) for k in range(len(data) - 1, 0, -1) if data[:k] in self.ranks), None)
+        return self.within[token]
+
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.split(text) for i in self.encode_piece(piece.encode())]
 
@@ -176,11 +195,14 @@ class Codec:
         return b"".join(self.tokens[i] for i in ids)
 
     def _piece(self, piece: str) -> tuple[bytes, bytes]:
-        if len(self.pieces) >= PIECES:
-            self.pieces.clear()
-        ids = self.encode_piece(piece.encode())
-        made = ",".join(map(str, ids)).encode(), self.decode(ids)
+        """What a new piece becomes; kept, unless it is long, until twice PIECES others were met."""
+        made = self.older.get(piece)
+        if made is None:
+            ids = self.encode_piece(piece.encode())
+            made = ",".join(map(str, ids)).encode(), self.decode(ids)
         if len(piece) <= 64:
+            if len(self.pieces) >= PIECES:
+                self.older, self.pieces = self.pieces, {}
             self.pieces[piece] = made
         return made
 
