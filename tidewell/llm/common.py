@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space as the word counts of this package see it.
@@ -45,8 +46,25 @@ def settle(df: DataFrame) -> DataFrame:
 
 def words(text) -> F.Column:
     """The words of a text column (null: none), natively."""
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " ")
-    return F.array_remove(parts, "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
+
+
+def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, bucket: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows before, in order of bucket and then ``order``.
+
+    Two levels, so that no task holds more of a hot key than one bucket's rows, or one
+    row for each of its buckets.
+    """
+    inside = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    above = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_sum"))
+    sums = sums.select(*keys, bucket, F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_before"))
+    return (
+        df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(sums, [*keys, bucket])
+        .withColumn(name, F.col("_before") + F.col("_inside"))
+        .drop("_before", "_inside")
+    )
 
 
 def least_labels(links: DataFrame) -> DataFrame:

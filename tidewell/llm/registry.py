@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from tidewell.llm.bpe import op7_bpe
+from tidewell.llm.quality import op6_quality
 from tidewell.llm.simhash import op4_simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_simhash, op7_bpe)}
+    return {f.__name__: f for f in (op4_simhash, op6_quality, op7_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
