@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from tidewell.llm.bpe import op7_bpe
+from tidewell.llm.mixing import op9_mixing
+from tidewell.llm.pii import op10_pii
 from tidewell.llm.quality import op6_quality
 from tidewell.llm.simhash import op4_simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_simhash, op6_quality, op7_bpe)}
+    return {f.__name__: f for f in (op4_simhash, op6_quality, op7_bpe, op9_mixing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
