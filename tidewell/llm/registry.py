@@ -9,11 +9,12 @@ from tidewell.llm.neighbours import op3_neighbours
 from tidewell.llm.pii import op10_pii
 from tidewell.llm.quality import op6_quality
 from tidewell.llm.simhash import op4_simhash
+from tidewell.llm.suffixes import op2_suffixes
 from tidewell.llm.warc import op8_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_neighbours, op4_simhash, op5_langid, op6_quality, op7_bpe, op8_warc, op9_mixing, op10_pii)}
+    return {f.__name__: f for f in (op2_suffixes, op3_neighbours, op4_simhash, op5_langid, op6_quality, op7_bpe, op8_warc, op9_mixing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
