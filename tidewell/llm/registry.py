@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidewell.llm.bpe import op7_bpe
 from tidewell.llm.langid import op5_langid
+from tidewell.llm.licences import op1_licences, oracle as licences_sql
 from tidewell.llm.mixing import op9_mixing
 from tidewell.llm.neighbours import op3_neighbours
 from tidewell.llm.pii import op10_pii
@@ -14,8 +15,8 @@ from tidewell.llm.warc import op8_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_suffixes, op3_neighbours, op4_simhash, op5_langid, op6_quality, op7_bpe, op8_warc, op9_mixing, op10_pii)}
+    return {f.__name__: f for f in (op1_licences, op2_suffixes, op3_neighbours, op4_simhash, op5_langid, op6_quality, op7_bpe, op8_warc, op9_mixing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_licences": licences_sql()}
