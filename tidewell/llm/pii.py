@@ -41,10 +41,10 @@ FAST = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "id": r"(?<![A-Za-z0-9])[A-Za-z]{0,8}+[0-9](?:[\x20().+@:_/-]?[A-Za-z0-9])++",
+    "id": r"(?<![A-Za-z0-9])[A-Za-z]{0,8}+[0-9](?:[\x20().+:_/-]{0,2}[0-9]|[A-Za-z])++",
 }
 #: What a text must hold for a pattern to be tried.
-NEED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]", "id": r"[0-9](?:[^0-9\s]{0,2}[0-9]){4}"}
+NEED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]", "id": r"(?:[0-9][^0-9]*+){5}"}
 KINDS = ("email", "ip", "card", "phone")
 DIGITS = 5
 ROUNDS = 3
@@ -113,7 +113,7 @@ def occurrences(each: DataFrame) -> DataFrame:
     ends = F.max(base("end")).over(sweep.rowsBetween(W.unboundedPreceding, 0))
     starts = F.min(base("start")).over(sweep.rowsBetween(0, W.unboundedFollowing))
     df = each.withColumn("base", F.coalesce(ends > F.col("start"), F.lit(False)) | F.coalesce(starts < F.col("end"), F.lit(False)))
-    df = df.where("kind = 'id'")
+    df = df.where("kind = 'id'").withColumn("before", F.regexp_replace("before", r"[^\p{L}\p{N}]+$", "")).withColumn("after", F.regexp_replace("after", r"^[^\p{L}\p{N}]+", ""))
     word = lambda c, k: F.regexp_extract(c, r"([^\s]+)\s+([^\s]+)\s*$", k)
     near = F.regexp_extract("before", r"([^\s]+)\s*$", 1)
     after = F.regexp_extract("after", r"^\s*([^\s]+)", 1)
