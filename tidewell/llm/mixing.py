@@ -122,17 +122,18 @@ def mixed(docs: DataFrame) -> DataFrame:
     pieces = taken_pieces(sizes, targets(sizes))
     by_row = pieces.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("pieces"))
     plan = sizes.join(by_row, "rid").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key"), "pieces", "size", "rid"
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__key"),
+        F.col("pieces").alias("__pieces"), F.col("size").alias("__size"),
     )
-    own = docs.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_text_key"])
-    same = own.doc_id.eqNullSafe(plan._id) & own.source.eqNullSafe(plan._source) & (own._text_key == plan._key)
-    df = own.join(plan, same).withColumn("_w", words(F.col("text"))).withColumn("_pass", F.explode(F.array(F.lit(1), F.lit(2))))
+    own = docs.withColumn("__text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__text_key"])
+    same = own.doc_id.eqNullSafe(plan["__id"]) & own.source.eqNullSafe(plan["__source"]) & (own["__text_key"] == plan["__key"])
+    df = own.join(plan, same).withColumn("__w", words(F.col("text"))).withColumn("__pass", F.explode(F.array(F.lit(1), F.lit(2))))
     part = F.transform(
-        F.filter("pieces", lambda p: p["times"] >= F.col("_pass")),
-        lambda p: F.slice(F.col("_w"), (p["first"] + 1).cast("int"), p["words"].cast("int")),
+        F.filter("__pieces", lambda p: p["times"] >= F.col("__pass")),
+        lambda p: F.slice(F.col("__w"), (p["first"] + 1).cast("int"), p["words"].cast("int")),
     )
-    df = df.withColumn("_part", F.flatten(part)).where("size(_part) > 0")
-    df = df.withColumn("text", F.when(F.size("_part") == F.col("size"), F.col("text")).otherwise(F.array_join("_part", " ")))
+    df = df.withColumn("__part", F.flatten(part)).where("size(__part) > 0")
+    df = df.withColumn("text", F.when(F.size("__part") == F.col("__size"), F.col("text")).otherwise(F.array_join("__part", " ")))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return df.select(*docs.columns)

@@ -157,10 +157,10 @@ def find(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with each span, or run of overlapping spans, replaced by its first kind in brackets."""
     found = find(docs).where("size(spans) > 0").dropDuplicates(["doc_id", "text_key"])
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans")
-    df = docs.join(found, docs.doc_id.eqNullSafe(found._id) & (F.xxhash64(docs.text) == found._key), "left")
+    found = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
+    df = docs.join(found, docs.doc_id.eqNullSafe(found["__id"]) & (F.xxhash64(docs.text) == found["__key"]), "left")
     step = F.aggregate(
-        "spans",
+        "__spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda a, s: F.when(
             s["start"] >= a["at"],
@@ -171,7 +171,7 @@ def redacted(docs: DataFrame) -> DataFrame:
         ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))),
     )
-    df = df.withColumn("text", F.when(F.col("spans").isNotNull(), step).otherwise(F.col("text")))
+    df = df.withColumn("text", F.when(F.col("__spans").isNotNull(), step).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return df.select(*docs.columns)
