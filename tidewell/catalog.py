@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,7 +79,7 @@ def _tenants(spark, d):
 
 def _csv_round(spark, d):
     """Transactions written as CSV and read again with the strict reader."""
-    path = tempfile.mkdtemp(prefix="tidewell-csv-") if spark.sparkContext.master.startswith("local") else f"{spark.sparkContext.getCheckpointDir()}/csv"
+    path = _scratch(spark, "csv")
     full = tx(spark, d).select(
         "timestamp", "from_bank", "from_account", "to_bank", "to_account", F.col("amount_paid").alias("amount_received"),
         F.col("payment_currency").alias("receiving_currency"), "amount_paid", "payment_currency", "payment_format", F.lit("0").alias("is_laundering"),
@@ -88,11 +89,10 @@ def _csv_round(spark, d):
 
 
 def _scratch(spark, what: str) -> str:
+    """A new path in the folder that all executors share; a local one only where the session names none."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if root is None:
         return tempfile.mkdtemp(prefix=f"tidewell-{what}-")
-    import uuid
-
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
