@@ -3,9 +3,9 @@
 A text's features are the shares of its hashed byte trigrams (lower case, words apart).
 A linear support vector machine for each pair of families, and for each pair of languages
 of a family, is trained by stochastic subgradient steps on a bounded sample: at most
-``PER_LANGUAGE`` labelled documents of each language, those whose hashed ids come first. The
-feature vectors are made by the executors; the driver receives ``FEATURES`` numbers for
-each sampled row. Prediction adds up trigram weights over whole texts: first the family
+``PER_LANGUAGE`` labelled documents of each language, those whose hashed ids come first
+(rows that share an id count once, with the least text). The feature vectors are made by
+the executors; the driver receives ``FEATURES`` numbers for each sampled row. Prediction adds up trigram weights over whole texts: first the family
 that wins most pairs, then the language that does within it (ties: the larger sum of
 margins). ``score`` is the logistic of the narrowest margin by which the winners won.
 
@@ -69,9 +69,9 @@ def shares(text: str) -> np.ndarray:
     return (total / max(1, total.sum())).astype(np.float32)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
+@F.pandas_udf(T.BinaryType())
 def shares_of(texts: pd.Series) -> pd.Series:
-    return pd.Series([shares(t) for t in texts], dtype=object)
+    return pd.Series([shares(t).tobytes() for t in texts], dtype=object)
 
 
 def svm(x: np.ndarray, y: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
@@ -145,10 +145,12 @@ def held_out(doc_id):
 def train(docs: DataFrame) -> Model:
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # At most PER_LANGUAGE ids for each language: what is broadcast does not grow with the rows.
     chosen = rows.select("lang", "doc_id").withColumn("k", first).where(F.col("k") <= PER_LANGUAGE).select("doc_id").distinct()
-    sample = rows.join(chosen, "doc_id", "left_semi").select("lang", F.xxhash64("doc_id", "text").alias("order"), shares_of("text").alias("x"))
-    found = sorted(sample.toPandas().itertuples(index=False), key=lambda r: (r.lang, r.order))
-    return Model([(r.lang, np.asarray(r.x, np.float32)) for r in found])
+    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    sample = sample.select("lang", F.xxhash64("doc_id", "text").alias("order"), shares_of("text").alias("x"))
+    found = sorted(sample.collect(), key=lambda r: (r.lang, r.order))
+    return Model([(r.lang, np.frombuffer(r.x, np.float32)) for r in found])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
