@@ -44,13 +44,13 @@ LENGTH = 100
 GRAM = 40
 SPAN = LENGTH - GRAM + 1  # grams in a window
 HOT = 50_000
-SLICE_BYTES, PARTITION_BYTES = 8 << 20, 32 << 20
+SLICE_BYTES, PARTITION_BYTES = 8 << 20, 8 << 20
 _PLACE = np.uint64((1 << 31) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LAST_ID = np.iinfo(np.int64).max
 
-RUN = "part int, n int, shared binary, sizes binary, rest binary, lefts binary, owners binary, more binary"
+RUN = "part int, size long, packed binary"
 SPANS = "slice int, doc_id long, text_key long, start long, end long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -197,11 +197,11 @@ def _runs(parts: int):
                 rows = [x[1] for x in kept]
                 shared = _shared(rows)
                 owners = np.array([(x[4], x[5], x[6], x[3], len(x[2]), slice_no) for x in kept], np.int64)
-                out.append((
-                    part, len(kept), shared.astype(np.uint8).tobytes(), bytes(map(len, rows)), b"".join([r[n:] for r, n in zip(rows, shared.tolist())]),
-                    b"".join([x[2] for x in kept]), owners.tobytes(), np.array(more, np.int64).reshape(-1, 4).tobytes(),
-                ))
-        columns = list(zip(*out)) if out else [[]] * 8
+                out.append((part, *_packed([
+                    shared.astype(np.uint8).tobytes(), bytes(map(len, rows)), b"".join([r[n:] for r, n in zip(rows, shared.tolist())]),
+                    b"".join([x[2] for x in kept]), owners.T.tobytes(), np.array(more, np.int64).reshape(-1, 4).T.tobytes(),
+                ])))
+        columns = list(zip(*out)) if out else [[]] * 3
         return pa.table({name: pa.array(c, t) for (name, t), c in zip(_RUN, columns)})
 
     return sort
@@ -217,7 +217,19 @@ def _first_of_each(docs: pa.Table) -> pa.Table:
     return docs if len(keep) == docs.num_rows else docs.take(keep)
 
 
-_RUN = [("part", pa.int32()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("shared", "sizes", "rest", "lefts", "owners", "more")]]
+_RUN = [("part", pa.int32()), ("size", pa.int64()), ("packed", pa.binary())]
+
+
+def _packed(parts: list[bytes]) -> tuple[int, bytes]:
+    """Byte strings as one, compressed, and its size before that."""
+    whole = np.array([*map(len, parts)], np.int64).tobytes() + b"".join(parts)
+    return len(whole), pa.compress(whole, "zstd", asbytes=True)
+
+
+def _unpacked(size: int, packed: bytes, count: int) -> list[bytes]:
+    whole = pa.decompress(packed, size, "zstd", asbytes=True)
+    ends = 8 * count + np.cumsum([0, *np.frombuffer(whole, np.int64, count)])
+    return [whole[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 class LoserTree:
@@ -319,17 +331,18 @@ def repeated(shared: np.ndarray, lefts: np.ndarray, owners: np.ndarray) -> np.nd
 def _merge(runs: pa.Table) -> pa.Table:
     """Merge a partition's runs and report the spans of repeated windows."""
     lists, lefts, owners, more = [], [], [], []
-    for row in runs.to_pylist():
-        shared = list(row["shared"])
-        lists.append((_decoded(row["sizes"], shared, row["rest"]), shared))
-        own = np.frombuffer(row["owners"], np.int64).reshape(-1, 6)
+    for size, packed in zip(runs.column("size").to_pylist(), runs.column("packed")):
+        known, sizes, rest, left, owned, again = _unpacked(size, packed.as_py(), 6)
+        shared = list(known)
+        lists.append((_decoded(sizes, shared, rest), shared))
+        own = np.frombuffer(owned, np.int64).reshape(6, -1).T
         owners.append(own)
         grid = np.zeros((len(own), SPAN), np.uint8)
         ends = np.cumsum(own[:, 4])
         for k, (size, end) in enumerate(zip(own[:, 4].tolist(), ends.tolist())):
-            grid[k, :size] = np.frombuffer(row["lefts"], np.uint8, size, end - size)[::-1]
+            grid[k, :size] = np.frombuffer(left, np.uint8, size, end - size)[::-1]
         lefts.append(grid)
-        more.append(np.frombuffer(row["more"], np.int64).reshape(-1, 4))
+        more.append(np.frombuffer(again, np.int64).reshape(4, -1).T)
     order, shared = LoserTree(lists).order()
     order, shared = np.array(order, np.int64), np.array(shared, np.int64)
     base = np.cumsum([0, *[len(o) for o in owners]])
