@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: White space as the word counts of this package see it.
 SPACE = r"[\x20\x09-\x0D]"
 
+#: Most rows of numbers and names that are broadcast.
+SMALL_ROWS = 50_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,6 +47,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_small(df: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """``df`` joined with ``few`` (settled), which is broadcast if it is counted to be small.
+
+    So a hot key's rows stay where they are. A larger ``few`` is joined by key, and adaptive
+    execution splits the hot ones.
+    """
+    return df.join(F.broadcast(few) if few.count() <= SMALL_ROWS else few, on, how)
+
+
 def words(text) -> F.Column:
     """The words of a text column (null: none), natively."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

@@ -17,7 +17,9 @@ All is DataFrame expressions. The distances are cut at a share of the group by
 counting them in narrow logarithmic bins, so that no task sorts a group; sums are of
 whole numbers, so that their order does not matter.
 
-Defined cases: a null or wordless text has zero counts and fails; null languages or
+Defined cases: a null or wordless text has zero counts and fails; a group too small for any
+start to draw a row of it has no estimate, and its texts are kept unless the base rule
+fails them; null languages or
 sources are groups of their own; repeated rows count as often as they occur; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import SPACE, settle, table, words
+from tidewell.llm.common import SPACE, join_small, settle, table, words
 
 MIN_WORDS = 10
 WINDOW = 5
@@ -88,10 +90,12 @@ def _vectors(counted: DataFrame) -> DataFrame:
     """Each row with its group's name ``g`` and its vector ``x0 ...`` in whole units."""
     own = F.to_json(F.struct("lang", "source"))
     sizes = counted.groupBy(own.alias("_own")).agg(F.count("*").alias("_n"), F.first("lang").alias("_lang"))
-    names = sizes.select("_own", F.when(F.col("_n") >= MIN_GROUP, F.col("_own")).otherwise(F.to_json(F.struct(F.col("_lang").alias("pooled")))).alias("g"))
-    df = counted.withColumn("_own", own).join(names, "_own").drop("_own")
-    typical = df.where("not base_failed").groupBy("g").agg((F.sum("word_chars") / F.sum("n_words")).alias("_typical"))
-    df = df.join(typical, "g", "left")
+    names = settle(
+        sizes.select("_own", F.when(F.col("_n") >= MIN_GROUP, F.col("_own")).otherwise(F.to_json(F.struct(F.col("_lang").alias("pooled")))).alias("g"))
+    )
+    df = join_small(counted.withColumn("_own", own), names, "_own").drop("_own")
+    typical = settle(df.where("not base_failed").groupBy("g").agg((F.sum("word_chars") / F.sum("n_words")).alias("_typical")))
+    df = join_small(df, typical, "g", "left")
     n = F.col("n_words") + PRIOR
     chars = F.col("word_chars") + 5 * PRIOR
     rates = (
@@ -104,15 +108,22 @@ def _vectors(counted: DataFrame) -> DataFrame:
     return df.withColumns({f"x{k}": F.round(x * UNIT).cast("long") for k, x in enumerate(rates)}).drop("_typical")
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
-    """Per group and start: the mean ``m0 ...`` and the factor ``l00 ...`` of the covariance."""
-    exact = lambda x: F.sum(x.cast("decimal(20,0)")).cast("double")
+def _sums(rows: DataFrame, *keys: str) -> DataFrame:
+    """Per ``keys``: the number ``n`` of rows, the sums ``m0 ...`` of values and ``c00 ...`` of products, exactly."""
+    exact = lambda x: F.sum(x.cast("decimal(20,0)"))
     x = [F.col(f"x{k}") for k in range(DIM)]
-    sums = [F.count("*").alias("n"), *[exact(x[i]).alias(f"m{i}") for i in range(DIM)], *[exact(x[i] * x[j]).alias(f"c{i}{j}") for i, j in PAIRS]]
-    df = rows.groupBy("g", "start").agg(*sums)
-    df = df.withColumns({f"m{i}": F.col(f"m{i}") / F.col("n") for i in range(DIM)})
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), *[exact(x[i]).alias(f"m{i}") for i in range(DIM)], *[exact(x[i] * x[j]).alias(f"c{i}{j}") for i, j in PAIRS]
+    )
+
+
+def _estimate(sums: DataFrame) -> DataFrame:
+    """Per group and start: the mean ``m0 ...`` and the factor ``l00 ...`` of the covariance."""
+    df = sums.withColumns({f"m{i}": F.col(f"m{i}").cast("double") / F.col("n") for i in range(DIM)})
     floor = lambda i, j: F.lit((FLOORS[i] * UNIT) ** 2 if i == j else 0.0)
-    df = df.withColumns({f"c{i}{j}": F.col(f"c{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + floor(i, j) for i, j in PAIRS})
+    df = df.withColumns(
+        {f"c{i}{j}": F.col(f"c{i}{j}").cast("double") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + floor(i, j) for i, j in PAIRS}
+    )
     for i, j in PAIRS:  # Cholesky, row by row
         rest = F.col(f"c{i}{j}")
         for k in range(j):
@@ -123,8 +134,8 @@ def _estimate(rows: DataFrame) -> DataFrame:
 
 
 def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """``rows`` with ``d2``, the squared Mahalanobis distance to their group's estimate."""
-    df = rows.join(estimates, "g")
+    """``rows`` with ``d2``, the squared Mahalanobis distance to their group's estimate (null: it has none)."""
+    df = join_small(rows, estimates, "g", "left")
     for i in range(DIM):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(i):
@@ -134,14 +145,17 @@ def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return df.withColumn("d2", d2).drop("volume", *[f"{c}{i}" for c in "mz" for i in range(DIM)], *[f"l{i}{j}" for i, j in PAIRS])
 
 
-def _nearest(rows: DataFrame, share: float) -> DataFrame:
-    """Of each group and start, the rows with the least ``d2``: at least ``share`` of them."""
-    rows = rows.withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-9) * 16).cast("int"))
-    upto = W.partitionBy("g", "start").orderBy("bin")
-    bins = rows.groupBy("g", "start", "bin").agg(F.count("*").alias("n"))
-    bins = bins.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("all", F.sum("n").over(W.partitionBy("g", "start")))
-    last = bins.where(F.col("before") < share * F.col("all")).groupBy("g", "start").agg(F.max("bin").alias("last"))
-    return rows.join(last, ["g", "start"]).where("bin <= last")
+def _core(rows: DataFrame, share: float) -> DataFrame:
+    """Per group and start, the sums over the rows with the least ``d2``: at least ``share`` of them.
+
+    Rows are added up by bin of their distance, in the tasks that read them; only the
+    bins' sums move.
+    """
+    bins = _sums(rows.where("d2 is not null").withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-9) * 16).cast("int")), "g", "start", "bin")
+    every = W.partitionBy("g", "start")
+    bins = bins.withColumn("before", F.sum("n").over(every.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(every))
+    near = bins.where(F.col("before") < share * F.col("all"))
+    return near.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in near.columns if c not in ("g", "start", "bin", "before", "all")])
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
@@ -149,9 +163,9 @@ def estimates(vectors: DataFrame) -> DataFrame:
     vectors = vectors.select("g", "row_hash", *[f"x{k}" for k in range(DIM)])
     started = vectors.withColumn("start", F.explode(F.array(*[F.lit(s) for s in range(STARTS)])))
     half = F.pmod(F.xxhash64("row_hash", "start"), F.lit(2)) == 0
-    found = settle(_estimate(started.where(half)))
+    found = settle(_estimate(_sums(started.where(half), "g", "start")))
     for _ in range(STEPS):
-        found = settle(_estimate(_nearest(_distance(vectors, found), CORE)))
+        found = settle(_estimate(_core(_distance(vectors, found), CORE)))
     tightest = F.row_number().over(W.partitionBy("g").orderBy("volume", "start"))
     return settle(found.withColumn("_k", tightest).where("_k = 1").drop("_k"))
 
@@ -160,13 +174,9 @@ def judge(docs: DataFrame) -> DataFrame:
     """Every document's counts, ``base_failed``, distance ``d2`` and verdict ``kept``; no text."""
     need = docs.select("doc_id", "text", "lang", "source")
     counted = settle(with_counts(need))
-    vectors = _vectors(counted).withColumn("row_hash", F.xxhash64("doc_id", "text_key"))
-    vectors = settle(vectors)
-    passed = vectors.where("not base_failed")
-    far = _distance(vectors, estimates(passed).drop("start"))
-    judged = far.withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= CUTOFF))
-    lone = vectors.join(passed.select("g").distinct(), "g", "left_anti")  # groups in which all fail
-    return judged.unionByName(lone.withColumn("d2", F.lit(None).cast("double")).withColumn("kept", F.lit(False)))
+    vectors = settle(_vectors(counted).withColumn("row_hash", F.xxhash64("doc_id", "text_key")))
+    judged = _distance(vectors, estimates(vectors.where("not base_failed")).drop("start"))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
