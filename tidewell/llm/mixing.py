@@ -24,6 +24,8 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,8 +37,8 @@ SHARE, MOST = 1.5, 2.0
 BLOCK, SHARD = 128, 1024
 ROUNDS = 24
 SEED = 7
-#: Rows that one row of a running total or of a slot generator stands for.
-BUCKET_ROWS = 4096
+#: Slots that one row of the slot generator stands for, and that one task deals at most.
+RUN_SLOTS, TASK_SLOTS = 4096, 1 << 18
 
 
 def permuted(x, n, *names):
@@ -69,7 +71,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     level = (SHARE * F.sum("source_size").over(everywhere) - sum_before("limit")) / (F.sum("weight").over(everywhere) - sum_before("weight"))
     levelled = ranked.withColumn("level", level)
     enough = levelled.where(F.col("level") * F.col("weight") <= F.col("limit")).agg(F.min_by("level", F.struct(F.col("limit") / F.col("weight"), "rank")).alias("final"))
-    df = levelled.crossJoin(F.broadcast(enough))  # one row
+    df = levelled.crossJoin(F.broadcast(enough))  # an aggregate: one row
     df = df.withColumn("target", F.least("limit", F.coalesce("final", "level") * F.col("weight")))
     df = df.withColumn("n_blocks", F.ceil(F.col("source_size") / BLOCK).cast("long"))
     slots = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))).otherwise(0)
@@ -79,19 +81,26 @@ def targets(sizes: DataFrame) -> DataFrame:
     return settle(df.select("source", "rank", "source_size", "target", "n_blocks", "slots", "first_slot", "all_slots"))
 
 
-def shard_counts(sources: DataFrame) -> DataFrame:
+def shard_counts(sources: DataFrame, tasks: int) -> DataFrame:
     """``(shard, rank, n)``: the slots that each source gets in each output shard."""
-    run = sources.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("slots") - 1, F.lit(BUCKET_ROWS))).alias("run")).repartition("rank", "run")
-    slot = F.explode(F.sequence(F.col("run"), F.least(F.col("run") + BUCKET_ROWS, "slots") - 1))
+    run = sources.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("slots") - 1, F.lit(RUN_SLOTS))).alias("run"))
+    run = run.repartition(tasks, "rank", "run")
+    slot = F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN_SLOTS, "slots") - 1))
     dealt = run.select("rank", "first_slot", "all_slots", slot.alias("k"))
     place = permuted(F.col("first_slot") + F.col("k"), F.col("all_slots"), F.lit("deal"))
     return dealt.select("rank", F.floor(place / SHARD).cast("long").alias("shard")).groupBy("shard", "rank").agg(F.count("*").alias("n"))
 
 
 def mix(sources: DataFrame) -> DataFrame:
-    """The mix: ``(shard, rank, block)``, a row per slot."""
-    counts = shard_counts(sources).withColumn("bucket", F.floor(F.col("shard") / BUCKET_ROWS))
-    numbered = running_total(counts, ["rank"], ["shard"], "n", "bucket", "before")
+    """The mix: ``(shard, rank, block)``, a row per slot.
+
+    Permuting a slot takes far more time than bytes, so the number of tasks is set from
+    the number of slots.
+    """
+    all_slots = sources.agg(F.max("all_slots")).first()[0] or 0
+    tasks = max(sources.sparkSession.sparkContext.defaultParallelism, all_slots // TASK_SLOTS)
+    counts = settle(shard_counts(sources, tasks)).withColumn("bucket", F.floor(F.col("shard") / (1 + isqrt(all_slots // SHARD))))
+    numbered = running_total(counts, ["rank"], ["shard"], "n", "bucket", "before").repartition(tasks, "rank", "shard")
     slot = F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1))
     slots = numbered.select("shard", "rank", slot.alias("k")).join(sources.select("rank", "n_blocks"), "rank")
     return slots.select("shard", "rank", permuted(F.pmod("k", "n_blocks"), F.col("n_blocks"), F.lit("block"), F.col("rank")).alias("block"))
@@ -99,8 +108,7 @@ def mix(sources: DataFrame) -> DataFrame:
 
 def taken_pieces(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """``(rid, first, words, times)``: each document's part of each block, and how often the mix takes it."""
-    n = sizes.count()
-    buckets = max(1, n // BUCKET_ROWS)
+    buckets = 1 + isqrt(sizes.count())  # as many buckets as rows in each: both levels of the running total stay small
     ranks = sources.select(F.col("source").alias("_source"), "rank")
     df = sizes.where("size > 0").join(ranks, F.col("source").eqNullSafe(F.col("_source")))
     df = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(buckets)))
