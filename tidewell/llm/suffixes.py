@@ -44,7 +44,7 @@ LENGTH = 100
 GRAM = 40
 SPAN = LENGTH - GRAM + 1  # grams in a window
 HOT = 50_000
-SLICE_BYTES, PARTITION_BYTES = 8 << 20, 8 << 20
+SLICE_BYTES, PARTITION_BYTES = 8 << 20, 4 << 20
 _PLACE = np.uint64((1 << 31) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
