@@ -173,6 +173,20 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert kept == {g[0] for g in good}
 
 
+def test_quality_rejects_menus_and_keeps_boilerplate(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    header = line(9)
+    good = [(k, "\n".join(line(12) for _ in range(rng.randint(1, 40))), "en", "s") for k in range(300)]
+    good += [(500 + k, "\n".join([header, *[line(12) for _ in range(rng.randint(8, 20))], header]), "en", "s") for k in range(40)]
+    menus = [(1000 + k, " | ".join(word() for _ in range(rng.randint(15, 160))), "en", "s") for k in range(60)]
+    df = spark.createDataFrame(good + menus, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.keep_good(df).collect()}
+    assert kept == {g[0] for g in good}
+    assert abs(quality.CUTOFF - 20.515) < 0.001 and abs(quality.chi_square(4.3515, 5) - 0.5) < 1e-4
+
+
 def test_quality_estimate_has_the_least_determinant(spark):
     """A concentration step never widens the estimate."""
     rng = random.Random(2)

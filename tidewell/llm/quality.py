@@ -5,12 +5,15 @@ capitals and exclamations). A text fails the base rule if it has under ``MIN_WOR
 words or if over a fifth of its words stand in repeated windows. The counts also
 become a vector of transformed, shrunken rates. For each language and source the
 centre and covariance of the ``CORE`` share of vectors with the least covariance
-determinant are found by concentration steps from several pseudo-random halves; a
-vector whose squared Mahalanobis distance to them is above ``CUTOFF`` is rejected.
+determinant are found by concentration steps from several pseudo-random halves. That
+covariance times ``FACTOR`` is the one of all rows, were they normal; a vector whose
+squared Mahalanobis distance is above ``CUTOFF``, the chi-square quantile ``QUANTILE``,
+is rejected.
 
 Rates are shrunken so that a short text, whose rates scatter, is not mistaken for an
 outlier: as if ``PRIOR`` words of the group's kind were added to it. ``FLOORS`` keeps
-apart from zero the spread of rates that are zero in nearly all texts of a group.
+apart from zero the spread of rates that are zero in nearly all texts of a group: they are
+what chance alone gives a text of ``PRIOR`` words.
 Groups under ``MIN_GROUP`` rows are estimated together, per language.
 
 All is DataFrame expressions. The distances are cut at a share of the group by
@@ -26,6 +29,8 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,13 +40,35 @@ from tidewell.llm.common import SPACE, join_small, settle, table, words
 MIN_WORDS = 10
 WINDOW = 5
 PRIOR = 100
-CORE = 0.75
-CUTOFF = 50.0
+CORE = 0.5
+QUANTILE = 0.999
 MIN_GROUP = 60
 STARTS, STEPS = 3, 4
-#: Least standard deviations of the five rates.
-FLOORS = (0.05, 0.04, 0.08, 0.08, 0.05)
+#: Least standard deviations of the five rates. The root of a rate out of n has one of half the
+#: root of 1 / n; words repeat by ten at least, two windows, and half their mean length is its spread.
+FLOORS = (0.5 / PRIOR**0.5, 0.5 / (5 * PRIOR) ** 0.5, 0.5 / (PRIOR / 10) ** 0.5, 0.5 / (PRIOR / 10) ** 0.5, 0.5 / (5 * PRIOR) ** 0.5)
 DIM = len(FLOORS)
+
+
+def chi_square(x: float, freedom: int) -> float:
+    """The share of the chi-square distribution below ``x``; ``freedom`` is odd."""
+    share, term = math.erf(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    for k in range(1, freedom, 2):
+        share, term = share - term, term * x / (k + 2)
+    return share
+
+
+def chi_square_quantile(share: float, freedom: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, freedom) < share else (low, middle)
+    return low
+
+
+CUTOFF = chi_square_quantile(QUANTILE, DIM)
+#: From the covariance of the core of normal rows to that of all.
+FACTOR = CORE / chi_square(chi_square_quantile(CORE, DIM), DIM + 2)
 #: Rates are held as whole numbers of this part.
 UNIT = 1 << 16
 PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
@@ -122,7 +149,7 @@ def _estimate(sums: DataFrame) -> DataFrame:
     df = sums.withColumns({f"m{i}": F.col(f"m{i}").cast("double") / F.col("n") for i in range(DIM)})
     floor = lambda i, j: F.lit((FLOORS[i] * UNIT) ** 2 if i == j else 0.0)
     df = df.withColumns(
-        {f"c{i}{j}": F.col(f"c{i}{j}").cast("double") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + floor(i, j) for i, j in PAIRS}
+        {f"c{i}{j}": FACTOR * (F.col(f"c{i}{j}").cast("double") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + floor(i, j) for i, j in PAIRS}
     )
     for i, j in PAIRS:  # Cholesky, row by row
         rest = F.col(f"c{i}{j}")
