@@ -1,3 +1,6 @@
+import pytest
+
+from tidewell import catalog
 from tidewell.streaming import runs
 
 
@@ -11,3 +14,10 @@ def test_restart_takes_each_row_once(spark, tmp_path):
         one(1).write.parquet(f"{tmp_path}/in/again{k}")
     runs.drain(runs.deduplicated(runs.numbered(read(), "c")), f"{tmp_path}/out", f"{tmp_path}/state")
     assert sorted(r.a for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_dedup"])
+def test_equal_transactions_all_arrive(spark, monkeypatch, name):
+    rows = [("t", "1", 5.0), ("t", "1", 5.0), ("t", "2", 5.0)]
+    monkeypatch.setattr(catalog, "tx", lambda s, d: s.createDataFrame(rows, "timestamp string, from_bank string, amount_paid double"))
+    assert sorted(map(tuple, catalog.queries()[name](spark, "").collect())) == rows

@@ -12,8 +12,14 @@ from tidewell.params import AggSpec, FilterSpec, QueryParams
 from tidewell.plans import five
 
 
-def numbered(stream: DataFrame, client: str) -> DataFrame:
-    """``stream`` with ``client_id`` and ``msg_id``, a digest of the row: what deliveries are told apart by."""
+def numbered(stream: DataFrame, client: str, sequence: str | None = None) -> DataFrame:
+    """``stream`` with ``client_id`` and ``msg_id``: what deliveries are told apart by.
+
+    ``sequence`` names the column in which the client numbers its messages; it becomes the id, so that
+    equal rows stay apart. Only a stream without one takes a digest of the row, by which equal rows are one.
+    """
+    if sequence is not None:
+        return stream.withColumns({"client_id": F.lit(client), "msg_id": F.col(sequence).cast("string")}).drop(sequence)
     digest = F.sha2(F.to_json(F.struct(*stream.columns)), 256)
     return stream.withColumns({"client_id": F.lit(client), "msg_id": digest})
 
