@@ -129,6 +129,28 @@ def test_neighbours_recall(spark):
     assert hit >= 0.9 * total
 
 
+def test_neighbours_of_few_and_of_spread_norms(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 400)
+    rng = np.random.default_rng(3)
+    frame = lambda x: spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    few = neighbours.search(frame(rng.standard_normal((15, 64))), F.col("vec_id") >= 0).collect()
+    assert sorted((r.query_id, r.vec_id) for r in few) == [(a, b) for a in range(15) for b in range(15) if a != b]
+    x = rng.standard_normal((600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:300] *= 2.0 ** rng.uniform(-1, 0, (300, 1))
+    x[7] *= 10
+    got = defaultdict(set)
+    for r in neighbours.search(frame(x), F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for k in range(0, 600, 20):
+        score = x @ x[k]
+        score[k] = -np.inf
+        assert len(got[k]) == 20
+        hit += len(got[k] & set(np.argsort(-score)[:20].tolist()))
+    assert hit >= 0.9 * 600
+
+
 def test_neighbours_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "SHARD_ROWS", 8)
     monkeypatch.setattr(neighbours, "QUERY_ROWS", 2)

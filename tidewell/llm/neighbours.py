@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by inner product: multiprobe p-stable hashing.
 
-Inner products become distances: with the largest norm M, a vector ``x`` is hashed as
+Inner products become distances: with M the largest norm, a vector ``x`` is hashed as
 ``(x / M, sqrt(1 - |x|^2 / M^2))`` and a query as ``(q / |q|, 0)``; the nearest by
-distance is then the one with the largest inner product. Each of ``TABLES`` tables hashes
+distance is then the one with the largest inner product. Norms are cut into ranges of
+ratio ``RANGE``, each with an M of its own, so that a few long vectors do not push all others
+to one distance; a query does not depend on M, so the ranges share the tables. Each of ``TABLES`` tables hashes
 by ``HASHES`` Gaussian projections, shifted and cut into cells of ``WIDTH``. A query looks
 into its own bucket and into ``PROBES - 1`` buckets around it, in the order of their
 estimated success: the sum of squared distances from the query to the cell borders that
@@ -14,6 +16,9 @@ largest bucket needs to stay under ``SHARD_ROWS``; a query goes, in blocks of
 ``QUERY_ROWS``, to all slices of the shards in which it has buckets. So each task's rows are bounded
 also where one bucket holds a third of all vectors, and no candidate is dropped.
 
+A query that finds fewer than there are to be had, ``nearest`` or all others, is scored against
+all rows, in the same blocks.
+
 The functions are drawn from a seed; nothing is fitted to the data but M. The probes were
 chosen for a recall of 0.9 on directions that hardly cluster, which takes about half of all
 rows; clustered vectors need fewer.
@@ -40,6 +45,7 @@ from tidewell.llm.common import settle, table
 TABLES, HASHES, WIDTH, PROBES = 6, 8, 2.0, 300
 NEAREST = 20
 SEED = 11
+RANGE = 2**0.25
 SHARD_ROWS, QUERY_ROWS = 20_000, 4096
 #: Queries that are scored against a shard at a time.
 STEP = 128
@@ -112,12 +118,15 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "e
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                x = _matrix(batch["v"]) / top
+                x = _matrix(batch["v"])
+                norm = batch["norm"].to_numpy()
+                longest = top / RANGE ** np.floor((np.log(top) - np.log(norm)) / np.log(RANGE))
+                x /= np.maximum(longest, norm)[:, None]
                 rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
                 keys = functions.keys(np.floor(functions.cells(np.column_stack([x, rest]))))
                 yield pd.DataFrame({"vec_id": batch["vec_id"], "v": batch["v"], "keys": list(keys)})
 
-    entries = rows.select("vec_id", "v").mapInPandas(index, "vec_id long, v array<double>, keys array<long>")
+    entries = rows.select("vec_id", "v", "norm").mapInPandas(index, "vec_id long, v array<double>, keys array<long>")
     entries = settle(entries.select("vec_id", "v", F.posexplode("keys").alias("tab", "key")))
     largest = entries.groupBy("tab", "key").count().agg(F.max("count")).first()[0] or 0
     slices = -(-largest // SHARD_ROWS) or 1
@@ -180,10 +189,24 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "e
         return pd.concat(out)
 
     by = ["shard", "slice", "block"]
-    found = held.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(score, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+
+    def best(held: DataFrame, queries: DataFrame) -> DataFrame:
+        found = held.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(score, "query_id long, vec_id long, score double")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return settle(found.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score"))
+
+    found = best(held, queries)
+    full = found.groupBy("query_id").count().where(F.col("count") >= min(nearest, n - 1))
+    short = settle(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
+    if n < 2 or not (left := short.count()):
+        return found
+    slices, blocks = -(-n // SHARD_ROWS), -(-left // QUERY_ROWS)
+    key, shard = F.lit(0).cast("long"), F.lit(0)
+    every = rows.select("vec_id", "v", key.alias("key"), shard.alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice"))
+    again = short.select("query_id", "q", F.array(key).alias("keys"), shard.alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+    more = best(every.withColumn("block", each(blocks)), again.withColumn("slice", each(slices)))
+    return found.join(short, "query_id", "left_anti").select(*found.columns).union(more)
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
