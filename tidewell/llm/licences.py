@@ -1,9 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 Words are runs of letters, digits and non-ASCII code points, lower case. A text's blocks
-are ``BLOCK`` (64) words long and start every 32 words, so that every passage of up to 32
+are ``BLOCK`` (64) words long and start every ``STEP`` (32) words, so that every passage of up to 32
 words lies in one. A block matches a template if it holds at least ``CONTAINED`` (0.8) of the
-template's different words.
+template's different words. The templates are the sentences of common licenses, in pieces of up to 32
+words, and notices that name one.
 
 The join: the templates' words are ordered by how often the whole corpus has them, rarest
 first. A match of a template of ``n`` words needs ``need = ceil(0.8 n)`` of them, so a
@@ -14,10 +15,12 @@ pairs in which too few words are left after the shared one (position). What rema
 counted exactly. The templates, a parameter, are all that is broadcast; their
 words' counts are all that the driver sees.
 
-The base phrases are looked for apart from this, in whole texts.
+The base phrases are templates of the same join of which a block must hold all words. In the blocks
+that it finds, the words must also stand one after the other. Each place counts in the one
+block in whose first ``STEP`` words it starts.
 
 Defined cases: a null or wordless text has no words and no labels (null first and last
-places, empty strings, score 0); repeated rows are scanned alike; an empty table gives
+places, empty strings, score 0); repeated rows are scanned alike; an empty table or partition gives
 an empty result; other columns are ignored.
 """
 
@@ -27,6 +30,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,28 +40,56 @@ BLOCK, STEP = 64, 32
 CONTAINED = 0.8
 #: The base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Words of public licenses and of the notices that name them.
+#: Sentences of public licenses, in pieces of up to 32 words, and notices that name one.
 TEMPLATES = (
     ("agpl", "gnu affero general public license"),
+    ("agpl", "if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network an opportunity to receive the corresponding source"),
     ("apache", "licensed under the apache license"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
+    ("apache", "see the license for the specific language governing permissions and limitations under the license"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to"),
+    ("bsd", "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages"),
     ("bsd", "distributed under bsd license"),
     ("cc-by", "creative commons attribution license"),
+    ("cc-by", "you are free to share copy and redistribute the material in any medium or format and to adapt remix transform and build upon the material for any purpose"),
+    ("cc-by", "you must give appropriate credit provide a link to the license and indicate if changes were made"),
     ("cc-by-sa", "creative commons attribution sharealike"),
+    ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original"),
     ("cc0", "creative commons zero public domain dedication"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of their rights to the work worldwide under copyright law"),
     ("gpl", "gnu general public license"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the"),
+    ("gpl", "as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
     ("lgpl", "gnu lesser general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the"),
     ("mit", "released under mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise"),
     ("mpl", "mozilla public license"),
-    ("reserved", "all rights reserved"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
 )
 _BREAKS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
-SCAN = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, blocks array<struct<no long, words array<int>>>"
+SCAN = "n_words long, blocks array<struct<no long, words array<int>, at array<int>, seq array<int>>>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -65,101 +97,105 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().translate(_BREAKS).split()
 
 
-def places(tokens: list[bytes], phrase: list[bytes]) -> list[int]:
-    """Where the phrase's words stand, one after the other."""
-    out, at = [], -1
-    try:
-        while True:
-            at = tokens.index(phrase[0], at + 1)
-            if tokens[at : at + len(phrase)] == phrase:
-                out.append(at)
-    except ValueError:
-        return out
-
-
 def template_table(templates, counts: dict[str, int]) -> tuple[dict[str, int], list[tuple]]:
-    """Each word's rank, rarest first, and the templates as (no, label, words by rank, need)."""
-    every = sorted({w for _, text in templates for w in text.split()}, key=lambda w: (counts.get(w, 0), w))
+    """Each word's rank, rarest first, and the templates as (no, label, phrase, words by rank, need); phrases first."""
+    texts = [(label, text, 1.0) for text, label in PHRASES.items()] + [(label, text, CONTAINED) for label, text in templates]
+    every = sorted({w for _, text, _ in texts for w in text.split()}, key=lambda w: (counts.get(w, 0), w))
     rank = {w: k for k, w in enumerate(every)}
     rows = []
-    for no, (label, text) in enumerate(templates):
+    for no, (label, text, share) in enumerate(texts):
         own = sorted({rank[w] for w in text.split()})
-        rows.append((no, label, own, math.ceil(CONTAINED * len(own) - 1e-9)))
+        phrase = [rank[w] for w in text.split()] if no < len(PHRASES) else None
+        rows.append((no, label, phrase, own, math.ceil(share * len(own) - 1e-9)))
     return rank, rows
 
 
+COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64())])
+
+
 def word_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> DataFrame:
     """``(word, n)``: how often all texts have each word of the vocabulary."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[bytes, int] = {}
         for batch in batches:
-            for text in batch["text"]:
-                for w in filter(vocabulary.__contains__, words(text)):
+            for text in batch.column("text"):
+                for w in filter(vocabulary.__contains__, words(text.as_py())):
                     total[w] = total.get(w, 0) + 1
-        yield pd.DataFrame({"word": [w.decode() for w in total], "n": list(total.values())})
+        yield pa.RecordBatch.from_pydict({"word": [w.decode() for w in total], "n": list(total.values())}, COUNTS)
 
-    return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def scanned(docs: DataFrame, rank: dict[str, int], prefix: frozenset[int]) -> DataFrame:
-    """Every document with its base phrases and the blocks that hold a prefix word."""
+    """Every document with the blocks that hold a prefix word: their template words, as a set and where they stand."""
     ranks = {w.encode(): k for w, k in rank.items()}
-    phrases = [(p.encode().split(), label) for p, label in PHRASES.items()]
 
     def scan(text: str | None) -> tuple:
         tokens = words(text)
-        found = [(at, label) for phrase, label in phrases for at in places(tokens, phrase)]
-        starts = [at for at, _ in found]
         known = [(at, k) for at, k in enumerate(map(ranks.get, tokens)) if k is not None]
-        wanted = {no for at, k in known if k in prefix for no in (at // STEP - 1, at // STEP) if no >= 0 or at < STEP}
-        blocks: dict[int, set[int]] = {no: set() for no in wanted if no >= 0}
+        blocks: dict[int, list] = {no: [] for at, k in known if k in prefix for no in (at // STEP - 1, at // STEP) if no >= 0}
         for at, k in known:
             for no in (at // STEP - 1, at // STEP):
                 if no in blocks:
-                    blocks[no].add(k)
-        held = [{"no": no, "words": sorted(ks)} for no, ks in sorted(blocks.items())]
-        return len(tokens), len(found), min(starts, default=None), max(starts, default=None), sorted({label for _, label in found}), held
-
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "blocks"]
+                    blocks[no].append((at, k))
+        held = [
+            {"no": no, "words": sorted({k for _, k in own}), "at": [at for at, _ in own], "seq": [k for _, k in own]}
+            for no, own in sorted(blocks.items())
+        ]
+        return len(tokens), held
 
     @F.pandas_udf(SCAN)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            made = pd.DataFrame([scan(t) for t in batch], columns=names)
-            yield made.astype({"first_word": "Int64", "last_word": "Int64"})
+            made = [scan(t) for t in batch]
+            yield pd.DataFrame({"n_words": pd.Series([n for n, _ in made], dtype="int64"), "blocks": pd.Series([b for _, b in made], dtype=object)})
 
     return docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), run("text").alias("s")).select("rid", "doc_id", "s.*")
 
 
 def block_matches(documents: DataFrame, rows: list[tuple]) -> DataFrame:
-    """``(rid, no, template, label, contained)``: every block that a template is contained in."""
-    spark = documents.sparkSession
-    templates = spark.createDataFrame(rows, "template int, label string, own array<int>, need int")
-    prefix = templates.select("*", F.posexplode(F.slice("own", F.lit(1), F.size("own") - F.col("need") + 1)).alias("at", "word"))
+    """``(rid, no, label, phrase, contained, at, seq)``: every block that a template is contained in."""
+    templates = documents.sparkSession.createDataFrame(rows, "template int, label string, phrase array<int>, own array<int>, need int")
+    prefix = templates.select("*", F.posexplode(F.slice("own", F.lit(1), F.size("own") - F.col("need") + 1)).alias("first", "word"))
     blocks = documents.select("rid", F.inline("blocks"))
-    entries = blocks.select("rid", "no", "words", F.posexplode("words").alias("place", "word"))
+    entries = blocks.select("rid", "no", "words", "at", "seq", F.posexplode("words").alias("place", "word"))
     met = entries.join(F.broadcast(prefix), "word").where(F.size("words") >= F.col("need"))
-    left = F.least(F.size("own") - F.col("at"), F.size("words") - F.col("place"))
-    met = met.where(F.least("at", "place") + left >= F.col("need"))
+    left = F.least(F.size("own") - F.col("first"), F.size("words") - F.col("place"))
+    met = met.where(F.least("first", "place") + left >= F.col("need"))
     shared = F.size(F.array_intersect("own", "words"))
-    first = F.element_at(F.array_intersect("own", "words"), 1) == F.col("word")  # a pair meets at each shared prefix word
-    return met.where(first & (shared >= F.col("need"))).select("rid", "no", "template", "label", (shared / F.size("own")).alias("contained"))
+    once = F.element_at(F.array_intersect("own", "words"), 1) == F.col("word")  # a pair meets at each shared prefix word
+    return met.where(once & (shared >= F.col("need"))).select("rid", "no", "label", "phrase", (shared / F.size("own")).alias("contained"), "at", "seq")
+
+
+def places():
+    """Of a block that holds a phrase's words: the places in its first ``STEP`` words where they stand one after the other."""
+    follows = lambda i, j: F.coalesce(
+        (F.get(F.col("seq"), i + j) == F.get(F.col("phrase"), j)) & (F.get(F.col("at"), i + j) == F.get(F.col("at"), i) + j), F.lit(False)
+    )
+    each = F.transform("at", lambda p, i: F.when((p < (F.col("no") + 1) * STEP) & F.forall(F.sequence(F.lit(0), F.size("phrase") - 1), lambda j: follows(i, j)), p))
+    return F.array_compact(each)
 
 
 def scan_licences(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
-    vocabulary = frozenset(w.encode() for _, text in templates for w in text.split())
+    vocabulary = frozenset(w.encode() for text in [*PHRASES, *(t for _, t in templates)] for w in text.split())
     counts = {r.word: r.n for r in word_counts(docs, vocabulary).collect()}  # a row for each template word at most
     rank, rows = template_table(templates, counts)
-    prefix = frozenset(w for _, _, own, need in rows for w in own[: len(own) - need + 1])
+    prefix = frozenset(w for *_, own, need in rows for w in own[: len(own) - need + 1])
     documents = settle(scanned(docs, rank, prefix))
-    by_row = block_matches(documents, rows).groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("contained").alias("best"))
+    found = block_matches(documents, rows).withColumn("places", F.when(F.col("phrase").isNotNull(), places()))
+    found = found.where("phrase is null or size(places) > 0")
+    base = lambda c: F.when(F.col("phrase").isNotNull(), c)
+    by_row = found.groupBy("rid").agg(
+        F.sum(base(F.size("places"))).alias("n"), F.min(F.array_min("places")).alias("first"), F.max(F.array_max("places")).alias("last"),
+        F.collect_set(base(F.col("label"))).alias("base"), F.collect_set("label").alias("all"), F.max("contained").alias("best"),
+    )
     df = documents.drop("blocks").join(by_row, "rid", "left")
-    every = F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("more", F.array().cast("array<string>")))))
-    score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
+    shown = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
     return df.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
-        F.array_join(every, ",").alias("labels"), score.alias("score"),
+        "doc_id", "n_words", F.coalesce("n", F.lit(0)).cast("long").alias("n_base"),
+        F.col("first").cast("long").alias("first_word"), F.col("last").cast("long").alias("last_word"),
+        shown("base").alias("base_labels"), shown("all").alias("labels"), F.coalesce("best", F.lit(0.0)).alias("score"),
     )
 
 
