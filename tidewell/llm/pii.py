@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and identifiers found from the contexts of these, natively.
 
 The base patterns give e-mail addresses, IP addresses, card numbers and telephone numbers.
-They are also the seeds of a bootstrap: every identifier-like token (with ``DIGITS``
-digits or more) is an instance, and the words around an occurrence are its patterns
-(the two words before it; the word before and the word after). A seed has score 1. In
-``ROUNDS`` rounds the score of a pattern becomes the mean score of what it surrounds, held
+Their valid matches and tokens that have a form of ``KEY_FORMS`` (keys and digests) are the seeds of a
+bootstrap. Instances are the seeds and every token of ``LEAST`` or more characters that holds a digit or
+stands in quotes after a colon or an equals sign. Each occurrence has up to four patterns: the
+two words before it; the word before and the word after; the word and the marks before it (``token = "``);
+and its shape (``hex40``, ``9.9.9.9:11``: kinds of characters and the number of digits). A seed has
+score 1. In ``ROUNDS`` rounds the score of a pattern becomes the mean score of what it surrounds, held
 down while it surrounds little, and the score of an instance that is no seed the chance
 that not all of its patterns err. Patterns of ``CONFIDENCE`` or more that surround
 ``SUPPORT`` different instances or more are kept, and every instance they surround is
@@ -41,12 +43,14 @@ FAST = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "id": r"(?<![A-Za-z0-9])[A-Za-z]{0,8}+[0-9](?:[\x20().+:_/-]{0,2}[0-9]|[A-Za-z])++",
+    "id": r"(?<![A-Za-z0-9_])[A-Za-z_]{0,16}+[0-9](?:[\x20().+:_/-]{0,2}[0-9]|[A-Za-z])*+|(?<=[:=]\x20?[\x22\x27])[A-Za-z0-9_+/.=@-]++",
 }
 #: What a text must hold for a pattern to be tried.
-NEED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]", "id": r"(?:[0-9][^0-9]*+){5}"}
+NEED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]", "id": r"[0-9]|[:=]\x20?[\x22\x27]"}
 KINDS = ("email", "ip", "card", "phone")
-DIGITS = 5
+LEAST = 4
+#: Seed entities besides the base spans: digests, and keys of public services by their prefixes.
+KEY_FORMS = r"^(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$|^AKIA[0-9A-Z]{16}$|^gh[a-z]_[A-Za-z0-9]{36}$"
 ROUNDS = 3
 CONFIDENCE, SUPPORT, DAMP = 0.5, 3, 1.0
 #: Code points beside a match in which its neighbouring words are sought.
@@ -57,9 +61,8 @@ def _matches(kind: str):
     """The matches of a kind: an array of (kind, no, gap before, text, words before, words after)."""
     found = F.regexp_extract_all("text", F.lit(FAST[kind]), F.lit(0))
     gaps = F.split("text", FAST[kind])
-    beside = kind == "id"
-    left = lambda i: F.lower(F.right(F.get(F.col("gaps"), i), F.lit(BESIDE))) if beside else F.lit("")
-    right = lambda i: F.lower(F.substring(F.get(F.col("gaps"), i + 1), 1, BESIDE)) if beside else F.lit("")
+    left = lambda i: F.lower(F.right(F.get(F.col("gaps"), i), F.lit(BESIDE)))
+    right = lambda i: F.lower(F.substring(F.get(F.col("gaps"), i + 1), 1, BESIDE))
     return found, gaps, lambda arr: F.transform(
         arr,
         lambda m, i: F.struct(
@@ -100,33 +103,51 @@ def spans(found: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "ip", F.forall(parts, lambda p: p.rlike(r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$")))
         .when(F.col("kind") == "card", F.when(n.between(12, 19), _luhn(digits)).otherwise(False))
         .when(F.col("kind") == "phone", n.between(9, 15))
-        .when(F.col("kind") == "id", n >= DIGITS)
+        .when(F.col("kind") == "id", F.length("match") >= LEAST)
         .otherwise(True)
     )
     return settle(each.where(fits).select("rid", "kind", "start", "end", "match", "before", "after"))
 
 
+def shape(match):
+    """What a token is made of: ``hex40``, ``mix20`` (letters and digits), or its runs and number of digits."""
+    mixed = match.rlike("^[A-Za-z0-9]+$") & match.rlike("[0-9]") & match.rlike("[A-Za-z]")
+    size = F.length(match).cast("string")
+    runs = F.regexp_replace(F.regexp_replace(match, "[A-Za-z]+", "a"), "[0-9]+", "9")
+    digits = F.length(F.regexp_replace(match, "[^0-9]", "")).cast("string")
+    return F.when(mixed & match.rlike("^[0-9A-Fa-f]+$"), F.concat(F.lit("hex"), size)).when(mixed, F.concat(F.lit("mix"), size)).otherwise(F.concat(runs, F.lit(":"), digits))
+
+
 def occurrences(each: DataFrame) -> DataFrame:
-    """The instances, with ``base``: whether a base span overlaps; ``patterns``: their contexts."""
+    """The instances that no base span overlaps and, with ``base``, the base spans; ``seed``; ``patterns``: contexts and shape."""
     sweep = W.partitionBy("rid").orderBy("start", F.col("kind") == "id", "end")
     base = lambda c: F.when(F.col("kind") != "id", F.col(c))
     ends = F.max(base("end")).over(sweep.rowsBetween(W.unboundedPreceding, 0))
     starts = F.min(base("start")).over(sweep.rowsBetween(0, W.unboundedFollowing))
-    df = each.withColumn("base", F.coalesce(ends > F.col("start"), F.lit(False)) | F.coalesce(starts < F.col("end"), F.lit(False)))
-    df = df.where("kind = 'id'").withColumn("before", F.regexp_replace("before", r"[^\p{L}\p{N}]+$", "")).withColumn("after", F.regexp_replace("after", r"^[^\p{L}\p{N}]+", ""))
+    overlaps = F.coalesce(ends > F.col("start"), F.lit(False)) | F.coalesce(starts < F.col("end"), F.lit(False))
+    df = each.withColumn("base", F.col("kind") != "id").withColumn("overlaps", overlaps).where("base or not overlaps")
+    mark = F.regexp_extract("before", r"([\p{L}\p{N}_-]{1,32}\s{0,2}[:=(\[{<#\x22\x27][\s:=(\[{<#\x22\x27]{0,6})$", 1)
+    marked = F.when(mark != "", F.concat(F.lit("m:"), F.regexp_replace(mark, r"\s+", " ")))
+    df = df.withColumn("marked", marked)
+    df = df.withColumn("before", F.regexp_replace("before", r"[^\p{L}\p{N}]+$", "")).withColumn("after", F.regexp_replace("after", r"^[^\p{L}\p{N}]+", ""))
     word = lambda c, k: F.regexp_extract(c, r"([^\s]+)\s+([^\s]+)\s*$", k)
     near = F.regexp_extract("before", r"([^\s]+)\s*$", 1)
     after = F.regexp_extract("after", r"^\s*([^\s]+)", 1)
     two = F.when(word("before", 1) != "", F.concat(F.lit("b:"), word("before", 1), F.lit(" "), word("before", 2)))
     round_ = F.when((near != "") & (after != ""), F.concat(F.lit("a:"), near, F.lit(" _ "), after))
+    form = F.concat(F.lit("s:"), shape(F.col("match")))
     instance = F.xxhash64(F.lower(F.regexp_replace("match", "[^A-Za-z0-9]", "")))
-    return df.select("rid", "start", "end", "base", instance.alias("instance"), F.array_compact(F.array(two, round_)).alias("patterns"))
+    key = F.col("match").rlike(KEY_FORMS) & F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]")
+    return df.select(
+        "rid", "start", "end", "base", (F.col("base") | key).alias("seed"), instance.alias("instance"),
+        F.array_compact(F.array(two, round_, F.col("marked"), form)).alias("patterns"),
+    )
 
 
 def good_patterns(met: DataFrame) -> DataFrame:
     """The patterns that seeds, and what is like them, lead to: ``(pattern, rating)``."""
-    edges = met.select("instance", "base", F.explode("patterns").alias("pattern"))
-    edges = settle(edges.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max(F.col("base").cast("double")).alias("seed")))
+    edges = met.select("instance", "seed", F.explode("patterns").alias("pattern"))
+    edges = settle(edges.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("double")).alias("seed")))
     seeds = edges.groupBy("instance").agg(F.max("seed").alias("score"))
     scores = settle(seeds)
     for k in range(ROUNDS):
@@ -182,4 +203,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = lambda arr: F.array_join(F.transform(arr, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "id")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *[count(k) for k in KINDS], F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"),
+        count("id"), F.size("spans").cast("long").alias("n_spans"),
+    )
