@@ -223,6 +223,70 @@ def test_pii_base_spans(spark, docs, odd_docs):
     assert got == {k: [(s, kind, e) for s, _, kind, e in brute_spans(t)] for k, t in rows}
 
 
+def brute_ids(texts):
+    """The bootstrap in plain Python: (document, start, end) of what it adds."""
+    word = re.compile(r"([^\s]+)\s+([^\s]+)\s*$")
+    token = regex.compile(r"(?<![A-Za-z0-9_])[A-Za-z_]{0,16}+[0-9](?:[\x20().+:_/-]{0,2}[0-9]|[A-Za-z])*+|(?<=[:=]\x20?[\x22\x27])[A-Za-z0-9_+/.=@-]++")
+    occurrences = []
+    for k, text in enumerate(texts):
+        text = text or ""
+        base = brute_spans(text)
+        found = [(kind, s, e) for s, _, kind, e in base]
+        gaps = {kind: [m.span() for m in re.finditer(p, text)] for kind, p in pii.PLAIN.items()} | {"id": [m.span() for m in token.finditer(text)]}
+        found += [("id", s, e) for s, e in gaps["id"] if e - s >= pii.LEAST and not any(a < e and b > s for _, a, b in found)]
+        for kind, s, e in found:
+            own = gaps[kind]
+            at = own.index((s, e))
+            before = text[own[at - 1][1] if at else 0 : s][-pii.BESIDE :].lower()
+            after = text[e : own[at + 1][0] if at + 1 < len(own) else len(text)][: pii.BESIDE].lower()
+            match, patterns = text[s:e], []
+            mark = regex.search(r"([\p{L}\p{N}_-]{1,32}\s{0,2}[:=(\[{<#\"'][\s:=(\[{<#\"']{0,6})$", before, regex.ASCII)
+            left, right = regex.sub(r"[^\p{L}\p{N}]+$", "", before), regex.sub(r"^[^\p{L}\p{N}]+", "", after)
+            if m := re.search(word.pattern, left, re.A):
+                patterns.append(f"b:{m[1]} {m[2]}")
+            near, far = re.search(r"([^\s]+)\s*$", left, re.A), re.search(r"^\s*([^\s]+)", right, re.A)
+            if near and far:
+                patterns.append(f"a:{near[1]} _ {far[1]}")
+            if mark:
+                patterns.append("m:" + re.sub(r"\s+", " ", mark[1], flags=re.A))
+            mixed = re.fullmatch("[A-Za-z0-9]+", match) and re.search("[0-9]", match) and re.search("[A-Za-z]", match)
+            runs = re.sub("[0-9]+", "9", re.sub("[A-Za-z]+", "a", match)) + f":{sum(c in '0123456789' for c in match)}"
+            patterns.append("s:" + (("hex" if re.fullmatch("[0-9A-Fa-f]+", match) else "mix") + str(len(match)) if mixed else runs))
+            seed = kind != "id" or bool(re.search(pii.KEY_FORMS, match) and re.search("[0-9]", match) and re.search("[A-Za-z]", match))
+            occurrences.append((k, s, e, kind != "id", seed, re.sub("[^A-Za-z0-9]", "", match).lower(), patterns))
+    edges, seeds = Counter(), {}
+    for *_, seed, instance, patterns in occurrences:
+        for p in patterns:
+            edges[p, instance] += 1
+            seeds[instance] = seeds.get(instance, False) or seed
+    score = {i: float(x) for i, x in seeds.items()}
+    for _ in range(pii.ROUNDS):
+        total, weight, support = Counter(), Counter(), Counter()
+        for (p, i), n in edges.items():
+            total[p], weight[p], support[p] = total[p] + n * score[i], weight[p] + n, support[p] + 1
+        rating = {p: total[p] / (weight[p] + pii.DAMP) for p in total}
+        err = {}
+        for p, i in edges:
+            err[i] = err.get(i, 1.0) * max(1 - rating[p], 1e-9)
+        score = {i: 1.0 if seeds[i] else 1 - err[i] for i in score}
+    good = {p for p in rating if rating[p] >= pii.CONFIDENCE and support[p] >= pii.SUPPORT}
+    return sorted({(k, s, e) for k, s, e, base, _, _, patterns in occurrences if not base and good & set(patterns)})
+
+
+def test_pii_bootstrap_against_plain_python(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r.text for r in df.orderBy("doc_id").collect()]
+    texts += [f"key: '{c * 3}{k}' and user = \"name.{c}x\" sent from the box 10.0.0.{k} at 2024" for k, c in enumerate("abcdefgh")]
+    texts += [f"user = \"name{c}@mail.org\" was here in the year 199{k}" for k, c in enumerate("stuvwxyz")] + [None, ""]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    got = sorted((r.doc_id, s.start, s.end) for r in found for s in r.spans if s.kind == "id")
+    assert got == brute_ids(texts)
+    shown = [texts[k][s:e] for k, s, e in got]
+    tokens = [m for t in texts if t for m in re.findall('token = "([0-9a-fA-F]{40})"', t)]
+    assert len(tokens) > 5 and sorted(t for t in shown if len(t) == 40) == sorted(tokens)
+    assert "name.ax" in shown and not any(t.startswith("199") or t == "2024" for t in shown)
+
+
 def test_pii_finds_more_by_context(spark):
     texts = [f"some words then please call me at +1 (555) 555-{k:04d} for more" for k in range(40)]
     texts += ["and so please call me at 555-12345 for more", "the year 20241 was long"]
