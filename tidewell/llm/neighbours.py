@@ -5,208 +5,334 @@ Inner products become distances: with M the largest norm, a vector ``x`` is hash
 distance is then the one with the largest inner product. Norms are cut into ranges of
 ratio ``RANGE``, each with an M of its own, so that a few long vectors do not push all others
 to one distance; a query does not depend on M, so the ranges share the tables. Each of ``TABLES`` tables hashes
-by ``HASHES`` Gaussian projections, shifted and cut into cells of ``WIDTH``. A query looks
-into its own bucket and into ``PROBES - 1`` buckets around it, in the order of their
-estimated success: the sum of squared distances from the query to the cell borders that
-the perturbation crosses, least first. What the tables hold there is merged and ranked
-again by the exact inner product of the original vectors, in double precision.
-
-Buckets are dealt to shards by hash, and every shard into ``slices`` by vector, as many as the
-largest bucket needs to stay under ``SHARD_ROWS``; a query goes, in blocks of
-``QUERY_ROWS``, to all slices of the shards in which it has buckets. So each task's rows are bounded
-also where one bucket holds a third of all vectors, and no candidate is dropped.
-
-A query that finds fewer than there are to be had, ``nearest`` or all others, is scored against
-all rows, in the same blocks.
-
-The functions are drawn from a seed; nothing is fitted to the data but M. The probes were
-chosen for a recall of 0.9 on directions that hardly cluster, which takes about half of all
-rows; clustered vectors need fewer.
+by a number of Gaussian projections, shifted and cut into cells of ``WIDTH``. A query looks
+into its own bucket and into those around it, in the order of their estimated success: the
+sum of squared distances from the query to the cell borders that the perturbation crosses,
+least first. The order is the one of the borders' expected distances by rank, the same for
+all queries; which borders have which rank is each query's own.
+
+How many projections and probes: for a bounded sample of ``SAMPLE_QUERIES`` queries the nearest are
+found exactly, and for each number of projections that is tried the fewest probes are taken that find ``TARGET`` of
+these. The cheapest pair is used, by the share of ``SAMPLE_ROWS`` sampled rows that become
+candidates and the number of probes. Clustered vectors so get many projections and few
+candidates; directions that hardly cluster need a large share of all rows whatever the index.
+
+The search: vectors are dealt to shards of about ``SHARD_ROWS`` by hash. A directory says which shards have
+rows in a bucket, so a query goes to those shards alone where it has candidates. A task holds one shard's vectors and
+streams the shard's queries past them: what the tables hold in a query's buckets is merged
+and ranked again by the exact inner product of the original vectors, in double precision. So vectors
+move once, and a hot bucket is spread over the shards. No candidate is dropped. A query that finds fewer than there are to be had,
+``nearest`` or all others, is scored against all rows, in the same shards.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no
-part, nor do null ids or vectors of another length than the most frequent one; rows
-that share an id count once, with the least of their vectors; ties go to the smaller id;
-an empty table gives an empty result; other columns are ignored.
+part; a vector shorter than the longest counts as if filled up with zeros; rows that share an id,
+or have none, are separate rows, each a candidate of all others and, if asked, a query; ties go to the smaller id (null last);
+norms are compared as logarithms, so tiny and huge components do no harm (a score that is no number
+counts as the least); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import settle, table
+from tidewell.llm.common import join_small, settle, table
 
-TABLES, HASHES, WIDTH, PROBES = 6, 8, 2.0, 300
+TABLES, WIDTH = 6, 2.0
+#: Numbers of projections that are tried; the most buckets probed in a table.
+HASHES, PROBES = range(4, 26, 2), 2048
+TARGET = 0.96
+SAMPLE_QUERIES, SAMPLE_ROWS = 64, 512
+#: What a probe costs, in candidates.
+PROBE_COST = 4.0
 NEAREST = 20
 SEED = 11
 RANGE = 2**0.25
-SHARD_ROWS, QUERY_ROWS = 20_000, 4096
+SHARD_ROWS = 16_384
 #: Queries that are scored against a shard at a time.
-STEP = 128
+STEP = 64
+
+INDEXED = "rid long, vec_id long, v array<double>, keys array<long>"
+FOUND = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("rid", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def template(hashes: int, count: int) -> np.ndarray:
+    """The ``count`` likeliest perturbations, a row each: 1 for each border crossed, by its rank (nearest first)."""
+    m = hashes
+    expected = [j * (j + 1) / (4 * (m + 1) * (m + 2)) for j in range(1, m + 1)]
+    expected += [1 - (2 * m + 1 - j) / (m + 1) + (2 * m + 1 - j) * (2 * m + 2 - j) / (4 * (m + 1) * (m + 2)) for j in range(m + 1, 2 * m + 1)]
+    rows, heap = [np.zeros(2 * m, np.int64)], [(expected[0], (0,))]
+    while heap and len(rows) < count:
+        cost, chosen = heapq.heappop(heap)
+        if not any(2 * m - 1 - j in chosen for j in chosen):  # the two borders of one cell
+            rows.append(np.bincount(chosen, minlength=2 * m))
+        last = chosen[-1]
+        if last + 1 < 2 * m:
+            more = cost + expected[last + 1]
+            heapq.heappush(heap, (more, (*chosen, last + 1)))
+            heapq.heappush(heap, (more - expected[last], (*chosen[:-1], last + 1)))
+    return np.array(rows)
 
 
 class Functions:
     """The projections of all tables for vectors of ``dim`` components and one more."""
 
-    def __init__(self, dim: int, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH):
+    def __init__(self, dim: int, hashes: int, tables: int = TABLES, width: float = WIDTH):
         rng = np.random.default_rng(SEED)
-        self.lines = rng.standard_normal((dim + 1, tables, hashes))
+        self.lines = rng.standard_normal((dim + 1, tables * hashes)) / width
         self.shift = rng.random((tables, hashes))
-        self.width = width
-        self.mix = rng.integers(1, 1 << 62, hashes, dtype=np.int64) | 1
+        self.mix = rng.integers(1, 1 << 62, (tables, hashes), dtype=np.int64) | 1
+        self.salt = rng.integers(1, 1 << 62, tables, dtype=np.int64)
 
     def cells(self, points: np.ndarray) -> np.ndarray:
         """Where points fall in the tables' cells: (points, tables, hashes), with fractions."""
-        return np.einsum("nd,dth->nth", points, self.lines) / self.width + self.shift
+        return (points @ self.lines).reshape(len(points), *self.shift.shape) + self.shift
 
-    def keys(self, cells: np.ndarray) -> np.ndarray:
-        """One number for each bucket; the last axis holds its whole cells."""
+    def keys(self, points: np.ndarray) -> np.ndarray:
+        """(points, tables): one number for the bucket that each table puts a point in."""
+        with np.errstate(over="ignore"):
+            return (np.floor(self.cells(points)).astype(np.int64) * self.mix).sum(-1) + self.salt
+
+    def probes(self, points: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """(points, tables, probes): the buckets around each point, by the template ``order``."""
+        cells = self.cells(points)
+        whole = np.floor(cells)
+        part = cells - whole
+        rank = np.argsort(np.concatenate([part, 1 - part], -1), axis=-1)
         with np.errstate(over="ignore"):
-            return (cells.astype(np.int64) * self.mix).sum(-1)
+            step = np.take_along_axis(np.broadcast_to(np.concatenate([-self.mix, self.mix], -1), rank.shape), rank, -1)
+            base = (whole.astype(np.int64) * self.mix).sum(-1) + self.salt
+            return base[..., None] + step @ order.T
 
 
-def probes(cell: np.ndarray, count: int) -> np.ndarray:
-    """``count`` whole cells around ``cell`` (with fractions), the likeliest first."""
-    whole = np.floor(cell)
-    part = cell - whole
-    steps = sorted([(part[i] ** 2, i, -1) for i in range(len(cell))] + [((1 - part[i]) ** 2, i, 1) for i in range(len(cell))])
-    out, heap = [whole], [(steps[0][0], (0,))]
-    while heap and len(out) < count:
-        cost, chosen = heapq.heappop(heap)
-        if len({steps[k][1] for k in chosen}) == len(chosen):  # no border crossed both ways
-            at = whole.copy()
-            for k in chosen:
-                at[steps[k][1]] += steps[k][2]
-            out.append(at)
-        last = chosen[-1]
-        if last + 1 < len(steps):
-            more = steps[last + 1][0]
-            heapq.heappush(heap, (cost + more, (*chosen, last + 1)))
-            heapq.heappush(heap, (cost + more - steps[last][0], (*chosen[:-1], last + 1)))
-    return np.array(out)
+def matrix(column: pa.ListArray, dim: int) -> np.ndarray:
+    """Vectors as rows, shorter ones filled up with zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy()
+    if (sizes == dim).all():
+        return flat.reshape(-1, dim)
+    out = np.zeros((len(sizes), dim))
+    out[np.arange(dim) < sizes[:, None]] = flat
+    return out
 
 
-def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``(vec_id, v, norm)``: one valid vector of doubles for each id."""
-    v = F.col(vector_col).cast("array<double>")
-    rows = df.select(F.col(id_col).alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
-    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    return rows.where("norm > 0")
+def as_points(x: np.ndarray, length: np.ndarray, top: float) -> np.ndarray:
+    """Vectors as points of the unit sphere; ``length`` and ``top`` are logarithms of norms."""
+    step = math.log(RANGE)
+    longest = top - np.floor((top - length) / step) * step
+    largest = np.abs(x).max(1, keepdims=True)
+    x = x / largest * np.exp(np.log(largest[:, 0]) - longest)[:, None]
+    return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))])
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+def as_queries(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return np.column_stack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x))])
 
 
-def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int = NEAREST) -> DataFrame:
-    """The ``nearest`` found of each row for which ``is_query`` (over ``vec_id``) holds."""
-    rows = settle(_valid(df, id_col, vector_col))
-    usual = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max("norm").alias("top")).orderBy(F.desc("n"), "dim").first()
-    dim, n, top = (usual.dim, usual.n, usual.top) if usual else (1, 0, 1.0)
-    rows = rows.where(F.size("v") == dim)
-    functions = Functions(dim)
-    shards = max(1, round(n * TABLES / SHARD_ROWS))
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``(rid, vec_id, v, length)``: the rows that take part; ``length`` is the logarithm of the norm."""
+    v = F.col(vector_col).cast("array<double>")
+    rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("vec_id"), v.alias("v")).where("v is not null")
+    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+    largest = F.array_max(F.transform("v", F.abs))
+    rows = rows.withColumn("largest", largest)
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("largest")) * (x / F.col("largest")))
+    return rows.select("rid", "vec_id", "v", (F.log("largest") + F.log(square) / 2).alias("length"))
+
+
+def fitted(rows: DataFrame, asked: DataFrame, dim: int, n: int, top: float, nearest: int) -> tuple[int, int]:
+    """The numbers of projections and probes, from exact results of a bounded sample of queries."""
+    by = F.xxhash64("vec_id")
+    queries = asked.orderBy(by, "rid").limit(SAMPLE_QUERIES).collect()
+    others = rows.orderBy(F.xxhash64(by, F.lit(SEED)), "rid").limit(SAMPLE_ROWS).collect()
+    filled = lambda vs: np.array([[*v, *[0.0] * (dim - len(v))] for v in vs]).reshape(-1, dim)
+    q, own = filled([r.v for r in queries]), np.array([r.rid for r in queries])
+
+    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
+        for batch in batches:
+            rids = batch.column("rid").to_numpy()
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = np.nan_to_num(q @ matrix(batch.column("v"), dim).T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            scores[own[:, None] == rids] = -np.inf
+            for k, (old, ids) in enumerate(best):
+                s, i = np.concatenate([old, scores[k]]), np.concatenate([ids, rids])
+                top_k = np.argsort(-s, kind="stable")[:nearest]
+                best[k] = s[top_k], i[top_k]
+        for k, (s, ids) in enumerate(best):
+            yield pa.RecordBatch.from_pydict({"k": np.full(len(s), k, np.int32), "rid": ids, "score": s})
+
+    near = rows.select("rid", "v").mapInArrow(closest, "k int, rid long, score double")
+    rank = F.row_number().over(W.partitionBy("k").orderBy(F.desc("score"), "rid"))
+    near = settle(near.withColumn("rank", rank).where((F.col("rank") <= nearest) & (F.col("score") > float("-inf"))).select("k", "rid"))
+    near = rows.join(F.broadcast(near), "rid").select("k", "v", "length").collect()  # nearest x SAMPLE_QUERIES rows at most
+    if not near:
+        return HASHES[0], 1
+    of = np.array([r.k for r in near])
+    found = as_points(filled([r.v for r in near]), np.array([r.length for r in near]), top)
+    rest = as_points(filled([r.v for r in others]), np.array([r.length for r in others]), top)
+    best = None
+    for hashes in HASHES:
+        functions, order = Functions(dim, hashes), template(hashes, PROBES)
+        probed, missing = functions.probes(as_queries(q), order), len(order)
+        first = lambda keys, k: min_rank(probed[k], keys, missing)
+        met = functions.keys(found)
+        ranks = np.sort(np.concatenate([first(met[of == k], k) for k in range(len(q))]))
+        enough = int(ranks[math.ceil(TARGET * len(ranks)) - 1]) + 1
+        if enough > missing:
+            continue
+        keys = functions.keys(rest)
+        share = np.mean([(first(keys, k) < enough).mean() for k in range(len(q))])
+        cost = share * n + enough * TABLES * PROBE_COST
+        if best is None or cost < best[0]:
+            best = cost, hashes, enough
+    return best[1:] if best else (HASHES[0], PROBES)
+
+
+def min_rank(probed: np.ndarray, keys: np.ndarray, missing: int) -> np.ndarray:
+    """For rows with ``keys`` (rows, tables): the first probe of a query, ``probed`` (tables, probes), that meets each."""
+    out = np.full(len(keys), missing)
+    for t in range(len(probed)):
+        order = np.argsort(probed[t], kind="stable")
+        at = np.minimum(np.searchsorted(probed[t], keys[:, t], sorter=order), len(order) - 1)
+        rank = np.where(probed[t][order[at]] == keys[:, t], order[at], missing)
+        out = np.minimum(out, rank)
+    return out
+
+
+class Shard:
+    """One shard's vectors and the tables over them."""
+
+    def __init__(self, rids, ids, no_id, x, keys):
+        self.rids, self.ids, self.no_id, self.x = rids, ids, no_id, x
+        order = np.argsort(keys.ravel(), kind="stable")
+        self.rows = order // keys.shape[1]
+        self.keys, self.first = np.unique(keys.ravel()[order], return_index=True)
+        self.ends = np.append(self.first[1:], keys.size)
+        with np.errstate(over="ignore"):
+            self.reach = np.sqrt((x * x).sum(1).max())
+
+    def candidates(self, probed: np.ndarray) -> np.ndarray:
+        """The rows in the probed buckets, merged."""
+        at = np.minimum(np.searchsorted(self.keys, probed), len(self.keys) - 1)
+        at = np.unique(at[self.keys[at] == probed])
+        sizes = self.ends[at] - self.first[at]
+        place = np.repeat(self.first[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        seen = np.zeros(len(self.rids), bool)
+        seen[self.rows[place]] = True
+        return np.flatnonzero(seen)
+
+    def nearest(self, rid: int, q: np.ndarray, among: np.ndarray | None, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and scores of the ``count`` nearest, of the rows ``among`` or all."""
+        among = np.arange(len(self.rids)) if among is None else among
+        among = among[self.rids[among] != rid]
+        if not len(among):
+            return among, np.zeros(0)
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = np.nan_to_num(self.x[among] @ q if 4 * len(among) < len(self.x) else (self.x @ q)[among], nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            if len(among) > count:
+                error = 1e-15 * len(q) * self.reach * np.linalg.norm(q)
+                least = -np.partition(-rough, count - 1)[count - 1]
+                among = among[rough >= least - error] if np.isfinite(error) else among
+            exact = np.nan_to_num((self.x[among] * q).sum(1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)  # one order of addition, so that copies tie
+        best = np.lexsort((self.rids[among], self.ids[among], self.no_id[among], -exact))[:count]
+        return among[best], exact[best]
+
+
+def scorer(functions: Functions, order: np.ndarray, dim: int, nearest: int):
+    """Streams a shard's queries past its vectors; rows come sorted by shard, vectors (``kind`` 0) first."""
+
+    def answers(shard: Shard, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for k in range(0, batch.num_rows, STEP):
+            part = batch.slice(k, STEP)
+            q, rids, ids, every = matrix(part.column("v"), dim), part.column("rid").to_numpy(), part.column("vec_id").to_pylist(), part.column("every").to_pylist()
+            probed = functions.probes(as_queries(q), order).reshape(len(q), -1)
+            out = []
+            for j in range(len(q)):
+                rows, scores = shard.nearest(int(rids[j]), q[j], None if every[j] else shard.candidates(probed[j]), nearest)
+                out.append((np.full(len(rows), rids[j]), [ids[j]] * len(rows), rows, scores))
+            rows = np.concatenate([o[2] for o in out])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([o[0] for o in out])), pa.array([i for o in out for i in o[1]], pa.int64()), pa.array(shard.rids[rows]),
+                 pa.array(shard.ids[rows], mask=shard.no_id[rows]), pa.array(np.concatenate([o[3] for o in out]))], schema=FOUND
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts, shard = None, [], None
         for batch in batches:
-            if len(batch):
-                x = _matrix(batch["v"])
-                norm = batch["norm"].to_numpy()
-                longest = top / RANGE ** np.floor((np.log(top) - np.log(norm)) / np.log(RANGE))
-                x /= np.maximum(longest, norm)[:, None]
-                rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
-                keys = functions.keys(np.floor(functions.cells(np.column_stack([x, rest]))))
-                yield pd.DataFrame({"vec_id": batch["vec_id"], "v": batch["v"], "keys": list(keys)})
-
-    entries = rows.select("vec_id", "v", "norm").mapInPandas(index, "vec_id long, v array<double>, keys array<long>")
-    entries = settle(entries.select("vec_id", "v", F.posexplode("keys").alias("tab", "key")))
-    largest = entries.groupBy("tab", "key").count().agg(F.max("count")).first()[0] or 0
-    slices = -(-largest // SHARD_ROWS) or 1
-    shard = F.pmod(F.xxhash64("tab", "key"), F.lit(shards)).cast("int")
+            shards, kinds = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if shards[a] != current:
+                    current, parts, shard = shards[a], [], None
+                own = batch.slice(a, b - a)
+                if kinds[a] == 0:
+                    ids = own.column("vec_id")
+                    parts.append((own.column("rid").to_numpy(), ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), matrix(own.column("v"), dim), matrix(own.column("keys"), TABLES)))
+                elif parts:
+                    shard = shard or Shard(*(np.concatenate(c) for c in zip(*parts)))
+                    yield from answers(shard, own)
+
+    return run
+
+
+def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int = NEAREST) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the ``nearest`` found of each row for which ``is_query`` (over ``vec_id``) holds."""
+    rows = settle(valid(df, id_col, vector_col))
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max("length").alias("top")).first()
+    n, dim, top = facts.n, facts.dim or 1, facts.top or 0.0
     asked = rows.where(is_query)
-    blocks = -(-asked.count() // QUERY_ROWS) or 1
+    hashes, probes = fitted(rows, asked, dim, n, top, nearest)
+    functions, order = Functions(dim, hashes), template(hashes, probes)
+    shards = max(1, -(-n // SHARD_ROWS))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = as_points(matrix(batch.column("v"), dim), batch.column("length").to_numpy(), top)
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(functions.keys(points).ravel()), TABLES).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("vec_id"), batch.column("v"), keys], names=["rid", "vec_id", "v", "keys"])
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            x = _matrix(batch["v"])
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            cells = functions.cells(np.column_stack([x, np.zeros(len(x))]))
-            for k in range(len(batch)):
-                keys = [functions.keys(probes(cells[k, t], PROBES)) for t in range(cells.shape[1])]
-                yield pd.DataFrame({"query_id": batch["vec_id"].iloc[k], "q": [batch["v"].iloc[k]] * len(keys), "tab": range(len(keys)), "key": keys})
-
-    queries = asked.select("vec_id", "v").mapInPandas(ask, "query_id long, q array<double>, tab int, key array<long>")
-    queries = queries.select("query_id", "q", "tab", F.explode("key").alias("key")).withColumn("shard", shard)
-    queries = queries.groupBy("shard", "query_id").agg(F.first("q").alias("q"), F.collect_set(F.struct("tab", "key")).alias("at"))
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    queries = queries.withColumn("slice", each(slices)).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    queries = queries.select("shard", "slice", "block", "query_id", "q", F.transform("at", lambda a: F.xxhash64(a["tab"], a["key"])).alias("keys"))
-    held = entries.select("vec_id", "v", F.xxhash64("tab", "key").alias("key"), shard.alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice"))
-    held = held.withColumn("block", each(blocks))
-
-    def score(entry: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
-        if not len(entry) or not len(query):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        entry = entry.sort_values("key", kind="stable")
-        v, ids = _matrix(entry["v"]), entry["vec_id"].to_numpy()
-        keys, first = np.unique(entry["key"].to_numpy(), return_index=True)
-        ends = np.append(first[1:], len(entry))
-        out = []
-        for k in range(0, len(query), STEP):
-            part = query.iloc[k : k + STEP]
-            q = _matrix(part["q"])
-            asks: dict[int, list[int]] = {}
-            for j, own in enumerate(part["keys"]):
-                at = np.searchsorted(keys, own)
-                at[at == len(keys)] = 0
-                for b in at[keys[at] == own].tolist():
-                    asks.setdefault(b, []).append(j)
-            scores = np.full((len(part), len(entry)), -np.inf)
-            for b, who in asks.items():
-                scores[who, first[b] : ends[b]] = q[who] @ v[first[b] : ends[b]].T
-            own_id = part["query_id"].to_numpy()
-            scores[own_id[:, None] == ids[None, :]] = -np.inf
-            # A vector stands in several tables, so that many more than ``nearest`` entries are kept at first.
-            many = min(len(entry), nearest * TABLES)
-            least = -np.partition(-scores, many - 1, axis=1)[:, many - 1]
-            for j in range(len(part)):
-                near = np.flatnonzero((scores[j] >= least[j] - 1e-9) & (scores[j] > -np.inf))
-                exact = (v[near] * q[j]).sum(1)  # one order of addition for all, so that copies tie
-                order = np.lexsort((ids[near], -exact))
-                _, once = np.unique(ids[near][order], return_index=True)
-                best = order[np.sort(once)[:nearest]]
-                out.append(pd.DataFrame({"query_id": own_id[j], "vec_id": ids[near][best], "score": exact[best]}))
-        return pd.concat(out)
-
-    by = ["shard", "slice", "block"]
-
-    def best(held: DataFrame, queries: DataFrame) -> DataFrame:
-        found = held.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(score, "query_id long, vec_id long, score double")
-        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return settle(found.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score"))
-
-    found = best(held, queries)
-    full = found.groupBy("query_id").count().where(F.col("count") >= min(nearest, n - 1))
-    short = settle(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
-    if n < 2 or not (left := short.count()):
-        return found
-    slices, blocks = -(-n // SHARD_ROWS), -(-left // QUERY_ROWS)
-    key, shard = F.lit(0).cast("long"), F.lit(0)
-    every = rows.select("vec_id", "v", key.alias("key"), shard.alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice"))
-    again = short.select("query_id", "q", F.array(key).alias("keys"), shard.alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-    more = best(every.withColumn("block", each(blocks)), again.withColumn("slice", each(slices)))
-    return found.join(short, "query_id", "left_anti").select(*found.columns).union(more)
+            for k in range(0, batch.num_rows, STEP):
+                part = batch.slice(k, STEP)
+                keys = functions.probes(as_queries(matrix(part.column("v"), dim)), order).reshape(part.num_rows, -1)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), keys.shape[1]).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("rid"), lists], names=["rid", "keys"])
+
+    shard = F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int").alias("shard")
+    indexed = rows.mapInArrow(index, INDEXED).select("rid", "vec_id", "v", "keys", shard)
+    buckets = indexed.select(F.explode("keys").alias("key"), "shard").distinct()
+    directory = settle(buckets.groupBy("key").agg(F.collect_list("shard").alias("shards")))
+    probed = asked.select("rid", "v").mapInArrow(probe, "rid long, keys array<long>").select("rid", F.explode("keys").alias("key"))
+    routes = join_small(probed, directory, "key").select("rid", F.explode("shards").alias("shard")).distinct()
+    vectors = indexed.select("shard", F.lit(0).alias("kind"), "rid", "vec_id", "v", "keys", F.lit(False).alias("every"))
+
+    def answered(routes: DataFrame, every: bool) -> DataFrame:
+        queries = asked.join(routes, "rid").select("shard", F.lit(1).alias("kind"), "rid", "vec_id", "v", F.lit(None).cast("array<long>").alias("keys"), F.lit(every).alias("every"))
+        dealt = vectors.union(queries).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+        found = dealt.mapInArrow(scorer(functions, order, dim, nearest), "query long, query_id long, rid long, vec_id long, score double")
+        rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "rid"))
+        return settle(found.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query", "query_id", "rank", "vec_id", "score"))
+
+    found = answered(routes, False)
+    full = found.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= min(nearest, n - 1))
+    short = settle(asked.select("rid").join(full, F.col("rid") == F.col("query"), "left_anti"))
+    if n > 1 and short.count():
+        more = answered(short.select("rid", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")), True)
+        found = found.join(short, found["query"] == short.rid, "left_anti").union(more)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
