@@ -151,25 +151,65 @@ def test_neighbours_of_few_and_of_spread_norms(spark, monkeypatch):
     assert hit >= 0.9 * 600
 
 
+def brute_neighbours(rows, dim, asked):
+    """Per asked row its id and the ids of its 20 nearest others; every row a candidate."""
+    valid = [(i, np.array([*v, *[0.0] * (dim - len(v))])) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    out = []
+    for k, (i, q) in enumerate(valid):
+        if i is not None and asked(i):
+            near = sorted((-(x * q).sum(), j is None, j or 0) for n, (j, x) in enumerate(valid) if n != k)[:20]
+            out.append((i, tuple(None if none else j for _, none, j in near)))
+    return sorted(out)
+
+
 def test_neighbours_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "SHARD_ROWS", 8)
-    monkeypatch.setattr(neighbours, "QUERY_ROWS", 2)
-    good = [(k, [1.0, 0.0, 0.0]) for k in range(0, 50)]  # ties: one hot bucket, split into slices
-    bad = [(100, None), (120, [0.0, 0.0, 0.0]), (140, [float("nan"), 1.0, 1.0]), (160, [None, 1.0, 1.0]), (180, [float("inf"), 0.0, 0.0]), (200, [1.0]), (None, [1.0, 0.0, 0.0])]
-    df = spark.createDataFrame(good + good[:5] + bad, "vec_id long, embedding array<float>").withColumn("key", F.lit("x")).repartition(3)
+    good = [(k, [1.0, 0.0, 0.0]) for k in range(0, 50)]  # ties: one hot bucket, spread over the shards
+    rows = good + good[:5] + [(100, None), (120, [0.0, 0.0, 0.0]), (140, [float("nan"), 1.0, 1.0]), (160, [None, 1.0, 1.0]), (180, [float("inf"), 0.0, 0.0])]
+    rows += [(200, [1.0]), (None, [2.0, 0.0, 0.0]), (220, []), (240, [1e-200, 1e-200, 0.0]), (260, [1e160, 0.0, 1.0]), (280, [1e-310, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit("x")).repartition(3)
     got = defaultdict(list)
-    for r in neighbours.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+    for n, r in enumerate(neighbours.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank", "vec_id").collect()):
         got[r.query_id].append(r.vec_id)
-    assert got == {q: [k for k in range(50) if k != q][:20] for q in (0, 20, 40)}
-    assert neighbours.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
-    assert neighbours.search(df.where("vec_id in (0, 1)"), F.col("vec_id") % 20 == 0).count() == 1
-
-
-def test_probes_come_in_order():
-    cell = np.array([0.2, 0.9, 0.5])
-    found = neighbours.probes(cell, 27)
-    cost = [sum((c - f) ** 2 if d < 0 else (f + 1 - c) ** 2 if d > 0 else 0 for c, f, d in zip(cell, np.floor(cell), p - np.floor(cell))) for p in found]
-    assert len({tuple(p) for p in found}) == 27 and cost == sorted(cost)
+    want = defaultdict(list)
+    for i, near in brute_neighbours(rows, 3, lambda i: i % 20 == 0):
+        want[i] += near
+    assert {i: sorted(map(str, ids)) for i, ids in got.items()} == {i: sorted(map(str, ids)) for i, ids in want.items()}
+    assert set(got) == {0, 20, 40, 200, 240, 260, 280}
+    assert neighbours.search(df.where("vec_id < 0").repartition(3), F.col("vec_id") % 20 == 0).count() == 0
+    assert neighbours.search(df.where("vec_id in (0, 1)").dropDuplicates(["vec_id"]).repartition(4), F.col("vec_id") % 20 == 0).count() == 1
+    assert neighbours.search(spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_probes_come_in_order_and_once():
+    for hashes, most in ((3, 27), (8, 500)):
+        order = neighbours.template(hashes, 10_000)[:most]
+        assert len({tuple(r) for r in order}) == len(order) == most
+        assert not any(r[j] and r[2 * hashes - 1 - j] for r in order for j in range(hashes))
+    one = neighbours.Functions(5, 3, tables=2)
+    points = np.random.default_rng(1).standard_normal((4, 6))
+    probed = one.probes(points, neighbours.template(3, 27))
+    assert (probed[:, :, 0] == one.keys(points)).all()
+    cells = np.floor(one.cells(points)).astype(int)
+    for p in range(4):
+        for t in range(2):
+            around = {int(((cells[p, t] + np.array([a, b, c])) * one.mix[t]).sum() + one.salt[t]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)}
+            assert set(probed[p, t].tolist()) == around
+
+
+def test_neighbours_that_cluster_need_few_candidates(spark):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.standard_normal((150, 16)), 40, axis=0) + 0.05 * rng.standard_normal((6000, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = neighbours.settle(neighbours.valid(df, "vec_id", "embedding"))
+    top = rows.agg(F.max("length")).first()[0]
+    hashes, probes = neighbours.fitted(rows, rows.where("vec_id % 20 = 0"), 16, 6000, top, 20)
+    assert hashes > 4
+    functions = neighbours.Functions(16, hashes)
+    probed = functions.probes(neighbours.as_queries(x[::20]), neighbours.template(hashes, probes))
+    keys = functions.keys(neighbours.as_points(x, np.log(np.linalg.norm(x, axis=1)), top))
+    share = np.mean([(neighbours.min_rank(probed[k], keys, 10_000) < 10_000).mean() for k in range(len(probed))])
+    assert share < 0.25
 
 
 def test_pipeline_follows_its_stages(spark):
