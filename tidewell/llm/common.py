@@ -56,6 +56,12 @@ def join_small(df: DataFrame, few: DataFrame, on: str | list[str], how: str = "i
     return df.join(F.broadcast(few) if few.count() <= SMALL_ROWS else few, on, how)
 
 
+def row_key(df: DataFrame) -> F.Column:
+    """A hash of a row's columns, all of them."""
+    plain = lambda c, kind: F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else F.col(f"`{c}`")
+    return F.xxhash64(*[plain(c, kind) for c, kind in df.dtypes])
+
+
 def words(text) -> F.Column:
     """The words of a text column (null: none), natively."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

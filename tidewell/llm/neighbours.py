@@ -314,9 +314,11 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "e
     shard = F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int").alias("shard")
     indexed = rows.mapInArrow(index, INDEXED).select("rid", "vec_id", "v", "keys", shard)
     buckets = indexed.select(F.explode("keys").alias("key"), "shard").distinct()
-    directory = settle(buckets.groupBy("key").agg(F.collect_list("shard").alias("shards")))
+    directory = settle(buckets.groupBy("key").agg(F.array_sort(F.collect_list("shard")).alias("shards")))
     probed = asked.select("rid", "v").mapInArrow(probe, "rid long, keys array<long>").select("rid", F.explode("keys").alias("key"))
-    routes = join_small(probed, directory, "key").select("rid", F.explode("shards").alias("shard")).distinct()
+    # Many buckets lie in the same shards, so each query's sets of shards are merged before they become rows.
+    routes = join_small(probed, directory, "key").groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_set("shards"))).alias("shards"))
+    routes = routes.select("rid", F.explode("shards").alias("shard"))
     vectors = indexed.select("shard", F.lit(0).alias("kind"), "rid", "vec_id", "v", "keys", F.lit(False).alias("every"))
 
     def answered(routes: DataFrame, every: bool) -> DataFrame:
