@@ -12,7 +12,7 @@ PER_ROW = {
     "langid": lambda d: langid.identify(d, langid.train(d)),
     "quality": quality.judge,
     "bpe": lambda d: bpe.encode_decode(d, public_tokenizers.path(bpe.VOCABULARY)),
-    "mixing": lambda d: mixing.taken_pieces(s := mixing.measured(d), mixing.targets(s)).join(s, "rid", "right").dropDuplicates(["rid"]),
+    "mixing": lambda d: mixing.packed(s := mixing.measured(d), mixing.targets(s)).join(s, "rid", "right").dropDuplicates(["rid"]),
     "pii": pii.find,
 }
 STAGES = {"quality": quality.keep_good, "simhash": simhash.keep_one_of_each, "pii": pii.redacted, "mixing": mixing.mixed}

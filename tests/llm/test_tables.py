@@ -71,42 +71,98 @@ def fair(sizes):
     return target
 
 
+def test_places_of_permutations(spark):
+    for n in (1, 5, 777):
+        there = mixing.permuted(F.col("id"), F.lit(n), F.lit("x"))
+        assert all(r.id == r.back for r in spark.range(n).select("id", mixing.place_of(there, F.lit(n), F.lit("x")).alias("back")).collect())
+
+
+def test_binomial_draws(spark):
+    for n in (0, 1, 63, 64, 65, 1000):
+        got = np.array([r.k for r in spark.range(600).select(mixing.ones(F.lit(n).cast("long"), F.col("id")).alias("k")).collect()])
+        assert got.min() >= 0 and got.max() <= n
+        assert abs(got.mean() - n / 2) <= 4 * (n / 4 / 600) ** 0.5 and abs(got.var() - n / 4) <= 0.25 * n
+
+
+def packed_rows(df):
+    sizes = mixing.measured(df)
+    sources = mixing.targets(sizes)
+    return sizes, sources, mixing.packed(sizes, sources)
+
+
 def test_mixing_meets_targets(spark, docs, odd_docs):
-    for df in (docs, odd_docs):
-        got = mixing.measured(df)
-        sources = mixing.targets(got)
+    many = [(k, " ".join(["w"] * n), s) for k, (n, s) in enumerate([(10, "a"), (40, "b"), (7, "b"), (127, "c"), (128, "d"), (129, "e"), (5000, "f"), (1, None), (0, "g")] + [(40, f"s{k}") for k in range(12)])]
+    for df in (docs, odd_docs, spark.createDataFrame(many, "doc_id long, text string, source string").repartition(3)):
+        sizes, sources, rows = packed_rows(df)
         of = {r.source: r for r in sources.collect()}
         want = fair({s: r.source_size for s, r in of.items()})
         assert {s: round(r.target, 6) for s, r in of.items()} == {s: round(t, 6) for s, t in want.items()}
-        pieces = mixing.taken_pieces(got, sources).join(got, "rid").collect()
         taken, by_row = defaultdict(int), defaultdict(int)
-        for p in pieces:
-            taken[p.source] += p.words * p.times
-            by_row[p.rid] += p.words * p.times
+        for p in rows.join(sizes, "rid").collect():
+            taken[p.source] += p.words
+            by_row[p.rid] += p.words
         for s, t in want.items():
-            assert abs(taken[s] - t) <= mixing.BLOCK
-        sizes = {r.rid: r.size for r in got.collect()}
-        assert all(n <= 2 * sizes[rid] for rid, n in by_row.items())
+            assert abs(taken[s] - t) <= 0.5
+        size = {r.rid: r.size for r in sizes.collect()}
+        assert all(n <= 2 * size[rid] for rid, n in by_row.items())
+
+
+def test_mixing_takes_what_its_slots_say(docs, monkeypatch):
+    """``taken`` from the slots, by hand: every word of every block that a slot takes is a word of one document."""
+    monkeypatch.setattr(mixing, "BLOCK", 32)
+    monkeypatch.setattr(mixing, "SHARD", 64)
+    sizes, sources, rows = packed_rows(docs)
+    slots = mixing.mix(sources).collect()
+    owner = defaultdict(dict)
+    for p in mixing.parts(sizes, sources).collect():
+        for j in range(p.words):
+            owner[p.rank, p.block][p.offset + j] = (p.rid, p.first + j)
+    want, passes = defaultdict(int), defaultdict(list)
+    for s in slots:
+        passes[s.rank, s["pass"]].append(s.block)
+        for at, (rid, _) in owner[s.rank, s.block].items():
+            want[rid] += at < s.slot_words
+    got = defaultdict(int)
+    for p in rows.collect():
+        got[p.rid] += p.words
+    assert dict(got) == {rid: n for rid, n in want.items() if n}
+    assert all(len(set(blocks)) == len(blocks) for blocks in passes.values())  # no block again before all others
+    every = {r.rid: r.size for r in sizes.collect() if r.size}
+    for key, own in owner.items():
+        assert sorted(own) == list(range(len(own)))
+    assert sum(map(len, owner.values())) == sum(every.values())
+    for s in sources.collect():
+        numbers = sorted(x.slot for x in slots if x.rank == s.rank)
+        assert numbers == list(range(s.slots))
 
 
-def test_mixing_shards_and_reruns(docs):
+def test_mixing_shards_and_reruns(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 16)
+    monkeypatch.setattr(mixing, "FAN_BITS", 3)
+    monkeypatch.setattr(mixing, "DRAW_SLOTS", 50)
     sources = mixing.targets(mixing.measured(docs))
     slots = mixing.mix(sources).collect()
     again = mixing.mix(mixing.targets(mixing.measured(docs.repartition(5)))).collect()
     assert sorted(slots) == sorted(again)
-    assert len(slots) == sources.first().all_slots
-    per = defaultdict(int)
+    assert len(slots) == sum(r.slots for r in sources.collect())
+    per, shards = defaultdict(int), 1 << (-(-len(slots) // 16) - 1).bit_length()
     for s in slots:
         per[s.shard] += 1
-    assert sorted(per.values())[:-1][1:] == [mixing.SHARD] * (len(per) - 2) or len(per) <= 2
+    mean = len(slots) / shards
+    assert set(per) <= set(range(shards)) and max(per.values()) < mean + 6 * mean**0.5
     one = sorted(tuple(r) for r in mixing.mixed(docs).collect())
     assert one == sorted(tuple(r) for r in mixing.mixed(docs.repartition(6)).collect())
-    assert sum(len(r[1].split()) for r in one) == sum(r.n for r in _taken(docs))
+    sizes, _, rows = packed_rows(docs)
+    assert sum(len(r[1].split()) for r in one) == sum(r.words for r in rows.collect())
 
 
-def _taken(docs):
-    s = mixing.measured(docs)
-    return mixing.taken_pieces(s, mixing.targets(s)).select((F.col("words") * F.col("times")).alias("n")).collect()
+def test_mixing_keeps_each_rows_own_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", k // 2) for k in range(6)] + [(2, "d e", "t", 9)], "doc_id long, text string, source string, more long")
+    got = mixing.mixed(df).collect()
+    taken = {r.doc_id: 0 for r in got}
+    for r in got:
+        taken[r.doc_id] += len(r.text.split())
+    assert {r.more for r in got if r.doc_id == 1} == {0, 1, 2} and all(r.more == 9 for r in got if r.doc_id == 2)
 
 
 def test_neighbours_recall(spark):
