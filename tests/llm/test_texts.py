@@ -15,6 +15,7 @@ import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewell.llm import bpe, langid, licences, pii, quality, simhash, suffixes
 
@@ -187,15 +188,68 @@ def test_quality_rejects_menus_and_keeps_boilerplate(spark):
     assert abs(quality.CUTOFF - 20.515) < 0.001 and abs(quality.chi_square(4.3515, 5) - 0.5) < 1e-4
 
 
-def test_quality_estimate_has_the_least_determinant(spark):
-    """A concentration step never widens the estimate."""
-    rng = random.Random(2)
-    rows = [("g", k, *[int(rng.gauss(0, 1) * quality.UNIT * (9 if k % 5 == 0 else 0.3)) for _ in range(quality.DIM)]) for k in range(500)]
-    df = spark.createDataFrame(rows, "g string, row_hash long, " + ", ".join(f"x{k} long" for k in range(quality.DIM)))
-    found = quality.estimates(df).first()
-    inner = np.array([r[2:] for r in rows if r[1] % 5], float)
-    assert abs(found.m0) < 0.2 * quality.UNIT
-    assert found.l00 < 2 * inner[:, 0].std()
+def brute_verdicts(rows, half):
+    """Estimates and squared distances in NumPy: {group: d2 of rows}; ``half``: the rows of each start."""
+    g, gl, x, fit = [np.array(c) for c in zip(*rows)]
+    floor = np.diag((np.array(quality.FLOORS) * quality.UNIT) ** 2)
+
+    def moments(v):
+        m = v.mean(0)
+        return m, quality.FACTOR * (v.T @ v / len(v) - np.outer(m, m)) + floor
+
+    def distance(v, m, c):
+        low, d = np.linalg.cholesky(c), v - m
+        return (np.linalg.solve(low, d.T) ** 2).sum(0)
+
+    core = {}
+    for name in sorted(set(g)):
+        own, best = x[(g == name) & fit], None
+        for start in range(quality.STARTS):
+            inner = own[half[(g == name) & fit, start]]
+            if not len(inner):
+                continue
+            for _ in range(quality.STEPS):
+                bins = np.floor(np.log2(distance(own, *moments(inner)) + 1e-9) * 16)
+                near = np.array([(bins < b).sum() < quality.CORE * len(own) for b in bins])
+                inner = own[near]
+            volume = np.linalg.slogdet(moments(inner)[1])[1]
+            if best is None or volume < best[0] - 1e-12:
+                best = volume, inner
+        if best:
+            core[name] = best[1]
+    lang = {name: gl[g == name][0] for name in set(g)}
+    out = np.full(len(g), np.nan)
+    if core:
+        whole = moments(np.concatenate(list(core.values())))
+        for name in set(g[fit]):
+            kin = [v for k, v in core.items() if lang[k] == lang[name]]
+            n_l, n = sum(map(len, kin)) / quality.CORE, len(core.get(name, ())) / quality.CORE
+            wl, w = n_l / (n_l + quality.SHRINK), n / (n + quality.SHRINK)
+            of_lang = moments(np.concatenate(kin)) if kin else whole
+            of_own = moments(core[name]) if name in core else of_lang
+            m, c = ((w * o + (1 - w) * (wl * k + (1 - wl) * t)) for o, k, t in zip(of_own, of_lang, whole))
+            out[g == name] = distance(x[g == name], m, c)
+    return out
+
+
+def test_quality_verdict_against_numpy(spark):
+    """Estimates and verdicts on real documents, and on lone ones of a source and of a language."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    clean = "the quiet words of an ordinary text about rivers and small towns by the sea that nobody has seen before"
+    lone = [(10**6, "$ % & | < > # * " * 30, "xx", "s"), (10**6 + 1, clean, "en", "alone"), (10**6 + 2, "a$ b% c& d| e< f> g# h* " * 30 + " ".join(map(chr, range(97, 123))), "en", "other")]
+    df = docs.union(spark.createDataFrame(lone, docs.schema)).repartition(3)
+    vectors = quality.settle(quality._vectors(quality.settle(quality.with_counts(df))).withColumn("row_hash", F.xxhash64("doc_id", "text_key")))
+    starts = [(F.pmod(F.xxhash64("row_hash", F.lit(s)), F.lit(2)) == 0).alias(f"h{s}") for s in range(quality.STARTS)]
+    rows = vectors.select("*", *starts).collect()
+    x = [[float(r[f"x{k}"]) for k in range(quality.DIM)] for r in rows]
+    want = brute_verdicts([(r.g, r.gl, v, not r.base_failed) for r, v in zip(rows, x)], np.array([[r[f"h{s}"] for s in range(quality.STARTS)] for r in rows]))
+    got = {(r.doc_id, r.n_words, r.n_symbols, r.word_chars): r for r in quality.judge(df).collect()}
+    for r, d2 in zip(rows, want):
+        own = got[r.doc_id, r.n_words, r.n_symbols, r.word_chars]
+        assert r.base_failed or abs(own.d2 - d2) <= 1e-6 * (1 + d2)
+        assert own.kept == (not r.base_failed and d2 <= quality.CUTOFF)
+    verdict = {k[0]: r.kept for k, r in got.items()}
+    assert (verdict[10**6], verdict[10**6 + 1], verdict[10**6 + 2]) == (False, True, False)
 
 
 def luhn(d):

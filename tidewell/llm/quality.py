@@ -14,15 +14,19 @@ Rates are shrunken so that a short text, whose rates scatter, is not mistaken fo
 outlier: as if ``PRIOR`` words of the group's kind were added to it. ``FLOORS`` keeps
 apart from zero the spread of rates that are zero in nearly all texts of a group: they are
 what chance alone gives a text of ``PRIOR`` words.
-Groups under ``MIN_GROUP`` rows are estimated together, per language.
+Estimates are shrunken by row count, so that groups of every size are treated alike: a group of ``n`` rows
+has its own with weight ``n / (n + SHRINK)`` and for the rest its language's; that is pooled
+from the cores of the language's groups and shrunken likewise towards the whole table's. So a lone text of
+a source is judged by its language, and a lone text of a language by the table. Outliers
+that are over half of a large group are the group's own kind and stay.
 
 All is DataFrame expressions. The distances are cut at a share of the group by
 counting them in narrow logarithmic bins, so that no task sorts a group; sums are of
 whole numbers, so that their order does not matter.
 
 Defined cases: a null or wordless text has zero counts and fails; a group too small for any
-start to draw a row of it has no estimate, and its texts are kept unless the base rule
-fails them; null languages or
+start to draw a row of it has its language's estimate; if that holds for all groups of a table there is
+no estimate, and texts are kept unless the base rule fails them; null languages or
 sources are groups of their own; repeated rows count as often as they occur; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -35,14 +39,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import SPACE, join_small, settle, table, words
+from tidewell.llm.common import SMALL_ROWS, SPACE, join_small, settle, table, words
 
 MIN_WORDS = 10
 WINDOW = 5
 PRIOR = 100
 CORE = 0.5
 QUANTILE = 0.999
-MIN_GROUP = 60
+SHRINK = 60
 STARTS, STEPS = 3, 4
 #: Least standard deviations of the five rates. The root of a rate out of n has one of half the
 #: root of 1 / n; words repeat by ten at least, two windows, and half their mean length is its spread.
@@ -114,14 +118,13 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _vectors(counted: DataFrame) -> DataFrame:
-    """Each row with its group's name ``g`` and its vector ``x0 ...`` in whole units."""
-    own = F.to_json(F.struct("lang", "source"))
-    sizes = counted.groupBy(own.alias("_own")).agg(F.count("*").alias("_n"), F.first("lang").alias("_lang"))
-    names = settle(
-        sizes.select("_own", F.when(F.col("_n") >= MIN_GROUP, F.col("_own")).otherwise(F.to_json(F.struct(F.col("_lang").alias("pooled")))).alias("g"))
-    )
-    df = join_small(counted.withColumn("_own", own), names, "_own").drop("_own")
-    typical = settle(df.where("not base_failed").groupBy("g").agg((F.sum("word_chars") / F.sum("n_words")).alias("_typical")))
+    """Each row with its group's name ``g``, its language's ``gl`` and its vector ``x0 ...`` in whole units."""
+    df = counted.withColumn("g", F.to_json(F.struct("lang", "source"))).withColumn("gl", F.to_json(F.struct("lang")))
+    good = lambda c: F.sum(F.when(~F.col("base_failed"), F.col(c)))
+    own = settle(df.groupBy("g", "gl").agg(good("word_chars").alias("_c"), good("n_words").alias("_n")).where("_n > 0"))
+    by_lang = own.groupBy("gl").agg((F.sum("_c") / F.sum("_n")).alias("_l"))
+    words_of = F.lit(SHRINK * PRIOR)
+    typical = settle(join_small(own, settle(by_lang), "gl").select("g", ((F.col("_c") + words_of * F.col("_l")) / (F.col("_n") + words_of)).alias("_typical")))
     df = join_small(df, typical, "g", "left")
     n = F.col("n_words") + PRIOR
     chars = F.col("word_chars") + 5 * PRIOR
@@ -144,20 +147,29 @@ def _sums(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _estimate(sums: DataFrame) -> DataFrame:
-    """Per group and start: the mean ``m0 ...`` and the factor ``l00 ...`` of the covariance."""
-    df = sums.withColumns({f"m{i}": F.col(f"m{i}").cast("double") / F.col("n") for i in range(DIM)})
-    floor = lambda i, j: F.lit((FLOORS[i] * UNIT) ** 2 if i == j else 0.0)
-    df = df.withColumns(
-        {f"c{i}{j}": FACTOR * (F.col(f"c{i}{j}").cast("double") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + floor(i, j) for i, j in PAIRS}
+MEANS, COVS = [f"m{i}" for i in range(DIM)], [f"c{i}{j}" for i, j in PAIRS]
+
+
+def _floor(i: int, j: int) -> float:
+    return (FLOORS[i] * UNIT) ** 2 if i == j else 0.0
+
+
+def _moments(sums: DataFrame) -> DataFrame:
+    """Sums over cores as means ``m0 ...`` and covariances ``c00 ...`` of all rows."""
+    df = sums.withColumns({m: F.col(m).cast("double") / F.col("n") for m in MEANS})
+    return df.withColumns(
+        {f"c{i}{j}": FACTOR * (F.col(f"c{i}{j}").cast("double") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + _floor(i, j) for i, j in PAIRS}
     )
-    for i, j in PAIRS:  # Cholesky, row by row
+
+
+def _factored(df: DataFrame) -> DataFrame:
+    """``df`` with the Cholesky factor ``l00 ...`` of its covariances and ``volume``, the logarithm of its determinant's root."""
+    for i, j in PAIRS:  # row by row
         rest = F.col(f"c{i}{j}")
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, floor(i, i) / 2)) if i == j else rest / F.col(f"l{j}{j}"))
-    volume = sum((F.log(F.col(f"l{i}{i}")) for i in range(1, DIM)), F.log(F.col("l00")))
-    return df.select("g", "start", volume.alias("volume"), *[f"m{i}" for i in range(DIM)], *[f"l{i}{j}" for i, j in PAIRS])
+        df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(_floor(i, i) / 2))) if i == j else rest / F.col(f"l{j}{j}"))
+    return df.withColumn("volume", sum((F.log(F.col(f"l{i}{i}")) for i in range(1, DIM)), F.log(F.col("l00")))).drop(*COVS)
 
 
 def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -169,7 +181,7 @@ def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
             rest = rest - F.col(f"l{i}{k}") * F.col(f"z{k}")
         df = df.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
     d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, DIM)), F.col("z0") * F.col("z0"))
-    return df.withColumn("d2", d2).drop("volume", *[f"{c}{i}" for c in "mz" for i in range(DIM)], *[f"l{i}{j}" for i, j in PAIRS])
+    return df.withColumn("d2", d2).drop("volume", "n", *[f"{c}{i}" for c in "mz" for i in range(DIM)], *[f"l{i}{j}" for i, j in PAIRS])
 
 
 def _core(rows: DataFrame, share: float) -> DataFrame:
@@ -185,16 +197,35 @@ def _core(rows: DataFrame, share: float) -> DataFrame:
     return near.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in near.columns if c not in ("g", "start", "bin", "before", "all")])
 
 
-def estimates(vectors: DataFrame) -> DataFrame:
-    """The minimum-covariance-determinant estimate of each group."""
+def cores(vectors: DataFrame) -> DataFrame:
+    """Per group the sums over its core: that of the start which ends in the least determinant."""
     vectors = vectors.select("g", "row_hash", *[f"x{k}" for k in range(DIM)])
     started = vectors.withColumn("start", F.explode(F.array(*[F.lit(s) for s in range(STARTS)])))
-    half = F.pmod(F.xxhash64("row_hash", "start"), F.lit(2)) == 0
-    found = settle(_estimate(_sums(started.where(half), "g", "start")))
+    sums = _sums(started.where(F.pmod(F.xxhash64("row_hash", "start"), F.lit(2)) == 0), "g", "start")
     for _ in range(STEPS):
-        found = settle(_estimate(_core(_distance(vectors, found), CORE)))
+        found = settle(_factored(_moments(sums)).drop("n"))
+        sums = settle(_core(_distance(vectors, found), CORE))
+    volumes = _factored(_moments(sums)).select("g", "start", "volume")
     tightest = F.row_number().over(W.partitionBy("g").orderBy("volume", "start"))
-    return settle(found.withColumn("_k", tightest).where("_k = 1").drop("_k"))
+    best = volumes.withColumn("_k", tightest).where("_k = 1").select("g", "start")
+    return settle(sums.join(best, ["g", "start"]).drop("start"))
+
+
+def estimates(vectors: DataFrame) -> DataFrame:
+    """Each group's mean ``m0 ...`` and factor ``l00 ...``: its minimum-covariance-determinant estimate, shrunken."""
+    groups = settle(vectors.select("g", "gl").distinct())
+    own = settle(groups.join(cores(vectors), "g", "left"))
+    pooled = lambda df, *keys: df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", *MEANS, *COVS)])
+    some = own.where("n is not null")
+    by_lang, whole = pooled(some, "gl"), pooled(some)
+    named = lambda df, prefix: df.select(*[F.col(c).alias(prefix + c if c in ("n", *MEANS, *COVS) else c) for c in df.columns])
+    df = join_small(_moments(own), settle(named(_moments(by_lang), "l_")), "gl", "left")
+    df = df.crossJoin(F.broadcast(named(_moments(whole), "t_")))  # one row
+    rows = lambda c: F.coalesce(F.col(c), F.lit(0)) / CORE
+    weight = lambda c: rows(c) / (rows(c) + SHRINK)
+    mixed = lambda w, a, b: w * F.coalesce(a, F.lit(0.0)) + (1 - w) * b
+    made = {c: mixed(weight("n"), F.col(c), mixed(weight("l_n"), F.col("l_" + c), F.col("t_" + c))) for c in (*MEANS, *COVS)}
+    return settle(_factored(df.select("g", *[x.alias(c) for c, x in made.items()])))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -202,18 +233,18 @@ def judge(docs: DataFrame) -> DataFrame:
     need = docs.select("doc_id", "text", "lang", "source")
     counted = settle(with_counts(need))
     vectors = settle(_vectors(counted).withColumn("row_hash", F.xxhash64("doc_id", "text_key")))
-    judged = _distance(vectors, estimates(vectors.where("not base_failed")).drop("start"))
+    judged = _distance(vectors, estimates(vectors.where("not base_failed")))
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rejected ones."""
-    keys = ["doc_id", "lang", "source"]
-    out = judge(docs).where("not kept").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("text_key").alias("_key")).distinct()
-    same = F.xxhash64(docs.text) == out._key
-    for k in keys:
-        same = same & docs[k].eqNullSafe(out[f"_{k}"])
-    return docs.join(out, same, "left_anti")
+    """``docs`` without the rejected ones; the texts stay where they are if these are counted to be few."""
+    key = F.xxhash64("doc_id", "lang", "source", F.xxhash64("text"))
+    out = judge(docs).where("not kept")
+    out = settle(out.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "lang", "source", "text_key").alias("_key")).distinct())
+    df = docs.withColumn("__key", key)
+    few = F.broadcast(out) if out.count() <= SMALL_ROWS else out
+    return df.join(few, (df["__key"] == out["_key"]) & df.doc_id.eqNullSafe(out["_id"]), "left_anti").select(*docs.columns)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
