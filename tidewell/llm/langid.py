@@ -3,8 +3,9 @@
 A text's features are the shares of its hashed byte trigrams (lower case, words apart).
 A linear support vector machine for each pair of families, and for each pair of languages
 of a family, is trained by stochastic subgradient steps on a bounded sample: at most
-``PER_LANGUAGE`` labelled documents of each language, those whose hashed ids come first
-(rows that share an id count once, with the least text). The feature vectors are made by
+``PER_LANGUAGE`` labelled documents of each language and about ``SAMPLE`` of all, those whose hashed ids come first
+(rows that share an id count once, with the least text). Ids under a bound on the hash, set from the
+languages' approximate counts, are taken before the first of these are, so no task gathers a language. The feature vectors are made by
 the executors; the driver receives ``FEATURES`` numbers for each sampled row. Prediction adds up trigram weights over whole texts: first the family
 that wins most pairs, then the language that does within it (ties: the larger sum of
 margins). ``score`` is the logistic of the narrowest margin by which the winners won.
@@ -30,10 +31,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import table
+from tidewell.llm.common import join_small, settle, table
 
 FEATURES = 4096
-PER_LANGUAGE = 400
+PER_LANGUAGE, SAMPLE = 400, 8000
+#: Times the wanted ids that are taken before the first are chosen.
+SPARE = 8
 EPOCHS, REGULAR = 30, 1e-3
 #: Bytes that are counted in one step.
 PIECE = 1 << 20
@@ -144,10 +147,14 @@ def held_out(doc_id):
 
 def train(docs: DataFrame) -> Model:
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # At most PER_LANGUAGE ids for each language: what is broadcast does not grow with the rows.
-    chosen = rows.select("lang", "doc_id").withColumn("k", first).where(F.col("k") <= PER_LANGUAGE).select("doc_id").distinct()
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    counts = settle(rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")))
+    wanted = max(2, min(PER_LANGUAGE, SAMPLE // max(1, counts.count())))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    some = join_small(rows.select("lang", "doc_id"), counts, "lang").where(place * F.col("ids") < SPARE * wanted).select("lang", "doc_id").distinct()
+    first = F.row_number().over(W.partitionBy("lang").orderBy(place, "doc_id"))
+    # At most so many ids for each language: what is broadcast does not grow with the rows.
+    chosen = some.withColumn("k", first).where(F.col("k") <= wanted).select("lang", "doc_id")
+    sample = rows.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     sample = sample.select("lang", F.xxhash64("doc_id", "text").alias("order"), shares_of("text").alias("x"))
     found = sorted(sample.collect(), key=lambda r: (r.lang, r.order))
     return Model([(r.lang, np.frombuffer(r.x, np.float32)) for r in found])
