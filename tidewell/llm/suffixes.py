@@ -12,12 +12,14 @@ each up to where the windows that it represents end.
 The sort: documents are dealt to slices. A slice's suffixes are sorted into runs, one for
 each partition of the exchange; suffixes that agree in all their windows are sent once. A
 run is front-coded: of each suffix only the length of the prefix it shares with the one
-before, and the rest. A partition merges its runs with a loser tree that knows how many bytes
+before, and the rest. Where a slice has the same windows again, the later ones are repeats whatever else there
+is: their spans are known in the slice, joined up per document, and go back to it without passing through the windows'
+partition. A partition merges its runs with a loser tree that knows how many bytes
 each head shares with the last winner: the head that shares more wins without a look
 at its bytes, and of equals only what lies beyond the shared bytes is compared. The merge
 gives the order and the common prefixes of neighbours. A window with ``o`` bytes before
 its anchor repeats another if their suffixes share ``100 - o`` bytes, which is a stretch of
-the order, and the ``o`` bytes before the anchors agree.
+the order, and the ``o`` bytes before the anchors agree; these are found by a hash and compared byte by byte.
 
 Where a gram occurs over ``HOT`` times, each of its windows is sent as a suffix of its own
 to a partition that depends on the whole window, so that no task gathers a common line's
@@ -50,7 +52,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LAST_ID = np.iinfo(np.int64).max
 
-RUN = "part int, size long, packed binary"
+RUN = "part int, known boolean, size long, packed binary"
 SPANS = "slice int, doc_id long, text_key long, start long, end long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -107,6 +109,20 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return hashes[at[cut]], at[cut], starts[cut], starts[last]
 
 
+#: Windows whose grams are hashed at a time; of longer texts a piece after the other.
+PIECE = 1 << 20
+
+
+def anchors_by_piece(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``anchors``, in bounded memory; an anchor whose windows lie in two pieces comes twice."""
+    found = []
+    for a in range(0, max(1, len(data) - LENGTH + 1), PIECE):
+        b = min(len(data), a + PIECE + LENGTH - 1)
+        hashes, *places = anchors(data[a:b], ends[(ends > a) & (ends <= b)] - a)
+        found.append((hashes, *(p + a for p in places)))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def _laid(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of texts end to end, and where each ends."""
     each = [(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
@@ -119,7 +135,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, batch.num_rows, 1000):
             part = batch.slice(k, 1000)
             data, ends = _laid(part.column("text"))
-            hashes, at, _, _ = anchors(data, ends)
+            hashes, at, _, _ = anchors_by_piece(data, ends)
             slices = part.column("slice").to_numpy(zero_copy_only=False)[np.searchsorted(ends, at, "right")]
             order = np.lexsort((slices, hashes))
             hashes, slices = hashes[order], slices[order]
@@ -162,7 +178,7 @@ def _runs(parts: int):
         if docs.num_rows and grams.num_rows:
             docs = _first_of_each(docs)
             data, ends = _laid(docs.column("text"))
-            hashes, at, first, last = anchors(data, ends)
+            hashes, at, first, last = anchors_by_piece(data, ends)
             known = grams.column("gram").to_numpy().view(np.uint64)
             order = np.argsort(known)
             known, hot = known[order], grams.column("hot").to_numpy()[order]
@@ -184,29 +200,43 @@ def _runs(parts: int):
                     items.append((h % parts, raw[p : b + LENGTH], raw[a:p], p - b, ids[d], keys[d], p - o))
             items.sort()
             slice_no = docs.column("slice")[0].as_py()
-            k = 0
+            k, more = 0, []
             while k < len(items):
-                part, kept, more = items[k][0], [], []
+                part, kept = items[k][0], []
                 while k < len(items) and items[k][0] == part:
                     one = items[k]
                     k += 1
                     kept.append(one)
                     while k < len(items) and items[k][:4] == one[:4]:  # the same windows, later
-                        more.append((len(kept) - 1, *items[k][4:]))
+                        i, t, p = items[k][4:]
+                        more.append((i, t, p - len(one[2]), p - one[3] + LENGTH))
                         k += 1
                 rows = [x[1] for x in kept]
                 shared = _shared(rows)
                 owners = np.array([(x[4], x[5], x[6], x[3], len(x[2]), slice_no) for x in kept], np.int64)
-                out.append((part, *_packed([
+                out.append((part, False, *_packed([
                     shared.astype(np.uint8).tobytes(), bytes(map(len, rows)), b"".join([r[n:] for r, n in zip(rows, shared.tolist())]),
-                    b"".join([x[2] for x in kept]), owners.T.tobytes(), np.array(more, np.int64).reshape(-1, 4).T.tobytes(),
+                    b"".join([x[2] for x in kept]), owners.T.tobytes(),
                 ])))
-        columns = list(zip(*out)) if out else [[]] * 3
+            if more:
+                out.append((slice_no % parts, True, *_packed([np.array([(slice_no, *x) for x in _joined(more)], np.int64).T.tobytes()])))
+        columns = list(zip(*out)) if out else [[]] * 4
         return pa.table({name: pa.array(c, t) for (name, t), c in zip(_RUN, columns)})
 
     return sort
 
 
+def _joined(spans: list[tuple]) -> list[tuple]:
+    """Spans (id, key, start, end), those of a document that overlap or touch as one."""
+    out: list[tuple] = []
+    for i, t, a, b in sorted(spans):
+        if out and out[-1][:2] == (i, t) and a <= out[-1][3]:
+            out[-1] = (i, t, out[-1][2], max(b, out[-1][3]))
+        else:
+            out.append((i, t, a, b))
+    return out
+
+
 def _first_of_each(docs: pa.Table) -> pa.Table:
     """Without the rows that agree with an earlier one in id and text."""
     seen, keep = set(), []
@@ -217,7 +247,7 @@ def _first_of_each(docs: pa.Table) -> pa.Table:
     return docs if len(keep) == docs.num_rows else docs.take(keep)
 
 
-_RUN = [("part", pa.int32()), ("size", pa.int64()), ("packed", pa.binary())]
+_RUN = [("part", pa.int32()), ("known", pa.bool_()), ("size", pa.int64()), ("packed", pa.binary())]
 
 
 def _packed(parts: list[bytes]) -> tuple[int, bytes]:
@@ -304,6 +334,12 @@ def _decoded(sizes: bytes, shared: list[int], rest: bytes) -> list[bytes]:
     return out
 
 
+def _again_by_bytes(stretch: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Which rows, the earliest first, have the stretch and the bytes of one before."""
+    seen: set[tuple] = set()
+    return np.array([(k in seen) or bool(seen.add(k)) for k in zip(stretch.tolist(), map(bytes, left))])
+
+
 def repeated(shared: np.ndarray, lefts: np.ndarray, owners: np.ndarray) -> np.ndarray:
     """Which windows of merged suffixes start earlier elsewhere: a row per suffix, a column per offset.
 
@@ -321,19 +357,26 @@ def repeated(shared: np.ndarray, lefts: np.ndarray, owners: np.ndarray) -> np.nd
             stretch = np.cumsum(shared < LENGTH - o).astype(np.uint64)
             key = ((stretch * np.uint64(0x94D049BB133111EB)) ^ (stretch << np.uint64(40))) + left
             has = np.flatnonzero((low <= o) & (o <= high))
-            _, first = np.unique(key[rank[has]], return_index=True)  # the first of each: the earliest
+            own = rank[has]
+            _, first, which = np.unique(key[own], return_index=True, return_inverse=True)  # the first of each: the earliest
             again = np.ones(len(has), bool)
             again[first] = False
-            out[rank[has[again]], o] = True
+            later, earlier = own[again], own[first[which[again]]]
+            if not ((stretch[later] == stretch[earlier]).all() and (lefts[later, :o] == lefts[earlier, :o]).all()):
+                again = _again_by_bytes(stretch[own], lefts[own, :o])  # two hashes agreed by chance
+            out[own[again], o] = True
     return out
 
 
 def _merge(runs: pa.Table) -> pa.Table:
     """Merge a partition's runs and report the spans of repeated windows."""
-    lists, lefts, owners, more = [], [], [], []
-    for size, packed in zip(runs.column("size").to_pylist(), runs.column("packed")):
-        known, sizes, rest, left, owned, again = _unpacked(size, packed.as_py(), 6)
-        shared = list(known)
+    lists, lefts, owners, spans = [], [], [], [np.zeros((0, 5), np.int64)]
+    for known, size, packed in zip(runs.column("known").to_pylist(), runs.column("size").to_pylist(), runs.column("packed")):
+        if known:
+            spans.append(np.frombuffer(_unpacked(size, packed.as_py(), 1)[0], np.int64).reshape(5, -1).T)
+            continue
+        prefix, sizes, rest, left, owned = _unpacked(size, packed.as_py(), 5)
+        shared = list(prefix)
         lists.append((_decoded(sizes, shared, rest), shared))
         own = np.frombuffer(owned, np.int64).reshape(6, -1).T
         owners.append(own)
@@ -342,10 +385,16 @@ def _merge(runs: pa.Table) -> pa.Table:
         for k, (size, end) in enumerate(zip(own[:, 4].tolist(), ends.tolist())):
             grid[k, :size] = np.frombuffer(left, np.uint8, size, end - size)[::-1]
         lefts.append(grid)
-        more.append(np.frombuffer(again, np.int64).reshape(4, -1).T)
+    if lists:
+        spans.append(_merged_spans(lists, lefts, owners))
+    found = np.concatenate(spans)
+    return pa.table({"slice": found[:, 0].astype(np.int32), "doc_id": found[:, 1], "text_key": found[:, 2], "start": found[:, 3], "end": found[:, 4]})
+
+
+def _merged_spans(lists: list, lefts: list, owners: list) -> np.ndarray:
+    """(slice, id, key, start, end) of the windows in the merged runs that start earlier elsewhere."""
     order, shared = LoserTree(lists).order()
     order, shared = np.array(order, np.int64), np.array(shared, np.int64)
-    base = np.cumsum([0, *[len(o) for o in owners]])
     within = np.argsort(order, kind="stable")  # merged places of each run's strings, in the run's order
     place = np.empty(len(order), np.int64)
     place[within] = np.arange(len(order))  # rows lie run after run
@@ -363,12 +412,7 @@ def _merge(runs: pa.Table) -> pa.Table:
     edge[:, 1:-1] = again
     row, start = np.nonzero(np.diff(edge, axis=1) == 1)
     _, end = np.nonzero(np.diff(edge, axis=1) == -1)
-    spans = [np.column_stack([merged[row, 5], merged[row, 0], merged[row, 1], merged[row, 2] - end + 1, merged[row, 2] - start + LENGTH])]
-    for b, own, rows in zip(base, owners, more):
-        of = own[rows[:, 0]]
-        spans.append(np.column_stack([of[:, 5], rows[:, 1], rows[:, 2], rows[:, 3] - of[:, 4], rows[:, 3] - of[:, 3] + LENGTH]))
-    found = np.concatenate(spans)
-    return pa.table({"slice": found[:, 0].astype(np.int32), "doc_id": found[:, 1], "text_key": found[:, 2], "start": found[:, 3], "end": found[:, 4]})
+    return np.column_stack([merged[row, 5], merged[row, 0], merged[row, 1], merged[row, 2] - end + 1, merged[row, 2] - start + LENGTH])
 
 
 def _cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
