@@ -119,11 +119,13 @@ def brute_removal(rows):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("hot", [3, 50_000])
-def test_suffixes_remove_what_repeats(spark, docs, monkeypatch, hot):
+@pytest.mark.parametrize("hot, many", [(3, 1 << 20), (50_000, 1 << 20), (50_000, 0), (3, 0)])
+def test_suffixes_remove_what_repeats(spark, docs, monkeypatch, hot, many):
     monkeypatch.setattr(suffixes, "HOT", hot)
-    monkeypatch.setattr(suffixes, "SLICE_BYTES", 100_000)
+    monkeypatch.setattr(suffixes, "MANY_RUNS", many)
+    monkeypatch.setattr(suffixes, "SLICE_BYTES", 30_000)
     monkeypatch.setattr(suffixes, "PARTITION_BYTES", 100_000)
+    monkeypatch.setattr(suffixes, "PIECE", 50_000)
     rng = random.Random(3)
     base = "".join(rng.choice("ab") for _ in range(700))
     rows = [(r.doc_id, r.text) for r in docs.where("doc_id < 120").collect()]
@@ -133,6 +135,20 @@ def test_suffixes_remove_what_repeats(spark, docs, monkeypatch, hot):
     assert sorted(str(tuple(r)) for r in got) == brute_removal(rows)
 
 
+def test_suffixes_compare_left_contexts_by_bytes(monkeypatch):
+    """The same spans if all left contexts hash alike."""
+    rng = np.random.default_rng(1)
+    n = 60
+    shared = np.where(rng.random(n) < 0.7, 100, 40)
+    lefts = rng.integers(0, 2, (n, suffixes.SPAN)).astype(np.uint8)
+    lefts[10:20] = lefts[:10]
+    owners = np.column_stack([rng.permutation(n), np.zeros(n, int), np.zeros(n, int), np.zeros(n, int), rng.integers(0, 60, n)])
+    want = suffixes.repeated(shared, lefts, owners)
+    monkeypatch.setattr(suffixes, "_BASE", np.uint64(0))
+    monkeypatch.setattr(suffixes, "_MIX", np.uint64(0))
+    assert want.any() and (suffixes.repeated(shared, lefts, owners) == want).all()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.binary(max_size=6) | st.text("ab", max_size=9).map(str.encode), max_size=12), min_size=1, max_size=7))
 def test_loser_tree_merges(lists):

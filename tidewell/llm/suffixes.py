@@ -21,11 +21,16 @@ gives the order and the common prefixes of neighbours. A window with ``o`` bytes
 its anchor repeats another if their suffixes share ``100 - o`` bytes, which is a stretch of
 the order, and the ``o`` bytes before the anchors agree; these are found by a hash and compared byte by byte.
 
+A run for each slice and partition would be a square of the input. Beyond ``MANY_RUNS`` of them they are merged in two levels: a
+slice bundles its runs for about the root of the number of partitions, and bundles of about the root of
+the number of slices are merged, partition by partition, into one run each (again without what is known to repeat) before
+the partitions merge these. The result is the same.
+
 Where a gram occurs over ``HOT`` times, each of its windows is sent as a suffix of its own
 to a partition that depends on the whole window, so that no task gathers a common line's
 every context.
 
-Defined cases: null and short texts lose nothing; null ids come last; of rows that agree in
+Defined cases: null and short texts lose nothing; null ids come last (with the largest possible id); of rows that agree in
 id and text the later ones are copies; ids that agree with different texts are ordered by
 the texts' hashes; an empty table gives an empty result; other columns are ignored.
 """
@@ -34,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +53,14 @@ GRAM = 40
 SPAN = LENGTH - GRAM + 1  # grams in a window
 HOT = 50_000
 SLICE_BYTES, PARTITION_BYTES = 8 << 20, 4 << 20
+MANY_RUNS = 1 << 20
 _PLACE = np.uint64((1 << 31) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LAST_ID = np.iinfo(np.int64).max
 
 RUN = "part int, known boolean, size long, packed binary"
+BUNDLE = "slices int, parts int, part array<int>, known array<boolean>, size array<long>, packed array<binary>"
 SPANS = "slice int, doc_id long, text_key long, start long, end long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -170,6 +178,24 @@ def _shared(rows: list[bytes]) -> np.ndarray:
     return out
 
 
+def _bundles(parts: int, width: int, slices: int):
+    """A slice's runs, those for ``width`` partitions in a row; slices in groups of ``slices``."""
+    sort = _runs(parts)
+
+    def run(docs: pa.Table, grams: pa.Table) -> pa.Table:
+        made = sort(docs, grams)
+        by: dict[int, list[int]] = {}
+        for k, part in enumerate(made.column("part").to_pylist()):
+            by.setdefault(part // width, []).append(k)
+        group = docs.column("slice")[0].as_py() // slices if docs.num_rows else 0
+        names = [name for name, _ in _RUN]
+        rows = [made.take(ks).to_pydict() for ks in by.values()]
+        columns = {"slices": pa.array([group] * len(by), pa.int32()), "parts": pa.array(list(by), pa.int32())}
+        return pa.table(columns | {name: pa.array([r[name] for r in rows], pa.list_(t)) for name, t in zip(names, (t for _, t in _RUN))})
+
+    return run
+
+
 def _runs(parts: int):
     """Sort a slice's suffixes into front-coded runs, one for each partition of the exchange."""
 
@@ -212,12 +238,8 @@ def _runs(parts: int):
                         more.append((i, t, p - len(one[2]), p - one[3] + LENGTH))
                         k += 1
                 rows = [x[1] for x in kept]
-                shared = _shared(rows)
                 owners = np.array([(x[4], x[5], x[6], x[3], len(x[2]), slice_no) for x in kept], np.int64)
-                out.append((part, False, *_packed([
-                    shared.astype(np.uint8).tobytes(), bytes(map(len, rows)), b"".join([r[n:] for r, n in zip(rows, shared.tolist())]),
-                    b"".join([x[2] for x in kept]), owners.T.tobytes(),
-                ])))
+                out.append((part, False, *_encoded(rows, _shared(rows).tolist(), [x[2] for x in kept], owners)))
             if more:
                 out.append((slice_no % parts, True, *_packed([np.array([(slice_no, *x) for x in _joined(more)], np.int64).T.tobytes()])))
         columns = list(zip(*out)) if out else [[]] * 4
@@ -256,6 +278,11 @@ def _packed(parts: list[bytes]) -> tuple[int, bytes]:
     return len(whole), pa.compress(whole, "zstd", asbytes=True)
 
 
+def _encoded(rows: list[bytes], shared: list[int], lefts: list[bytes], owners: np.ndarray) -> tuple[int, bytes]:
+    """A run: its front-coded strings, what stands before each, and whose they are."""
+    return _packed([bytes(shared), bytes(map(len, rows)), b"".join([r[n:] for r, n in zip(rows, shared)]), b"".join(lefts), owners.T.tobytes()])
+
+
 def _unpacked(size: int, packed: bytes, count: int) -> list[bytes]:
     whole = pa.decompress(packed, size, "zstd", asbytes=True)
     ends = 8 * count + np.cumsum([0, *np.frombuffer(whole, np.int64, count)])
@@ -368,6 +395,61 @@ def repeated(shared: np.ndarray, lefts: np.ndarray, owners: np.ndarray) -> np.nd
     return out
 
 
+def _run(size: int, packed: bytes) -> tuple[list[bytes], list[int], list[bytes], np.ndarray]:
+    prefix, sizes, rest, left, owned = _unpacked(size, packed, 5)
+    shared, owners = list(prefix), np.frombuffer(owned, np.int64).reshape(6, -1).T
+    ends = np.cumsum(owners[:, 4]).tolist()
+    return _decoded(sizes, shared, rest), shared, [left[a:b] for a, b in zip([0, *ends], ends)], owners
+
+
+def _combined(runs: list[tuple]) -> tuple[tuple[int, bytes], list[tuple]]:
+    """Runs merged into one, and the spans (slice, id, key, start, end) of the same windows that come later."""
+    order, shared = LoserTree([(r[0], r[1]) for r in runs]).order()
+    at, rows, prefix, lefts, owners, spans = [0] * len(runs), [], [], [], [], []
+    same: dict[tuple, int] = {}
+    for k, n in zip(order, shared):
+        i = at[k]
+        at[k] += 1
+        string, left, own = runs[k][0][i], runs[k][2][i], tuple(runs[k][3][i].tolist())
+        if not (rows and n == len(string) == len(rows[-1])):
+            same = {}
+        where = same.setdefault((left, own[3]), len(rows))
+        if where < len(rows):
+            first, later = sorted([owners[where], own])
+            owners[where] = first
+            spans.append((later[5], later[0], later[1], later[2] - later[4], later[2] - later[3] + LENGTH))
+        else:
+            rows.append(string)
+            prefix.append(n)
+            lefts.append(left)
+            owners.append(own)
+    return _encoded(rows, prefix, lefts, np.array(owners, np.int64)), spans
+
+
+def _merge_bundles(bundles: pa.Table) -> pa.Table:
+    """The runs of some slices for some partitions: one run for each partition."""
+    by_part: dict[int, list] = {}
+    out, more = [], []
+    for each in zip(*(bundles.column(c).to_pylist() for c in ("part", "known", "size", "packed"))):
+        for part, known, size, packed in zip(*each):
+            if known:
+                out.append((part, known, size, packed))
+            else:
+                by_part.setdefault(part, []).append((size, packed))
+    for part, runs in by_part.items():
+        run, spans = _combined([_run(*r) for r in runs])
+        out.append((part, False, *run))
+        more += spans
+    if more:
+        by_slice: dict[int, list] = {}
+        for s, *span in more:
+            by_slice.setdefault(s, []).append(tuple(span))
+        joined = [(s, *span) for s, spans in by_slice.items() for span in _joined(spans)]
+        out.append((out[0][0], True, *_packed([np.array(joined, np.int64).T.tobytes()])))
+    columns = list(zip(*out)) if out else [[]] * 4
+    return pa.table({name: pa.array(c, t) for (name, t), c in zip(_RUN, columns)})
+
+
 def _merge(runs: pa.Table) -> pa.Table:
     """Merge a partition's runs and report the spans of repeated windows."""
     lists, lefts, owners, spans = [], [], [], [np.zeros((0, 5), np.int64)]
@@ -375,15 +457,12 @@ def _merge(runs: pa.Table) -> pa.Table:
         if known:
             spans.append(np.frombuffer(_unpacked(size, packed.as_py(), 1)[0], np.int64).reshape(5, -1).T)
             continue
-        prefix, sizes, rest, left, owned = _unpacked(size, packed.as_py(), 5)
-        shared = list(prefix)
-        lists.append((_decoded(sizes, shared, rest), shared))
-        own = np.frombuffer(owned, np.int64).reshape(6, -1).T
+        rows, shared, left, own = _run(size, packed.as_py())
+        lists.append((rows, shared))
         owners.append(own)
         grid = np.zeros((len(own), SPAN), np.uint8)
-        ends = np.cumsum(own[:, 4])
-        for k, (size, end) in enumerate(zip(own[:, 4].tolist(), ends.tolist())):
-            grid[k, :size] = np.frombuffer(left, np.uint8, size, end - size)[::-1]
+        for k, bytes_before in enumerate(left):
+            grid[k, : len(bytes_before)] = np.frombuffer(bytes_before, np.uint8)[::-1]
         lefts.append(grid)
     if lists:
         spans.append(_merged_spans(lists, lefts, owners))
@@ -458,7 +537,13 @@ def repeated_spans(dealt: DataFrame, total: int) -> DataFrame:
     """``(slice, doc_id, text_key, start, end)``: spans in which every byte is to go; they may overlap."""
     parts = max(1, total // PARTITION_BYTES)
     grams = dealt.select("text", "slice").mapInArrow(_count_grams, "gram long, slice int, n int").repartition(parts, "gram").mapInArrow(_recurring, "slice int, gram long, hot boolean")
-    runs = dealt.groupBy("slice").cogroup(grams.groupBy("slice")).applyInArrow(_runs(parts), RUN)
+    by_slice = dealt.groupBy("slice").cogroup(grams.groupBy("slice"))
+    slices = max(1, total // SLICE_BYTES)
+    if slices * parts <= MANY_RUNS:
+        runs = by_slice.applyInArrow(_runs(parts), RUN)
+    else:
+        bundles = by_slice.applyInArrow(_bundles(parts, 1 + isqrt(parts), 1 + isqrt(slices)), BUNDLE)
+        runs = bundles.groupBy("slices", "parts").applyInArrow(_merge_bundles, RUN)
     return runs.groupBy("part").applyInArrow(_merge, SPANS)
 
 
