@@ -160,6 +160,20 @@ def test_csv(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "out"), header=True).first().a == "12300000000000"
 
 
+def test_run_writes_five_results(spark, tmp_path):
+    from tidewell import __main__
+
+    head = "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering\n"
+    (tmp_path / "t.csv").write_text(head + "2022/09/01 00:00,01,a,2,c,1,US Dollar,0.0000001,US Dollar,Wire,0\n" * 2)
+    (tmp_path / "a.csv").write_text("Bank Name,Bank ID,Account Number,Entity ID,Entity Name\nB,1,1,2,E\n")
+    (tmp_path / "p.json").write_text('{"threshold": 2}')
+    __main__.main(["--transactions", f"{tmp_path}/t.csv", "--accounts", f"{tmp_path}/a.csv", "--output", f"{tmp_path}/out", "--parameters", f"{tmp_path}/p.json"])
+    got = {n: spark.read.csv(f"{tmp_path}/out/query{n}.csv", header=True) for n in range(1, 6)}
+    assert bag(got[1]) == [("1", "a", "2", "c", "0.0000001")] * 2
+    assert bag(got[2]) == [("1", "a", "B", "0.0000001")]
+    assert bag(got[5]) == [("2",)] and got[4].count() == 0
+
+
 def test_differences(spark):
     one = spark.createDataFrame([(1,), (1,), (2,)], "a int")
     two = spark.createDataFrame([(1,), (2,), (3,)], "a int")

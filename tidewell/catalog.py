@@ -56,6 +56,34 @@ Q3 = "SELECT from_bank, from_account, w2u.payment_format, amount_paid FROM w2u J
 Q5 = "SELECT count(*) AS count FROM conv WHERE payment_format IN ('view', 'click') AND amount_paid < 1.0"
 
 
+#: Doubles and how they are written.
+PLAIN = {0.0: "0", 1e-07: "0.0000001", 1.23e-06: "0.00000123", 0.1: "0.1", 100.0: "100", 12345678.25: "12345678.25", 1e21: "1000000000000000000000", -2.5e-05: "-0.000025", 1.7976931348623157e308: "17976931348623157" + "0" * 292, 123456789012.5: "123456789012.5"}
+
+#: The rates as the tables of the analyses give them, apart from the code under test.
+RATES_SQL = """SELECT rate_date, currency, per_usd::DOUBLE AS per_usd FROM (VALUES
+  ('2022-09-01', 1.4644, 5.1805, 1.314, 0.97999, 6.9, 1.0002, 0.86272, 3.3535, 79.543, 139.34, 20.189, 60.367, 3.75, 1.0, 19793.1),
+  ('2022-09-02', 1.4691, 5.2035, 1.3141, 0.98175, 6.9035, 1.0011, 0.86468, 3.3755, 79.719, 140.11, 20.085, 60.427, 3.75, 1.0, 199999.0),
+  ('2022-09-03', 1.4691, 5.2056, 1.3138, 0.98207, 6.9046, 1.0013, 0.86478, 3.3791, 79.75, 140.17, 20.081, 60.471, 3.75, 1.0, 19831.4),
+  ('2022-09-04', 1.4695, 5.2082, 1.3139, 0.98219, 6.9047, 1.0013, 0.8649, 3.3815, 79.754, 140.22, 20.084, 60.461, 3.75, 1.0, 19952.7),
+  ('2022-09-05', 1.4722, 5.1786, 1.3142, 0.98273, 6.9216, 1.0068, 0.86813, 3.4006, 79.816, 140.49, 20.018, 60.737, 3.75, 1.0, 20126.1)
+) v(rate_date, "Australian Dollar", "Brazil Real", "Canadian Dollar", "Swiss Franc", "Yuan", "Euro", "UK Pound", "Shekel", "Rupee", "Yen", "Mexican Peso", "Ruble", "Saudi Riyal", "US Dollar", "Bitcoin")
+UNPIVOT (per_usd FOR currency IN (COLUMNS(* EXCLUDE rate_date)))"""
+
+#: Transactions of September 2022: the cents of the amount choose the day (1 to 7), the layout and the currency.
+DAILY_SQL = f"""WITH {TX},
+c AS (SELECT *, row_number() OVER () AS n, CAST(round(amount_paid * 100) AS BIGINT) AS k FROM tx),
+w AS (SELECT n, '2022-09-0' || (1 + k % 7) AS day, CASE (k // 7) % 6
+        WHEN 0 THEN day || 'T23:00:00-05:00' WHEN 1 THEN day || 'T10:00:00' WHEN 2 THEN day || ' 10:00:00'
+        WHEN 3 THEN replace(day, '-', '/') || ' 10:00:00' WHEN 4 THEN replace(day, '-', '/') || ' 10:00' ELSE day END AS timestamp,
+      from_bank, from_account, to_bank, to_account, amount_paid,
+      ['US Dollar', 'Euro', 'Bitcoin', 'Saudi Riyal', 'Ruble', 'Doubloon'][CAST(1 + (k // 42) % 6 AS INT)] AS payment_currency, payment_format FROM c),
+known AS (SELECT n, CASE WHEN payment_currency = 'US Dollar' THEN amount_paid ELSE amount_paid / per_usd END AS direct
+          FROM w LEFT JOIN ({RATES_SQL}) r ON rate_date = day AND currency = payment_currency),
+full_conv AS (SELECT w.* REPLACE (coalesce(direct, amount_paid * CASE payment_currency WHEN 'Saudi Riyal' THEN 1 / 3.75::DOUBLE WHEN 'Ruble' THEN 1 / 60.5::DOUBLE WHEN 'Bitcoin' THEN 20000.0::DOUBLE END) AS amount_paid,
+              'US Dollar' AS payment_currency) FROM w JOIN known USING (n)),
+conv AS (SELECT * EXCLUDE (n, day) FROM full_conv WHERE amount_paid IS NOT NULL)"""
+
+
 def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.sample_transactions(spark, sf_dir)
 
@@ -77,22 +105,47 @@ def _tenants(spark, d):
     return five.q1(tx(spark, d).withColumn("client_id", both), replace(P, tenant_cols=("client_id",)))
 
 
-def _csv_round(spark, d):
-    """Transactions written as CSV and read again with the strict reader."""
+def _as_csv(spark, d) -> str:
+    """Transactions in a folder of CSV files."""
     path = _scratch(spark, "csv")
     full = tx(spark, d).select(
         "timestamp", "from_bank", "from_account", "to_bank", "to_account", F.col("amount_paid").alias("amount_received"),
         F.col("payment_currency").alias("receiving_currency"), "amount_paid", "payment_currency", "payment_format", F.lit("0").alias("is_laundering"),
     )
-    full.write.mode("overwrite").option("header", True).csv(path)
-    return t.read_transactions(spark, path)
+    full.repartition(4).write.option("header", True).csv(path)
+    return path
+
+
+def _csv_round(spark, d):
+    """Transactions written as CSV and read again with the strict reader."""
+    return t.read_transactions(spark, _as_csv(spark, d))
+
+
+def _ingested(spark, d, what: str):
+    """Accounts, then transactions, from CSV files through streams; every row arrives, equal ones too."""
+    accounts = t.sample_accounts(spark, d).select("bank_name", "bank_id", F.lit("a").alias("account_number"), F.lit("e").alias("entity_id"), F.lit("n").alias("entity_name"))
+    path, out, state = (_scratch(spark, x) for x in ("accounts", "out", "state"))
+    accounts.write.option("header", True).csv(path)
+    sent = t.stream_accounts(spark, path)
+    runs.ingest(sent, "a", f"{out}/accounts", f"{state}/accounts")
+    if what == "accounts":
+        return runs.ingested(spark, f"{out}/accounts", sent).select("bank_name", "bank_id")
+    sent = t.stream_transactions(spark, _as_csv(spark, d), files_per_trigger=2)
+    runs.ingest(sent, "a", f"{out}/tx", f"{state}/tx")
+    got = runs.ingested(spark, f"{out}/tx", sent)
+    if what == "q2":
+        names = runs.ingested(spark, f"{out}/accounts", t.stream_accounts(spark, path))
+        return five.q2(got, names, P)
+    return got.select(*tx(spark, d).columns)
 
 
 def _scratch(spark, what: str) -> str:
-    """A new path in the folder that all executors share; a local one only where the session names none."""
+    """A new path in the folder that all executors share; a local one only on a local master that names none."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if root is None:
-        return tempfile.mkdtemp(prefix=f"tidewell-{what}-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidewell-")
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -100,7 +153,7 @@ def _streamed(spark, d, kind: str):
     """The driver's events, as Parquet files in a folder, through a stream."""
     folder, out, state = (_scratch(spark, x) for x in ("in", "out", "state"))
     batch = tx(spark, d)
-    if kind in ("all", "again"):  # numbered once, as the client sends them
+    if kind == "again":  # numbered once, as the client sends them
         batch = batch.withColumn("seq", F.monotonically_increasing_id())
     batch.repartition(4).write.mode("overwrite").parquet(folder)
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 2).parquet(folder)
@@ -108,15 +161,17 @@ def _streamed(spark, d, kind: str):
         runs.drain(runs.q1(stream, P), out, state)
     elif kind == "q2":
         runs.latest(runs.q2(stream, t.sample_accounts(spark, d), P).select("from_bank", "from_account", "bank_name", "amount_paid"), out, state)
+        return runs.newest(spark, out)
     elif kind == "q5":
         runs.latest(runs.q5(stream, t.sample_rates(spark), P), out, state)
+        return runs.newest(spark, out)
     elif kind == "q3":
         return runs.staged(stream, out, state, lambda df: five.q3(df, P))
     elif kind == "q4":
         return runs.staged(stream, out, state, lambda df: five.q4(df, LOWER))
     else:
         sent = runs.numbered(stream, "a", "seq")
-        runs.drain(runs.deduplicated(sent.union(sent) if kind == "again" else sent), out, state)
+        runs.drain(runs.deduplicated(sent.union(sent)), out, state)
         return spark.read.parquet(out).drop("client_id", "msg_id")
     return spark.read.parquet(out)
 
@@ -127,6 +182,24 @@ def _sink(spark, d):
     return spark.read.option("header", True).csv(path)
 
 
+def _sink_count(spark, d):
+    path = _scratch(spark, "csv")
+    sinks.write_results({"q5": five.q5(tx(spark, d), t.sample_rates(spark), P)}, path)
+    return spark.read.option("header", True).csv(f"{path}/query5.csv")
+
+
+def _written(spark, d):
+    """The transactions moved to September 2022: in six layouts of time, several currencies, and days without a rate."""
+    df = tx(spark, d).withColumn("k", F.round(F.col("amount_paid") * 100).cast("long"))
+    day = F.concat(F.lit("2022-09-0"), (F.col("k") % 7 + 1).cast("string"))
+    slashed, layout = F.replace(day, F.lit("-"), F.lit("/")), F.floor(F.col("k") / 7) % 6
+    ends = ("T23:00:00-05:00", "T10:00:00", " 10:00:00", " 10:00:00", " 10:00")
+    times = [F.concat(slashed if k in (3, 4) else day, F.lit(end)) for k, end in enumerate(ends)]
+    stamp = F.get(F.array(*times, day), layout.cast("int"))
+    names = F.array(*[F.lit(c) for c in ("US Dollar", "Euro", "Bitcoin", "Saudi Riyal", "Ruble", "Doubloon")])
+    return df.withColumns({"timestamp": stamp, "payment_currency": F.get(names, (F.floor(F.col("k") / 42) % 6).cast("int"))}).drop("k")
+
+
 def _amount(op, v):
     return lambda s, d: rows.keep(tx(s, d), FilterSpec("amount", op, v))
 
@@ -171,9 +244,22 @@ ENTRIES: dict[str, tuple] = {
     "scan_transactions": (tx, sql("SELECT * FROM tx")),
     "scan_accounts": (t.sample_accounts, sql("SELECT * FROM accounts")),
     "scan_csv": (_csv_round, sql("SELECT timestamp, from_bank, from_account, to_bank, to_account, amount_paid AS amount_received, payment_currency AS receiving_currency, amount_paid, payment_currency, payment_format, false AS is_laundering FROM tx")),
-    "sink_csv": (_sink, None),
-    "rates_dim": (lambda s, d: t.rates(s).select(F.col("rate_date").cast("string").alias("rate_date"), "currency", "per_usd"),
-                  "SELECT * FROM (VALUES " + ", ".join(f"('{day}', '{c}', {r}::DOUBLE)" for day, rs in t.RATES.items() for c, r in zip(t.RATE_CURRENCIES, rs)) + ") v(rate_date, currency, per_usd)"),
+    "sink_csv": (_sink, sql(f"SELECT from_bank, from_account, to_bank, to_account, regexp_replace(CAST(total_amount AS VARCHAR), '\\.0$', '') AS total_amount FROM ({Q1})")),
+    "sink_csv_q5": (_sink_count, sql(f"SELECT CAST(count AS VARCHAR) AS count FROM ({Q5})", CONVERTED.format("w1"))),
+    "fn_plain_number": (
+        lambda s, d: s.createDataFrame([(x,) for x in PLAIN], "x double").select("x", scalars.plain_number(F.col("x")).alias("digits")),
+        "SELECT * FROM (VALUES " + ", ".join(f"({x!r}::DOUBLE, '{shown}')" for x, shown in PLAIN.items()) + ") v(x, digits)",
+    ),
+    "convert_daily": (lambda s, d: joins.in_usd(_written(s, d), t.rates(s), t.fallbacks(s)), DAILY_SQL + " SELECT * FROM conv"),
+    "convert_daily_strict": (lambda s, d: joins.in_usd(_written(s, d), t.rates(s)), DAILY_SQL + " SELECT * EXCLUDE (n, day, direct) REPLACE (direct AS amount_paid) FROM (SELECT f.*, direct FROM full_conv f JOIN known USING (n)) WHERE direct IS NOT NULL"),
+    "q5_daily": (lambda s, d: five.q5(_written(s, d), t.rates(s), replace(P, window1=("2022", "2023"), micro_amount=20.0), t.fallbacks(s)), DAILY_SQL + " SELECT count(*) AS count FROM conv WHERE payment_format IN ('view', 'click') AND amount_paid < 20"),
+    "fn_tx_date_layouts": (lambda s, d: _written(s, d).select("timestamp", scalars.written_date(F.col("timestamp")).cast("string").alias("day")), DAILY_SQL + " SELECT timestamp, day FROM w"),
+    "nb_shared_accounts_some": (
+        lambda s, d: _all_accounts(s, d).withColumn("account", (F.col("account").cast("long") % 50).cast("string")).distinct().groupBy("account").agg(F.count("*").alias("banks")).where("banks > 1"),
+        sql("SELECT account, count(*) AS banks FROM (SELECT from_bank AS bank, CAST(from_account::BIGINT % 50 AS VARCHAR) AS account FROM tx UNION SELECT to_bank, CAST(to_account::BIGINT % 50 AS VARCHAR) FROM tx) GROUP BY account HAVING count(*) > 1"),
+    ),
+    "project_parts": (lambda s, d: rows.without(tx(s, d), ["origin.BankID", "dest.ID"]), sql("SELECT * EXCLUDE (from_bank, to_account) FROM tx")),
+    "rates_dim": (lambda s, d: t.rates(s).select(F.col("rate_date").cast("string").alias("rate_date"), "currency", "per_usd"), f"SELECT * FROM ({RATES_SQL})"),
     "project_clean": (lambda s, d: rows.without(tx(s, d), ["timestamp", "dest"]), sql("SELECT * EXCLUDE (timestamp, to_bank, to_account) FROM tx")),
     "project_blank": (lambda s, d: rows.blanked(tx(s, d), ["dest"]), sql("SELECT * REPLACE ('' AS to_bank, '' AS to_account) FROM tx")),
     "explode_pair": (lambda s, d: rows.ends(graph.pairs(_edges(s, d), 3)), sql("SELECT from_bank AS bank_id, from_account AS account_id FROM pairs UNION ALL SELECT to_bank, to_account FROM pairs", pairs_sql(3))),
@@ -207,8 +293,10 @@ ENTRIES: dict[str, tuple] = {
         sql("SELECT account, count(*) AS banks FROM (SELECT from_bank AS bank, from_account AS account FROM tx UNION SELECT to_bank, to_account FROM tx) GROUP BY account HAVING count(*) > 1"),
     ),
     "nb_group_filter": (lambda s, d: graph.partners_above(rows.dated(usd(s, d), *P.window1), 2), sql("SELECT * FROM w1u SEMI JOIN (SELECT from_bank, from_account FROM edges GROUP BY ALL HAVING count(*) > 2) USING (from_bank, from_account)")),
-    "stream_ingest": (lambda s, d: _streamed(s, d, "all"), sql("SELECT DISTINCT * FROM tx")),
-    "stream_dedup": (lambda s, d: _streamed(s, d, "again"), sql("SELECT DISTINCT * FROM tx")),
+    "stream_ingest": (lambda s, d: _ingested(s, d, "tx"), sql("SELECT * FROM tx")),
+    "stream_ingest_accounts": (lambda s, d: _ingested(s, d, "accounts"), sql("SELECT * FROM accounts")),
+    "stream_ingest_q2": (lambda s, d: _ingested(s, d, "q2"), sql(Q2, NAMES)),
+    "stream_dedup": (lambda s, d: _streamed(s, d, "again"), sql("SELECT * FROM tx")),
     "stream_q1": (lambda s, d: _streamed(s, d, "q1"), sql(Q1)),
     "stream_q2": (lambda s, d: _streamed(s, d, "q2"), sql(Q2, NAMES)),
     "stream_q3": (lambda s, d: _streamed(s, d, "q3"), sql(Q3)),

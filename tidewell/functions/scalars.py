@@ -44,6 +44,14 @@ def day(c: Column) -> Column:
 
 
 def plain_number(c: Column) -> Column:
-    """A double in plain digits, without an exponent or closing zeros."""
-    digits = F.format_string("%.6f", c)
-    return F.regexp_replace(F.regexp_replace(digits, "0+$", ""), r"\.$", "")
+    """A double in its shortest exact digits, without an exponent or closing zeros; no number as its name."""
+    text = c.cast("string")
+    exponent = F.regexp_extract(text, "E(-?[0-9]+)$", 1)
+    power = F.when(exponent != "", exponent.cast("int"))
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), "^-", "")
+    digits = F.concat(F.substring_index(mantissa, ".", 1), F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", ""))
+    whole = F.rpad(digits, F.greatest(F.length(digits), power + 1), F.lit("0"))
+    large = F.concat(F.left(whole, power + 1), F.when(F.length(whole) > power + 1, F.concat(F.lit("."), F.right(whole, F.length(whole) - power - 1))).otherwise(""))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    return F.when(power.isNull(), F.regexp_replace(text, r"\.0$", "")).when(power >= 0, F.concat(sign, large)).otherwise(F.concat(sign, small))

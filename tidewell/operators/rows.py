@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tidewell.functions.scalars import in_range
 from tidewell.params import FilterSpec
 
-#: What a configuration may call columns, besides their own names.
+#: What a configuration may call columns, besides their own names: roles, and single parts of them.
 NAMES = {
     "origin": ("from_bank", "from_account"), "dest": ("to_bank", "to_account"), "paid": ("amount_paid", "payment_currency"),
-    "format": ("payment_format",), "timestamp": ("timestamp",),
+    "format": ("payment_format",), "timestamp": ("timestamp",), "BankID": ("from_bank",), "ID": ("from_account",),
+    "origin.BankID": ("from_bank",), "origin.ID": ("from_account",), "dest.BankID": ("to_bank",), "dest.ID": ("to_account",),
 }
 
 

@@ -19,6 +19,12 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_results(results: dict[str, DataFrame], folder: str) -> None:
+    """Each result as CSV in a folder of its own: ``query1.csv`` for q1 and so on."""
+    for name, df in results.items():
+        write_csv(df, f"{folder.rstrip('/')}/query{name.removeprefix('q')}.csv")
+
+
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that one of two bags has more often than the other: their columns and ``side``."""
     right = right.select(*left.columns)

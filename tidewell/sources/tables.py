@@ -64,6 +64,10 @@ def stream_transactions(spark: SparkSession, path: str, files_per_trigger: int |
     return _typed(_csv(reader, TRANSACTIONS).csv(path))
 
 
+def stream_accounts(spark: SparkSession, path: str) -> DataFrame:
+    return _csv(spark.readStream, ACCOUNTS).csv(path)
+
+
 def rates(spark: SparkSession) -> DataFrame:
     """``(rate_date, currency, per_usd)``: 75 rows."""
     rows = [(day, c, r) for day, values in RATES.items() for c, r in zip(RATE_CURRENCIES, values)]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.operators import groups, joins, rows
@@ -38,15 +39,45 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def latest(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Keep the newest result of a running aggregate in Parquet, one version a batch."""
+    """Keep the newest result of a running aggregate in Parquet: two folders by turns, so that one is always whole."""
 
     def put(batch: DataFrame, no: int) -> None:
-        batch.write.mode("overwrite").parquet(path)  # the same batch again writes the same result
+        batch.withColumn("batch", F.lit(no)).write.mode("overwrite").parquet(f"{path}/turn={no % 2}")  # the same batch again writes the same result
 
     query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole result that ``latest`` has written."""
+    both = spark.read.parquet(path)
+    return both.where(F.col("batch") == both.agg(F.max("batch")).first()[0]).drop("batch", "turn")
+
+
+def ingest(stream: DataFrame, client: str, path: str, checkpoint: str) -> None:
+    """Take in a stream of files, every row once, equal ones too, with ``client_id`` and ``msg_id``.
+
+    The id is the file, the place of the row's block in it and the row's number in that block. A batch that is taken
+    again has the same files, and overwrites what it wrote.
+    """
+
+    def put(batch: DataFrame, no: int) -> None:
+        block = W.partitionBy("_file", "_block").orderBy("_order")
+        placed = batch.withColumn("_order", F.monotonically_increasing_id()).withColumn("_row", F.row_number().over(block))
+        named = placed.withColumns({"client_id": F.lit(client), "msg_id": F.concat_ws(":", "_file", "_block", "_row")})
+        named.drop("_file", "_block", "_order", "_row").write.mode("overwrite").parquet(f"{path}/batch={no}")
+
+    placed = stream.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    query = placed.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def ingested(spark: SparkSession, path: str, kind: DataFrame) -> DataFrame:
+    """What ``ingest`` has written, with the columns of ``kind``, ``client_id`` and ``msg_id``; each message once."""
+    schema = kind.schema.add("client_id", "string").add("msg_id", "string").add("batch", "integer")
+    return spark.read.schema(schema).parquet(path).dropDuplicates(["client_id", "msg_id"]).drop("batch")
+
+
 def q1(stream: DataFrame, p: QueryParams) -> DataFrame:
     return five.q1(stream, p)
 
