@@ -79,6 +79,16 @@ def test_q4(spark, pruned):
     assert found(bridged(5, c="1-c", **{"c": "Euro"} if False else {"t": "2022/09/08 00:00"})) == []
 
 
+def test_salted_bridges(spark):
+    """One bridge of 60 sources and 50 sinks: the same pairs, with no task that meets all of them."""
+    df = tx(spark, *[usd(f"1-s{k}", "2-b") for k in range(60)], *[usd("2-b", f"3-t{k}") for k in range(50)])
+    edge = graph.edges(df)
+    one, dealt = graph.pairs(edge, 1), graph.pairs(edge, 1, salts=4)
+    assert bag(one) == bag(dealt) and one.count() == 3000
+    joined = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in joined
+
+
 def test_q4_euro(spark):
     edges = [(t, a, b, x, "Euro" if b == "1-c" and a == "2-b0" else c, f) for t, a, b, x, c, f in bridged(5)]
     assert bag(five.q4(tx(spark, *edges), P)) == []

@@ -222,6 +222,7 @@ ENTRIES: dict[str, tuple] = {
     "q4_two_hop": (lambda s, d: graph.pairs(_edges(s, d), 1, pruned=False), sql("SELECT * FROM pairs", pairs_sql(1))),
     "q4_pairs": (lambda s, d: graph.pairs(_edges(s, d), 3, pruned=False), sql("SELECT * FROM pairs", pairs_sql(3))),
     "q4_pruned": (lambda s, d: graph.pairs(_edges(s, d), 3), sql("SELECT * FROM pairs", pairs_sql(3))),
+    "q4_salted": (lambda s, d: graph.pairs(_edges(s, d), 3, salts=8), sql("SELECT * FROM pairs", pairs_sql(3))),
     "semi_heavy": (
         lambda s, d: _edges(s, d).join(graph.heavy(_edges(s, d), "from", 3).drop("n"), ["from_bank", "from_account"], "left_semi"),
         sql("SELECT * FROM edges SEMI JOIN (SELECT from_bank, from_account FROM edges GROUP BY ALL HAVING count(*) >= 3) USING (from_bank, from_account)"),

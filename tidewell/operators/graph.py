@@ -17,11 +17,12 @@ def heavy(edge: DataFrame, side: str, threshold: int, extra: tuple[str, ...] = (
     return edge.groupBy(*extra, f"{side}_bank", f"{side}_account").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
 
 
-def pairs(edge: DataFrame, threshold: int, pruned: bool = True, exclude_cycles: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+def pairs(edge: DataFrame, threshold: int, pruned: bool = True, exclude_cycles: bool = False, extra: tuple[str, ...] = (), salts: int = 1) -> DataFrame:
     """Pairs of accounts joined by ``threshold`` or more bridges, with their number ``n``.
 
     A pair with so many bridges has a source with as many partners and a sink with as
-    many: pruning by that first loses nothing, and keeps hubs from multiplying.
+    many: pruning by that first loses nothing, and keeps hubs from multiplying. Where single
+    bridges have very many sources, ``salts`` deals these out to as many tasks, and sends the bridge's sinks to each.
     """
     first, second = edge, edge
     if pruned:
@@ -29,7 +30,10 @@ def pairs(edge: DataFrame, threshold: int, pruned: bool = True, exclude_cycles:
         second = edge.join(heavy(edge, "to", threshold, extra).drop("n"), [*extra, "to_bank", "to_account"], "left_semi")
     first = first.select(*extra, "from_bank", "from_account", F.col("to_bank").alias("via_bank"), F.col("to_account").alias("via_account"))
     second = second.select(*extra, F.col("from_bank").alias("via_bank"), F.col("from_account").alias("via_account"), "to_bank", "to_account")
-    met = first.join(second, [*extra, "via_bank", "via_account"])
+    if salts > 1:
+        first = first.withColumn("_salt", F.pmod(F.xxhash64("from_bank", "from_account"), F.lit(salts)).cast("int"))
+        second = second.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = first.join(second, [*extra, "via_bank", "via_account", *(["_salt"] if salts > 1 else [])])
     if exclude_cycles:
         met = met.where("from_bank <> to_bank or from_account <> to_account")
     return met.groupBy(*extra, *EDGE).agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
