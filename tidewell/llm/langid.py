@@ -68,7 +68,9 @@ def trigrams(text: str) -> Iterator[np.ndarray]:
 
 
 def shares(text: str) -> np.ndarray:
-    total = sum(np.bincount(t, minlength=FEATURES) for t in trigrams(text))
+    total = np.zeros(FEATURES)
+    for t in trigrams(text):
+        total += np.bincount(t, minlength=FEATURES)
     return (total / max(1, total.sum())).astype(np.float32)
 
 
