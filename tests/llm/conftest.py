@@ -23,7 +23,18 @@ def odd_docs(spark, odd_texts):
 
 @pytest.fixture(scope="session")
 def empty_docs(odd_docs):
-    return odd_docs.where("false")
+    """No rows, but partitions: an operator's tasks run on them."""
+    none = odd_docs.sparkSession.createDataFrame(odd_docs.sparkSession.sparkContext.parallelize([], 3), odd_docs.schema)
+    assert none.rdd.getNumPartitions() == 3
+    return none
+
+
+@pytest.fixture(scope="session")
+def sparse_docs(spark, odd_docs):
+    """Three rows in five partitions: a null text, a text without anything to find, one with a little of all."""
+    texts = [None, "lorem ipsum", 'all rights reserved mail a@b.org or token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ' * 3]
+    rows = [(k, t, None, None, None, None, None, None, None) for k, t in enumerate(texts)]
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 5), odd_docs.schema)
 
 
 @pytest.fixture(scope="session")

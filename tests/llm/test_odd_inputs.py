@@ -18,18 +18,21 @@ PER_ROW = {
 STAGES = {"quality": quality.keep_good, "simhash": simhash.keep_one_of_each, "pii": pii.redacted, "mixing": mixing.mixed}
 
 
+ODD = ("odd_docs", "empty_docs", "sparse_docs")
+
+
 @pytest.mark.parametrize("name", PER_ROW)
-def test_a_row_for_each_row(name, odd_docs, empty_docs):
-    assert PER_ROW[name](odd_docs).count() == odd_docs.count()
-    assert PER_ROW[name](empty_docs).count() == 0
+def test_a_row_for_each_row(name, request):
+    for df in map(request.getfixturevalue, ODD):
+        assert len(PER_ROW[name](df).collect()) == df.count()
 
 
 @pytest.mark.parametrize("name", STAGES)
-def test_stages_keep_columns(name, odd_docs, empty_docs):
-    made = STAGES[name](odd_docs)
-    assert made.columns == odd_docs.columns
-    made.collect()
-    assert STAGES[name](empty_docs).count() == 0
+def test_stages_keep_columns(name, request):
+    for df in map(request.getfixturevalue, ODD):
+        made = STAGES[name](df)
+        assert made.columns == df.columns
+        assert len(made.collect()) <= 2 * df.count()
 
 
 def test_results(odd_docs):

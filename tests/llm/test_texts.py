@@ -17,6 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests_llm_brute import base_spans, prints_of
 from tidewell.llm import bpe, langid, licences, pii, quality, simhash, suffixes
 
 PATH = public_tokenizers.path(bpe.VOCABULARY)
@@ -49,15 +50,6 @@ def test_bpe_over_documents(docs, tokens):
     assert got == {r.doc_id: tokens.encode_ordinary(r.text) for r in docs.collect()}
 
 
-def brute_prints(texts):
-    out = []
-    for t in texts:
-        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
-        hs = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 3]), 42) for k in range(max(1, len(w) - 2))] if w else []
-        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)))
-    return out
-
-
 def components(nodes, linked):
     parent = {n: n for n in nodes}
 
@@ -93,7 +85,7 @@ def test_simhash_links_lose_none(spark, bucket):
 def test_simhash_over_documents(spark, docs, odd_docs):
     for df in (docs, odd_docs):
         rows = df.select("doc_id", "text").collect()
-        prints = brute_prints([r.text for r in rows])
+        prints = prints_of([r.text for r in rows])
         pairs = [(a, b) for k, a in enumerate(prints) for b in prints[:k] if (a ^ b).bit_count() <= 2]
         label = components(set(prints), pairs)
         least = {}
@@ -268,20 +260,6 @@ def test_quality_verdict_against_numpy(spark):
     assert (verdict[10**6], verdict[10**6 + 1], verdict[10**6 + 2]) == (False, True, False)
 
 
-def luhn(d):
-    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
-
-
-def brute_spans(text):
-    out = []
-    for order, (kind, pattern) in enumerate(pii.PLAIN.items()):
-        for m in re.finditer(pattern, text or ""):
-            digits = re.sub("[^0-9]", "", m[0])
-            if {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]:
-                out.append((m.start(), order, kind, m.end()))
-    return sorted(out)
-
-
 def test_pii_base_spans(spark, docs, odd_docs):
     rng = random.Random(2)
     bits = ["a", "b.", "@", "c.d", "1", "22", "255.", "3.4", "+1 ", "(555) ", "-", " ", "é", "😀", "4111 1111 1111 1111", "x_y", "%", "+", "\n", "001.2.3.4", "."]
@@ -290,7 +268,7 @@ def test_pii_base_spans(spark, docs, odd_docs):
     rows += [(10_000 + k, r.text) for k, r in enumerate(docs.union(odd_docs.select(*docs.columns)).collect())]
     found = pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans if s.kind != "id"] for r in found}
-    assert got == {k: [(s, kind, e) for s, _, kind, e in brute_spans(t)] for k, t in rows}
+    assert got == {k: [(s, kind, e) for s, _, kind, e in base_spans(t)] for k, t in rows}
 
 
 def brute_ids(texts):
@@ -300,7 +278,7 @@ def brute_ids(texts):
     occurrences = []
     for k, text in enumerate(texts):
         text = text or ""
-        base = brute_spans(text)
+        base = base_spans(text)
         found = [(kind, s, e) for s, _, kind, e in base]
         gaps = {kind: [m.span() for m in re.finditer(p, text)] for kind, p in pii.PLAIN.items()} | {"id": [m.span() for m in token.finditer(text)]}
         found += [("id", s, e) for s, e in gaps["id"] if e - s >= pii.LEAST and not any(a < e and b > s for _, a, b in found)]
