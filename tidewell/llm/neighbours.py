@@ -323,7 +323,7 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "e
 
     def answered(routes: DataFrame, every: bool) -> DataFrame:
         queries = asked.join(routes, "rid").select("shard", F.lit(1).alias("kind"), "rid", "vec_id", "v", F.lit(None).cast("array<long>").alias("keys"), F.lit(every).alias("every"))
-        dealt = vectors.union(queries).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+        dealt = vectors.union(queries).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
         found = dealt.mapInArrow(scorer(functions, order, dim, nearest), "query long, query_id long, rid long, vec_id long, score double")
         rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "rid"))
         return settle(found.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query", "query_id", "rank", "vec_id", "score"))
