@@ -187,13 +187,15 @@ def packed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix, with ``docs``' columns: of each, the words taken, and again those taken twice."""
     sizes = measured(docs)
-    by_row = packed(sizes, targets(sizes)).groupBy("rid", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("__pieces"))
+    by_row = packed(sizes, targets(sizes)).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pass", "first", "words"))).alias("__pieces"))
     plan = sizes.join(by_row, "rid").select(F.col("row_key").alias("__key"), "__pieces", F.col("size").alias("__size"))
     own = docs.withColumn("__own", row_key(docs)).dropDuplicates(["__own"])  # rows that agree in all columns; the plan has one for each
-    df = own.join(plan, own["__own"] == plan["__key"]).withColumn("__w", words(F.col("text")))
-    part = F.flatten(F.transform("__pieces", lambda p: F.slice(F.col("__w"), (p["first"] + 1).cast("int"), p["words"].cast("int"))))
-    df = df.withColumn("__part", part)
-    df = df.withColumn("text", F.when(F.size("__part") == F.col("__size"), F.col("text")).otherwise(F.array_join("__part", " ")))
+    # The words are split below the explode, so that the pieces do not each split the text again.
+    df = own.join(plan, own["__own"] == plan["__key"]).withColumn("__w", words(F.col("text"))).withColumn("__pass", F.explode(F.array(F.lit(0), F.lit(1))))
+    mine = F.filter("__pieces", lambda p: p["pass"] == F.col("__pass"))
+    df = df.withColumn("__taken", F.aggregate(mine, F.lit(0).cast("long"), lambda a, p: a + p["words"])).where("__taken > 0")
+    part = F.flatten(F.transform(mine, lambda p: F.slice(F.col("__w"), (p["first"] + 1).cast("int"), p["words"].cast("int"))))
+    df = df.withColumn("text", F.when(F.col("__taken") == F.col("__size"), F.col("text")).otherwise(F.array_join(part, " ")))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return df.select(*docs.columns)
