@@ -91,24 +91,21 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         less(r"[#*$%&|<>]").cast("long").alias("n_symbols"),
         less(r"[A-Z!]").cast("long").alias("n_shouts"),
-        F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
     )
-    window = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("_h") - WINDOW, F.lit(0))),
-        lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(WINDOW)]),
-    )
+    # The last places have shorter windows, each of a length of its own, which repeat nothing.
+    window = F.transform("_w", lambda w, i: F.xxhash64(w, *[F.get(F.col("_w"), i + k) for k in range(1, WINDOW)]))
     df = df.select(
         *kept, "text_key", "n_words", "word_chars", "n_symbols", "n_shouts",
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_h") > WINDOW, window).alias("_s"),
+        F.when(F.size("_w") > WINDOW, window).alias("_s"),
     )
     repeats = F.size(F.array_distinct("_s")) < F.size("_s")
-    df = df.withColumn("_e", F.when(repeats, F.array_sort(F.transform("_s", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("_s")
+    df = df.withColumn("_e", F.when(repeats, F.sort_array(F.transform("_s", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("_s")
     same = lambda e, i: F.get(F.col("_e"), i)["h"] == e["h"]
     again = F.filter("_e", lambda e, i: F.coalesce((i > 0) & same(e, i - 1), F.lit(False)) | F.coalesce(same(e, i + 1), F.lit(False)))
     covered = F.aggregate(
-        F.array_sort(F.transform(again, lambda e: e["i"])),
+        F.sort_array(F.transform(again, lambda e: e["i"])),
         F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
         lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")),
         lambda acc: acc["n"],
@@ -164,11 +161,16 @@ def _moments(sums: DataFrame) -> DataFrame:
 
 def _factored(df: DataFrame) -> DataFrame:
     """``df`` with the Cholesky factor ``l00 ...`` of its covariances and ``volume``, the logarithm of its determinant's root."""
-    for i, j in PAIRS:  # row by row
-        rest = F.col(f"c{i}{j}")
+
+    def rest(i: int, j: int):
+        left = F.col(f"c{i}{j}")
         for k in range(j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(_floor(i, i) / 2))) if i == j else rest / F.col(f"l{j}{j}"))
+            left = left - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        return left
+
+    for j in range(DIM):  # column by column
+        df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(rest(j, j), F.lit(_floor(j, j) / 2))))
+        df = df.withColumns({f"l{i}{j}": rest(i, j) / F.col(f"l{j}{j}") for i in range(j + 1, DIM)}) if j < DIM - 1 else df
     return df.withColumn("volume", sum((F.log(F.col(f"l{i}{i}")) for i in range(1, DIM)), F.log(F.col("l00")))).drop(*COVS)
 
 
