@@ -22,10 +22,12 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import ahocorasick
 import pandas as pd
 import public_tokenizers
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,12 +72,11 @@ def spelled_out(pattern: str, top: int = 0x110000) -> str:
 
 
 class Codec:
-    """Encoder and decoder for one rank file."""
+    """Encoder and decoder for the contents of one rank file."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
-        with open(path, "rb") as file:
-            rows = (line.split() for line in file if line.strip())
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in rows}
+    def __init__(self, ranks: bytes, pattern: str = public_tokenizers.PATTERN):
+        rows = (line.split() for line in ranks.splitlines() if line.strip())
+        self.ranks = {base64.b64decode(token): int(rank) for token, rank in rows}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
@@ -216,16 +217,27 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
+def codec_of(ranks: bytes) -> Codec:
+    return Codec(ranks)
+
+
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return codec_of(Path(path).read_bytes())
+
+
+def _sent(docs: DataFrame, path: str) -> Broadcast:
+    """The rank file for the executors, which need not have it: a megabyte, whatever the rows."""
+    return docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id_col>`` and the digests of each text's ids and of the bytes they decode to."""
 
+    ranks = _sent(docs, path)
+
     @F.pandas_udf(RESULT)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = codec(path)
+        own = codec_of(ranks.value)
         for batch in texts:
             yield pd.DataFrame([own.digests(t) for t in batch], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -235,9 +247,11 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id_col>`` and ``ids``, the token ids of each text."""
 
+    ranks = _sent(docs, path)
+
     @F.pandas_udf("array<int>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(path)
+        own = codec_of(ranks.value)
         for batch in texts:
             yield pd.Series([own.encode(t or "") for t in batch], dtype=object)
 
