@@ -3,7 +3,7 @@
 import public_tokenizers
 import pytest
 
-from tidewell.llm import bpe, langid, licences, mixing, pii, quality, simhash, suffixes
+from tidewell.llm import bpe, langid, licences, mixing, pii, quality, secrets, simhash, suffixes
 
 PER_ROW = {
     "licences": licences.scan_licences,
@@ -14,6 +14,7 @@ PER_ROW = {
     "bpe": lambda d: bpe.encode_decode(d, public_tokenizers.path(bpe.VOCABULARY)),
     "mixing": lambda d: mixing.packed(s := mixing.measured(d), mixing.targets(s)).join(s, "rid", "right").dropDuplicates(["rid"]),
     "pii": pii.find,
+    "secrets": secrets.find,
 }
 STAGES = {"quality": quality.keep_good, "simhash": simhash.keep_one_of_each, "pii": pii.redacted, "mixing": mixing.mixed}
 
