@@ -8,7 +8,7 @@ import pytest
 from tidewell import catalog
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {n for n in catalog.ENTRIES if n.startswith("stream_")} - {"stream_q2", "stream_dedup"}
+SLOW = {n for n in catalog.oracle_sql() if n.startswith("stream_")} - {"stream_q2", "stream_dedup"}
 
 
 @pytest.fixture(scope="module")

@@ -12,10 +12,10 @@ def test_restart_takes_each_row_once(spark, tmp_path):
     one(1).write.parquet(f"{tmp_path}/in/1")
     read = lambda: spark.readStream.schema("a int, b string").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     for k in (2, 3):
-        runs.drain(runs.deduplicated(runs.numbered(read(), "c")), f"{tmp_path}/out", f"{tmp_path}/state")
+        runs.drain(runs.deduplicated(runs.numbered(read().withColumn("n", F.col("a")), "c", "n")), f"{tmp_path}/out", f"{tmp_path}/state")
         one(k).write.parquet(f"{tmp_path}/in/{k}")
         one(1).write.parquet(f"{tmp_path}/in/again{k}")
-    runs.drain(runs.deduplicated(runs.numbered(read(), "c")), f"{tmp_path}/out", f"{tmp_path}/state")
+    runs.drain(runs.deduplicated(runs.numbered(read().withColumn("n", F.col("a")), "c", "n")), f"{tmp_path}/out", f"{tmp_path}/state")
     assert sorted(r.a for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
 
 

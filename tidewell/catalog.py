@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from tidewell.params import SAMPLE, AggSpec, FilterSpec
 from tidewell.plans import five
 from tidewell.sources import sinks
 from tidewell.sources import tables as t
+from tidewell.sources.files import scratch
 from tidewell.streaming import runs
 
 P = SAMPLE
@@ -107,7 +106,7 @@ def _tenants(spark, d):
 
 def _as_csv(spark, d) -> str:
     """Transactions in a folder of CSV files."""
-    path = _scratch(spark, "csv")
+    path = scratch(spark, "csv")
     full = tx(spark, d).select(
         "timestamp", "from_bank", "from_account", "to_bank", "to_account", F.col("amount_paid").alias("amount_received"),
         F.col("payment_currency").alias("receiving_currency"), "amount_paid", "payment_currency", "payment_format", F.lit("0").alias("is_laundering"),
@@ -124,7 +123,7 @@ def _csv_round(spark, d):
 def _ingested(spark, d, what: str):
     """Accounts, then transactions, from CSV files through streams; every row arrives, equal ones too."""
     accounts = t.sample_accounts(spark, d).select("bank_name", "bank_id", F.lit("a").alias("account_number"), F.lit("e").alias("entity_id"), F.lit("n").alias("entity_name"))
-    path, out, state = (_scratch(spark, x) for x in ("accounts", "out", "state"))
+    path, out, state = (scratch(spark, x) for x in ("accounts", "out", "state"))
     accounts.write.option("header", True).csv(path)
     sent = t.stream_accounts(spark, path)
     runs.ingest(sent, "a", f"{out}/accounts", f"{state}/accounts")
@@ -139,19 +138,9 @@ def _ingested(spark, d, what: str):
     return got.select(*tx(spark, d).columns)
 
 
-def _scratch(spark, what: str) -> str:
-    """A new path in the folder that all executors share; a local one only on a local master that names none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tidewell-")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def _streamed(spark, d, kind: str):
     """The driver's events, as Parquet files in a folder, through a stream."""
-    folder, out, state = (_scratch(spark, x) for x in ("in", "out", "state"))
+    folder, out, state = (scratch(spark, x) for x in ("in", "out", "state"))
     batch = tx(spark, d)
     if kind == "again":  # numbered once, as the client sends them
         batch = batch.withColumn("seq", F.monotonically_increasing_id())
@@ -177,13 +166,13 @@ def _streamed(spark, d, kind: str):
 
 
 def _sink(spark, d):
-    path = _scratch(spark, "csv")
+    path = scratch(spark, "csv")
     sinks.write_csv(five.q1(tx(spark, d), P), path)
     return spark.read.option("header", True).csv(path)
 
 
 def _sink_count(spark, d):
-    path = _scratch(spark, "csv")
+    path = scratch(spark, "csv")
     sinks.write_results({"q5": five.q5(tx(spark, d), t.sample_rates(spark), P)}, path)
     return spark.read.option("header", True).csv(f"{path}/query5.csv")
 
@@ -341,9 +330,15 @@ for _kind in ("max", "min", "sum", "avg", "count"):
         ENTRIES[f"agg_{_kind}_{_group}"] = (lambda s, d, k=_kind, g=_group: groups.aggregate(usd(s, d), AggSpec(k, g)), sql(_sql))
 
 
+def _every() -> dict[str, tuple]:
+    from tidewell.catalog_served import SERVED  # it builds on this module
+
+    return ENTRIES | SERVED
+
+
 def queries() -> dict:
-    return {name: build for name, (build, _) in ENTRIES.items()}
+    return {name: build for name, (build, _) in _every().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for name, (_, text) in ENTRIES.items() if text}
+    return {name: text for name, (_, text) in _every().items() if text}

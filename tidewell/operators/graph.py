@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EDGE = ("from_bank", "from_account", "to_bank", "to_account")
@@ -43,3 +43,28 @@ def partners_above(df: DataFrame, k: int) -> DataFrame:
     """Rows of source accounts with more than ``k`` different destination accounts."""
     many = heavy(edges(df), "from", k + 1).drop("n")
     return df.join(many, ["from_bank", "from_account"], "left_semi")
+
+
+def lay_out(edge: DataFrame, name: str, folder: str, buckets: int = 64) -> None:
+    """Save edges twice in ``folder``, as bucketed tables ``<name>_by_source`` and ``<name>_by_sink``, for joins that move nothing."""
+    for side, role in (("from", "source"), ("to", "sink")):
+        at = [f"{side}_bank", f"{side}_account"]
+        laid = edge.repartition(buckets, *at)  # one file for each bucket
+        laid.write.bucketBy(buckets, *at).sortBy(*at).mode("overwrite").option("path", f"{folder}/{role}").saveAsTable(f"{name}_by_{role}")
+
+
+def two_hops(spark: SparkSession, name: str) -> DataFrame:
+    """``(from_bank, from_account, via_bank, via_account, to_bank, to_account)`` of edges that ``lay_out`` has saved.
+
+    The first hop is read by its sink and the second by its source: both are bucketed by the bridge, so neither moves.
+    """
+    first = spark.table(f"{name}_by_sink").select("from_bank", "from_account", F.col("to_bank").alias("via_bank"), F.col("to_account").alias("via_account"))
+    second = spark.table(f"{name}_by_source").select(F.col("from_bank").alias("via_bank"), F.col("from_account").alias("via_account"), "to_bank", "to_account")
+    return first.hint("merge").join(second, ["via_bank", "via_account"]).select("from_bank", "from_account", "via_bank", "via_account", "to_bank", "to_account")
+
+
+def laid_out_pairs(spark: SparkSession, name: str, threshold: int) -> DataFrame:
+    """``pairs`` over edges that ``lay_out`` has saved: heavy accounts are counted where they lie, the hops meet where they lie."""
+    many = lambda role, side: heavy(spark.table(f"{name}_by_{role}"), side, threshold).drop("n")
+    met = two_hops(spark, name).join(many("source", "from"), ["from_bank", "from_account"], "left_semi").join(many("sink", "to"), ["to_bank", "to_account"], "left_semi")
+    return met.groupBy(*EDGE).agg(F.count("*").alias("n")).where(F.col("n") >= threshold)

@@ -52,10 +52,10 @@ def blanked(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({c: F.lit("") for c in found if dict(df.dtypes)[c] == "string"})
 
 
-def ends(pairs: DataFrame) -> DataFrame:
-    """Both accounts of each pair as rows ``(bank_id, account_id)``."""
+def ends(pairs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Both accounts of each pair as rows ``(bank_id, account_id)``, after ``extra`` columns."""
     sides = F.array(*[F.struct(F.col(f"{p}_bank").alias("bank_id"), F.col(f"{p}_account").alias("account_id")) for p in ("from", "to")])
-    return pairs.select(F.inline(sides))
+    return pairs.select(*extra, F.inline(sides))
 
 
 def checked(df: DataFrame, names: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import graph, groups, joins, rows
 from tidewell.params import AggSpec, FilterSpec, QueryParams
+from tidewell.sources.staging import Staged
 
 
 def q1(tx: DataFrame, p: QueryParams) -> DataFrame:
@@ -32,10 +33,7 @@ def q3(tx: DataFrame, p: QueryParams) -> DataFrame:
 def q4(tx: DataFrame, p: QueryParams, pruned: bool = True) -> DataFrame:
     """Accounts at the ends of scatter-gather patterns in window 1."""
     found = graph.pairs(q4_edges(tx, p), p.threshold, pruned, p.exclude_cycles, p.tenant_cols)
-    if p.tenant_cols:
-        sides = [found.select(*p.tenant_cols, F.col(f"{s}_bank").alias("bank_id"), F.col(f"{s}_account").alias("account_id")) for s in ("from", "to")]
-        return sides[0].union(sides[1]).distinct()
-    return rows.ends(found).distinct()
+    return rows.ends(found, p.tenant_cols).distinct()
 
 
 def q4_edges(tx: DataFrame, p: QueryParams) -> DataFrame:
@@ -52,3 +50,12 @@ def q5(tx: DataFrame, rates: DataFrame, p: QueryParams, fallbacks: DataFrame | N
 def run_all(tx: DataFrame, accounts: DataFrame, rates: DataFrame, p: QueryParams) -> dict[str, DataFrame]:
     """All five over one set of transactions."""
     return {"q1": q1(tx, p), "q2": q2(tx, accounts, p), "q3": q3(tx, p), "q4": q4(tx, p), "q5": q5(tx, rates, p)}
+
+
+def run_staged(staged: Staged, accounts: DataFrame, rates: DataFrame, p: QueryParams, fallbacks: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All five over transactions that were laid out; each reads the route and the days that it needs."""
+    usd = staged.rows("usd")
+    return {
+        "q1": q1(usd, p), "q2": q2(usd, accounts, p), "q3": q3(staged.rows("usd", p.window1, p.window2), p),
+        "q4": q4(staged.rows("usd", p.window1), p), "q5": q5(staged.rows(None, p.window1), rates, p, fallbacks),
+    }

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalars import plain_number
+from tidewell.sources import files
+from tidewell.sources.counts import Tally
 
 
 def formatted(df: DataFrame) -> DataFrame:
@@ -25,6 +29,22 @@ def write_results(results: dict[str, DataFrame], folder: str) -> None:
         write_csv(df, f"{folder.rstrip('/')}/query{name.removeprefix('q')}.csv")
 
 
+def write_together(results: dict[str, DataFrame], folder: str) -> dict[str, int]:
+    """All results or none: they are written beside ``folder``, which they replace once all are whole. Their numbers of rows."""
+    spark, folder, tally = next(iter(results.values())).sparkSession, folder.rstrip("/"), Tally()
+    new, old = (f"{folder}.{what}-{uuid.uuid4().hex}" for what in ("new", "old"))
+    try:
+        write_results({name: tally.at(df, name) for name, df in results.items()}, new)
+    except Exception:
+        files.remove(spark, new)
+        raise
+    if files.exists(spark, folder):
+        files.move(spark, folder, old)
+    files.move(spark, new, folder)
+    files.remove(spark, old)
+    return {name: tally.get(name)["n"] for name in results}
+
+
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that one of two bags has more often than the other: their columns and ``side``."""
     right = right.select(*left.columns)

@@ -8,21 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.functions.ids import TRANSACTIONS, source_id
 from tidewell.operators import groups, joins, rows
 from tidewell.params import AggSpec, FilterSpec, QueryParams
 from tidewell.plans import five
 
 
-def numbered(stream: DataFrame, client: str, sequence: str | None = None) -> DataFrame:
+def numbered(stream: DataFrame, client: str, sequence: str) -> DataFrame:
     """``stream`` with ``client_id`` and ``msg_id``: what deliveries are told apart by.
 
-    ``sequence`` names the column in which the client numbers its messages; it becomes the id, so that
-    equal rows stay apart. Only a stream without one takes a digest of the row, by which equal rows are one.
+    ``sequence`` names the column in which the client numbers its messages, from which the id is made, so that equal rows stay
+    apart. What comes from files without numbers goes through ``ingest``.
     """
-    if sequence is not None:
-        return stream.withColumns({"client_id": F.lit(client), "msg_id": F.col(sequence).cast("string")}).drop(sequence)
-    digest = F.sha2(F.to_json(F.struct(*stream.columns)), 256)
-    return stream.withColumns({"client_id": F.lit(client), "msg_id": digest})
+    msg_id = source_id(F.lit(client), TRANSACTIONS, F.col(sequence))
+    return stream.withColumns({"client_id": F.lit(client), "msg_id": msg_id}).drop(sequence)
 
 
 def deduplicated(stream: DataFrame, ids: tuple[str, ...] = ("client_id", "msg_id"), watermark: tuple[str, str] | None = None) -> DataFrame:
