@@ -350,7 +350,7 @@ def test_pii_finds_more_by_context(spark):
 
 def test_licences_match_sql(spark, docs, odd_docs):
     rng = random.Random(9)
-    notices = [t for _, t in licences.TEMPLATES] + list(licences.PHRASES) + ["CC-BY", "cc by cc by", "General  Public\nLicense"]
+    notices = [t for _, t in licences.TEMPLATES + licences.NOTICES] + list(licences.PHRASES) + ["CC-BY", "cc by cc by", "General  Public\nLicense"]
     texts = [" ".join(rng.choice(["lorem", "ipsum", "the", "of", "license", rng.choice(notices)]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(docs.select("doc_id", "text")).union(odd_docs.select("doc_id", "text"))
     con = duckdb.connect()
@@ -365,6 +365,28 @@ def test_licences_match_sql(spark, docs, odd_docs):
         assert licences.words(t) == [w.encode() for w in pattern.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))]
 
 
+def test_licences_tell_sisters_apart(spark):
+    """What a notice or body names and no more: not its sister license, nor words that only lie near one another."""
+    body = lambda label, k=0: [t for name, t in licences.BODIES if name == label][k]
+    cases = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl",
+        "GNU Lesser General Public License": "gpl,lgpl",
+        "GNU Affero General Public License": "agpl,gpl",
+        "the mozilla firefox public beta license plate": "",
+        "creative people and common attribution license commons": "",
+        "Licensed under the Apache License, Version 2.0": "apache",
+        "a license, licensed or not, under the common apache": "",
+        body("gpl"): "gpl", body("lgpl"): "gpl,lgpl", body("agpl"): "agpl,gpl", body("mit"): "mit", body("isc"): "isc", body("zlib"): "zlib",
+        body("bsd", 2): "bsd", body("boost"): "boost", body("apache", 1): "apache", " ".join(body("mit").split()[::5]): "",
+        "word " * 40 + body("mit")[:500] + " word" * 40: "mit",
+    }
+    texts = list(cases)
+    got = licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {texts[r.doc_id]: r.labels for r in got} == cases
+    gpl = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text like '%licensed under the GNU General Public License%'")
+    assert {r.labels for r in licences.scan_licences(gpl).collect()} == {"gpl"}
+
+
 def test_language_of_held_out_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(df, langid.train(df)).join(df.select("doc_id", "lang", "text"), "doc_id").collect()
