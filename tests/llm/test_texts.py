@@ -273,59 +273,104 @@ def test_pii_base_spans(spark, docs, odd_docs):
 
 def brute_ids(texts):
     """The bootstrap in plain Python: (document, start, end) of what it adds."""
-    word = re.compile(r"([^\s]+)\s+([^\s]+)\s*$")
     token = regex.compile(r"(?<![A-Za-z0-9_])[A-Za-z_]{0,16}+[0-9](?:[\x20().+:_/-]{0,2}[0-9]|[A-Za-z])*+|(?<=[:=]\x20?[\x22\x27])[A-Za-z0-9_+/.=@-]++")
-    occurrences = []
+    words = lambda x: [w for w in regex.split(pii.BETWEEN, x) if w]
+    occurrences, total = [], Counter()
     for k, text in enumerate(texts):
         text = text or ""
+        t = words(text.lower())
+        total.update(f"b:{x} {y}" for x, y, _ in zip(t, t[1:], t[2:]))
+        total.update(f"a:{x} {y}" for x, _, y in zip(t, t[1:], t[2:]))
         base = base_spans(text)
-        found = [(kind, s, e) for s, _, kind, e in base]
+        valid = {(s, e) for s, _, _, e in base}
         gaps = {kind: [m.span() for m in re.finditer(p, text)] for kind, p in pii.PLAIN.items()} | {"id": [m.span() for m in token.finditer(text)]}
-        found += [("id", s, e) for s, e in gaps["id"] if e - s >= pii.LEAST and not any(a < e and b > s for _, a, b in found)]
+        n_digits = lambda s, e: sum(c in "0123456789" for c in text[s:e])
+        failed = [(s, e) for kind in ("ip", "card", "phone") for s, e in gaps[kind] if (kind not in {x for a, _, x, b in base if (a, b) == (s, e)}) and (kind != "card" or 12 <= n_digits(s, e) <= 19)]
+        found = [(kind, s, e) for s, _, kind, e in base]
+        found += [("id", s, e) for s, e in gaps["id"] if e - s >= pii.LEAST and not any(a < e and b > s for a, b in valid)]
         for kind, s, e in found:
             own = gaps[kind]
             at = own.index((s, e))
-            before = text[own[at - 1][1] if at else 0 : s][-pii.BESIDE :].lower()
-            after = text[e : own[at + 1][0] if at + 1 < len(own) else len(text)][: pii.BESIDE].lower()
-            match, patterns = text[s:e], []
-            mark = regex.search(r"([\p{L}\p{N}_-]{1,32}\s{0,2}[:=(\[{<#\"'][\s:=(\[{<#\"']{0,6})$", before, regex.ASCII)
-            left, right = regex.sub(r"[^\p{L}\p{N}]+$", "", before), regex.sub(r"^[^\p{L}\p{N}]+", "", after)
-            if m := re.search(word.pattern, left, re.A):
-                patterns.append(f"b:{m[1]} {m[2]}")
-            near, far = re.search(r"([^\s]+)\s*$", left, re.A), re.search(r"^\s*([^\s]+)", right, re.A)
-            if near and far:
-                patterns.append(f"a:{near[1]} _ {far[1]}")
-            if mark:
-                patterns.append("m:" + re.sub(r"\s+", " ", mark[1], flags=re.A))
+            before = text[own[at - 1][1] if at else 0 : s]
+            before = (re.sub(r"^\S+", "", before[-pii.BESIDE :], flags=re.A) if len(before) > pii.BESIDE else before).lower()
+            after = text[e : own[at + 1][0] if at + 1 < len(own) else len(text)]
+            after = (re.sub(r"\S+$", "", after[: pii.BESIDE], flags=re.A) if len(after) > pii.BESIDE else after).lower()
+            match, contexts, left, right = text[s:e], [], words(before), words(after)
+            if len(left) > 1:
+                contexts.append(f"b:{left[-2]} {left[-1]}")
+            if left and right:
+                contexts.append(f"a:{left[-1]} {right[0]}")
+            if mark := regex.search(r"([\p{L}\p{N}_-]{1,32}\s{0,2}[:=(\[{<#\"'][\s:=(\[{<#\"']{0,6})$", before, regex.ASCII):
+                contexts.append("m:" + re.sub(r"\s+", " ", mark[1], flags=re.A))
             mixed = re.fullmatch("[A-Za-z0-9]+", match) and re.search("[0-9]", match) and re.search("[A-Za-z]", match)
             runs = re.sub("[0-9]+", "9", re.sub("[A-Za-z]+", "a", match)) + f":{sum(c in '0123456789' for c in match)}"
-            patterns.append("s:" + (("hex" if re.fullmatch("[0-9A-Fa-f]+", match) else "mix") + str(len(match)) if mixed else runs))
-            seed = kind != "id" or bool(re.search(pii.KEY_FORMS, match) and re.search("[0-9]", match) and re.search("[A-Za-z]", match))
-            occurrences.append((k, s, e, kind != "id", seed, re.sub("[^A-Za-z0-9]", "", match).lower(), patterns))
-    edges, seeds = Counter(), {}
-    for *_, seed, instance, patterns in occurrences:
-        for p in patterns:
-            edges[p, instance] += 1
-            seeds[instance] = seeds.get(instance, False) or seed
-    score = {i: float(x) for i, x in seeds.items()}
+            shape = (("hex" if re.fullmatch("[0-9A-Fa-f]+", match) else "mix") + str(len(match))) if mixed else runs
+            seed = kind != "id" or bool(regex.search(pii.LABELS, before, regex.ASCII))
+            refused = not seed and any(a < e and b > s for a, b in failed)
+            occurrences.append((k, s, e, kind != "id", seed, refused, re.sub("[^A-Za-z0-9]", "", match).lower(), contexts, shape))
+    edges, fixed, support, own = Counter(), {}, Counter(), Counter()
+    for *_, seed, refused, instance, contexts, _ in occurrences:
+        fixed[instance] = 1.0 if seed or fixed.get(instance) == 1.0 else 0.0 if refused or fixed.get(instance) == 0.0 else None
+        edges.update((p, instance) for p in contexts)
+    for (p, _), n in edges.items():
+        support[p], own[p] = support[p] + 1, own[p] + n
+    edges = {x: n for x, n in edges.items() if support[x[0]] >= pii.SUPPORT}
+    score = {i: x or 0.0 for i, x in fixed.items()}
     for _ in range(pii.ROUNDS):
-        total, weight, support = Counter(), Counter(), Counter()
+        scored, err = Counter(), {}
         for (p, i), n in edges.items():
-            total[p], weight[p], support[p] = total[p] + n * score[i], weight[p] + n, support[p] + 1
-        rating = {p: total[p] / (weight[p] + pii.DAMP) for p in total}
-        err = {}
+            scored[p] += n * score[i]
+        rating = {p: x / (max(own[p], total[p]) + pii.DAMP) for p, x in scored.items()}
         for p, i in edges:
             err[i] = err.get(i, 1.0) * max(1 - rating[p], 1e-9)
-        score = {i: 1.0 if seeds[i] else 1 - err[i] for i in score}
-    good = {p for p in rating if rating[p] >= pii.CONFIDENCE and support[p] >= pii.SUPPORT}
-    return sorted({(k, s, e) for k, s, e, base, _, _, patterns in occurrences if not base and good & set(patterns)})
+        score = {i: (1 - err.get(i, 1.0)) if x is None else x for i, x in fixed.items()}
+    by_shape = {}
+    for *_, i, _, shape in occurrences:
+        by_shape.setdefault(shape, []).append(i)
+    forms = {f for f, own in by_shape.items() if sum(score[i] for i in own) / (len(own) + pii.DAMP) >= pii.CONFIDENCE and len(set(own)) >= pii.SUPPORT}
+    good = lambda contexts, shape: any(rating.get(p, 0) >= (pii.FAIR if shape in forms else pii.CONFIDENCE) for p in contexts)
+    return sorted({(k, s, e) for k, s, e, base, seed, _, _, contexts, shape in occurrences if not base and (seed or good(contexts, shape))})
+
+
+#: Identifiers of forms that no seed has, in contexts that seeds also have; and numbers of the same forms elsewhere.
+MEMBERS = [f"our records show member no: {k * 7919 % 100_000:05d}/{chr(97 + k % 26)} joined late" for k in range(20)]
+MEMBERS += [f"our records show member no: user{k}@mail{k}.org joined late" for k in range(40)] + [f"please reach me under 555-{k:05d} until noon" for k in range(15)]
+MEMBERS += [f"please reach me under +1 (555) 555-{k:04d} until noon" for k in range(40)] + [f"the order of {k * 7919 % 100_000:05d}/{chr(97 + k % 26)} and the rest" for k in range(25)]
+MEMBERS += [f"the order of user{k}@shop.org and the rest" for k in range(6)] + ["the order of things and the rest was the order of the day"] * 60
+
+
+def test_pii_discovers_forms_that_no_seed_has(spark, monkeypatch):
+    """Held-out forms in seeds' contexts are found, the same forms elsewhere are not; without scoring neither holds."""
+    df = spark.createDataFrame(list(enumerate(MEMBERS)), "doc_id long, text string").repartition(3)
+    ids = lambda: {r.doc_id for r in pii.find(df).collect() if any(s.kind == "id" for s in r.spans)}
+    want = {k for k, t in enumerate(MEMBERS) if re.search(r"no: [0-9]{5}/|under 555-", t)}
+    assert ids() == want and len(want) == 35
+    monkeypatch.setattr(pii, "context_counts", lambda docs, wanted: docs.sparkSession.createDataFrame([], "pattern string, total long"))
+    monkeypatch.setattr(pii, "CONFIDENCE", 0.1)
+    assert ids() > want
+    monkeypatch.undo()
+    monkeypatch.setattr(pii, "ROUNDS", 1)
+    monkeypatch.setattr(pii, "CONFIDENCE", 1.1)
+    monkeypatch.setattr(pii, "FAIR", 1.1)
+    assert ids() == set()
+
+
+def test_pii_needs_a_context(spark):
+    """Numbers that the card check refuses, and version numbers, are nothing by their shape; in running text they are not told from others."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(4))
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012888888881881", "4222222222222"]
+    texts = [f"{word()} {word()} {rng.choice(cards)} {word()} {word()}" for _ in range(60)]
+    texts += [f"{word()} {word()} {k}111222233334440 {word()} {word()}" for k in range(1, 60)] + [f"release 1.2.3.{300 + k} of the tool" for k in range(20)]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert not [s for r in found for s in r.spans if s.kind == "id"]
 
 
 def test_pii_bootstrap_against_plain_python(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    texts = [r.text for r in df.orderBy("doc_id").collect()]
+    texts = [r.text for r in df.orderBy("doc_id").collect()] + MEMBERS
     texts += [f"key: '{c * 3}{k}' and user = \"name.{c}x\" sent from the box 10.0.0.{k} at 2024" for k, c in enumerate("abcdefgh")]
-    texts += [f"user = \"name{c}@mail.org\" was here in the year 199{k}" for k, c in enumerate("stuvwxyz")] + [None, ""]
+    texts += [f"user = \"name{c}@mail.org\" was here in the year 199{k}" for k, c in enumerate("stuvwxyz")] + [None, "", "password: abc123", "ſecret = 'x1234'"]
     found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
     got = sorted((r.doc_id, s.start, s.end) for r in found for s in r.spans if s.kind == "id")
     assert got == brute_ids(texts)
@@ -335,17 +380,16 @@ def test_pii_bootstrap_against_plain_python(spark):
     assert "name.ax" in shown and not any(t.startswith("199") or t == "2024" for t in shown)
 
 
-def test_pii_finds_more_by_context(spark):
+def test_pii_redacts(spark):
     texts = [f"some words then please call me at +1 (555) 555-{k:04d} for more" for k in range(40)]
-    texts += ["and so please call me at 555-12345 for more", "the year 20241 was long"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    spans = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in pii.find(df).collect()}
-    assert spans[40] == [("id", "555-12345")]
-    assert spans[41] == []
-    assert spans[3][0][0] == "phone"
-    clean = {r.doc_id: r.text for r in pii.redacted(df).collect()}
-    assert clean[40] == "and so please call me at [ID] for more"
-    assert clean[3] == "some words then please call me at [PHONE] for more"
+    texts += ["and so please call me at 555-12345 for more", "the year 20241 was long", None]
+    df = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in enumerate(texts)], "doc_id long, text string, __key int, __id int, spans int")
+    found = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in pii.find(df).collect()}
+    assert found[40] == [("id", "555-12345")] and found[41] == [] and found[3][0][0] == "phone"
+    clean = {r.doc_id: r for r in pii.redacted(df).collect()}
+    assert clean[40].text == "and so please call me at [ID] for more" and clean[42].text is None
+    assert clean[3].text == "some words then please call me at [PHONE] for more"
+    assert {(r["__key"], r["__id"], r.spans) for r in clean.values()} == {(1, 2, 3)}
 
 
 def test_licences_match_sql(spark, docs, odd_docs):

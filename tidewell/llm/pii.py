@@ -1,16 +1,15 @@
 """Personal data: fixed patterns, and identifiers found from the contexts of these, natively.
 
-The base patterns give e-mail addresses, IP addresses, card numbers and telephone numbers.
-Their valid matches and tokens that have a form of ``KEY_FORMS`` (keys and digests) are the seeds of a
-bootstrap. Instances are the seeds and every token of ``LEAST`` or more characters that holds a digit or
-stands in quotes after a colon or an equals sign. Each occurrence has up to four patterns: the
-two words before it; the word before and the word after; the word and the marks before it (``token = "``);
-and its shape (``hex40``, ``9.9.9.9:11``: kinds of characters and the number of digits). A seed has
-score 1. In ``ROUNDS`` rounds the score of a pattern becomes the mean score of what it surrounds, held
-down while it surrounds little, and the score of an instance that is no seed the chance
-that not all of its patterns err. Patterns of ``CONFIDENCE`` or more that surround
-``SUPPORT`` different instances or more are kept, and every instance they surround is
-personal data of kind ``id``, unless it overlaps a base span.
+The base patterns give e-mail addresses, IP addresses, card numbers and telephone numbers. Their valid matches, and what stands
+after a label of ``LABELS`` (``password: ...``), are the seeds of a bootstrap. Instances are the seeds and every token of ``LEAST`` or
+more characters that holds a digit or stands in quotes after a colon or an equals sign. Patterns are contexts: the two words before; the word before and the
+word after; the word and the marks before (``member no: "``). In ``ROUNDS`` rounds over the graph of patterns and instances the score of a
+pattern becomes the share of its occurrences that score, and the score of an instance the chance that not all of its patterns err.
+Seeds score 1. What a base pattern matched and its check refused (a card number's digits that fail it) scores 0: it is evidence
+against its contexts. The occurrences of words' contexts are counted over all texts, also where they surround an ordinary word, so that contexts such as ``the _ of``
+come to nothing. Contexts of ``CONFIDENCE`` or more that surround ``SUPPORT`` different instances or more are kept, and every instance that
+they surround is personal data of kind ``id``, unless it overlaps a base span. Shapes (``hex40``, ``9-9:7``: runs and the number
+of digits) only support: a context of ``FAIR`` or more counts where the shape, too, has ``CONFIDENCE``.
 
 All is DataFrame expressions. The patterns are written so that Java matches them in
 linear time and without recursion, also in long runs of letters or digits; they match
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import settle, table
+from tidewell.llm.common import join_small, settle, table
 
 #: The base patterns as they are defined.
 PLAIN = {
@@ -49,20 +48,23 @@ FAST = {
 NEED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]", "id": r"[0-9]|[:=]\x20?[\x22\x27]"}
 KINDS = ("email", "ip", "card", "phone")
 LEAST = 4
-#: Seed entities besides the base spans: digests, and keys of public services by their prefixes.
-KEY_FORMS = r"^(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$|^AKIA[0-9A-Z]{16}$|^gh[a-z]_[A-Za-z0-9]{36}$"
+#: Labels whose values are seeds.
+LABELS = r"(?:^|[^\p{L}\p{N}])(?:password|passwd|pwd|passphrase|secret|token|api[ _-]?key|access[ _-]?key|ssn|passport|iban)\s?[:=]\s?[\x22\x27]?$"
 ROUNDS = 3
-CONFIDENCE, SUPPORT, DAMP = 0.5, 3, 1.0
-#: Code points beside a match in which its neighbouring words are sought.
+CONFIDENCE, FAIR, SUPPORT, DAMP = 0.5, 0.25, 3, 1.0
+#: Code points beside a match in which its neighbouring words are sought; a word that they cut is left out.
 BESIDE = 48
+#: What stands between the words of a context.
+BETWEEN = r"[^\p{L}\p{N}_]+"
 
 
 def _matches(kind: str):
     """The matches of a kind: an array of (kind, no, gap before, text, words before, words after)."""
     found = F.regexp_extract_all("text", F.lit(FAST[kind]), F.lit(0))
     gaps = F.split("text", FAST[kind])
-    left = lambda i: F.lower(F.right(F.get(F.col("gaps"), i), F.lit(BESIDE)))
-    right = lambda i: F.lower(F.substring(F.get(F.col("gaps"), i + 1), 1, BESIDE))
+    part = lambda whole, cut, broken: F.lower(F.when(F.length(whole) > BESIDE, F.regexp_replace(cut, broken, "")).otherwise(whole))
+    left = lambda i: part(F.get(F.col("gaps"), i), F.right(F.get(F.col("gaps"), i), F.lit(BESIDE)), r"^\S+")
+    right = lambda i: part(F.get(F.col("gaps"), i + 1), F.substring(F.get(F.col("gaps"), i + 1), 1, BESIDE), r"\S+$")
     return found, gaps, lambda arr: F.transform(
         arr,
         lambda m, i: F.struct(
@@ -91,7 +93,10 @@ def _luhn(digits):
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """``(rid, kind, start, end, match, before, after)`` of valid base spans and of all instances."""
+    """``(rid, kind, start, end, match, before, after, valid)`` of base matches and of all instances.
+
+    Matches that fail the base check are not ``valid``; of those only such as were near it are returned.
+    """
     each = found.select("rid", F.inline("ms"))
     order = W.partitionBy("rid", "kind").orderBy("no").rowsBetween(W.unboundedPreceding, 0)
     size = F.length("match").cast("long")
@@ -106,7 +111,8 @@ def spans(found: DataFrame) -> DataFrame:
         .when(F.col("kind") == "id", F.length("match") >= LEAST)
         .otherwise(True)
     )
-    return settle(each.where(fits).select("rid", "kind", "start", "end", "match", "before", "after"))
+    each = each.withColumn("valid", fits).where(F.col("valid") | F.col("kind").isin("ip", "phone") | ((F.col("kind") == "card") & n.between(12, 19)))
+    return settle(each.select("rid", "kind", "start", "end", "match", "before", "after", "valid"))
 
 
 def shape(match):
@@ -119,47 +125,64 @@ def shape(match):
 
 
 def occurrences(each: DataFrame) -> DataFrame:
-    """The instances that no base span overlaps and, with ``base``, the base spans; ``seed``; ``patterns``: contexts and shape."""
+    """The instances that no base span overlaps and, with ``base``, the base spans; ``seed``, ``refused``; ``contexts`` and ``shape``."""
     sweep = W.partitionBy("rid").orderBy("start", F.col("kind") == "id", "end")
-    base = lambda c: F.when(F.col("kind") != "id", F.col(c))
-    ends = F.max(base("end")).over(sweep.rowsBetween(W.unboundedPreceding, 0))
-    starts = F.min(base("start")).over(sweep.rowsBetween(0, W.unboundedFollowing))
-    overlaps = F.coalesce(ends > F.col("start"), F.lit(False)) | F.coalesce(starts < F.col("end"), F.lit(False))
-    df = each.withColumn("base", F.col("kind") != "id").withColumn("overlaps", overlaps).where("base or not overlaps")
+    of = lambda valid, c: F.when((F.col("kind") != "id") & (F.col("valid") == valid), F.col(c))
+
+    def met(valid: bool):
+        ends = F.max(of(valid, "end")).over(sweep.rowsBetween(W.unboundedPreceding, 0))
+        starts = F.min(of(valid, "start")).over(sweep.rowsBetween(0, W.unboundedFollowing))
+        return F.coalesce(ends > F.col("start"), F.lit(False)) | F.coalesce(starts < F.col("end"), F.lit(False))
+
+    df = each.withColumns({"base": F.col("kind") != "id", "overlaps": met(True), "refused": met(False)}).where("valid and (base or not overlaps)")
     mark = F.regexp_extract("before", r"([\p{L}\p{N}_-]{1,32}\s{0,2}[:=(\[{<#\x22\x27][\s:=(\[{<#\x22\x27]{0,6})$", 1)
     marked = F.when(mark != "", F.concat(F.lit("m:"), F.regexp_replace(mark, r"\s+", " ")))
-    df = df.withColumn("marked", marked)
-    df = df.withColumn("before", F.regexp_replace("before", r"[^\p{L}\p{N}]+$", "")).withColumn("after", F.regexp_replace("after", r"^[^\p{L}\p{N}]+", ""))
-    word = lambda c, k: F.regexp_extract(c, r"([^\s]+)\s+([^\s]+)\s*$", k)
-    near = F.regexp_extract("before", r"([^\s]+)\s*$", 1)
-    after = F.regexp_extract("after", r"^\s*([^\s]+)", 1)
-    two = F.when(word("before", 1) != "", F.concat(F.lit("b:"), word("before", 1), F.lit(" "), word("before", 2)))
-    round_ = F.when((near != "") & (after != ""), F.concat(F.lit("a:"), near, F.lit(" _ "), after))
-    form = F.concat(F.lit("s:"), shape(F.col("match")))
+    words_of = lambda c: F.filter(F.split(c, BETWEEN), lambda w: w != "")
+    df = df.withColumns({"marked": marked, "left": words_of("before"), "right": words_of("after")})
+    two = F.when(F.size("left") > 1, F.concat(F.lit("b:"), F.get("left", F.size("left") - 2), F.lit(" "), F.element_at("left", -1)))
+    both = F.when((F.size("left") > 0) & (F.size("right") > 0), F.concat(F.lit("a:"), F.element_at("left", -1), F.lit(" "), F.get("right", F.lit(0))))
     instance = F.xxhash64(F.lower(F.regexp_replace("match", "[^A-Za-z0-9]", "")))
-    key = F.col("match").rlike(KEY_FORMS) & F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]")
+    seed = F.col("base") | F.col("before").rlike(LABELS)
     return df.select(
-        "rid", "start", "end", "base", (F.col("base") | key).alias("seed"), instance.alias("instance"),
-        F.array_compact(F.array(two, round_, F.col("marked"), form)).alias("patterns"),
+        "rid", "start", "end", "base", seed.alias("seed"), (~seed & F.col("refused")).alias("refused"), instance.alias("instance"),
+        F.array_compact(F.array(two, both, F.col("marked"))).alias("contexts"), shape(F.col("match")).alias("shape"),
     )
 
 
-def good_patterns(met: DataFrame) -> DataFrame:
-    """The patterns that seeds, and what is like them, lead to: ``(pattern, rating)``."""
-    edges = met.select("instance", "seed", F.explode("patterns").alias("pattern"))
-    edges = settle(edges.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("double")).alias("seed")))
-    seeds = edges.groupBy("instance").agg(F.max("seed").alias("score"))
-    scores = settle(seeds)
+def context_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(pattern, total)``: how often all texts have each word context of ``wanted``, whatever it surrounds."""
+    t = F.filter(F.split(F.lower("text"), BETWEEN), lambda w: w != "")
+    df = docs.select(t.alias("_t")).where(F.size("_t") > 2)
+    rest = lambda k: F.slice("_t", F.lit(k + 1), F.size("_t") - k)
+    pair = lambda name, a, b: F.zip_with(a, b, lambda x, y: F.concat(F.lit(name), x, F.lit(" "), y))
+    before = pair("b:", F.slice("_t", F.lit(1), F.size("_t") - 2), F.slice("_t", F.lit(2), F.size("_t") - 2))
+    around = pair("a:", F.slice("_t", F.lit(1), F.size("_t") - 2), rest(2))
+    each = df.select(F.explode(F.concat(before, around)).alias("pattern"))
+    return join_small(each, wanted.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+
+
+def good_patterns(met: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The contexts, and the shapes, that seeds and what is like them lead to: ``(pattern, rating)`` and ``(shape)``."""
+    edges = met.select("instance", "seed", "refused", F.explode("contexts").alias("pattern"))
+    most = lambda c: F.max(F.col(c).cast("double"))
+    edges = settle(edges.groupBy("pattern", "instance").agg(F.count("*").alias("n"), most("seed").alias("seed"), most("refused").alias("refused")))
+    supported = settle(edges.groupBy("pattern").agg(F.count("*").alias("support"), F.sum("n").alias("own")).where(F.col("support") >= SUPPORT))
+    totals = context_counts(docs, supported)
+    supported = settle(supported.join(totals, "pattern", "left").select("pattern", "support", F.greatest("own", F.coalesce("total", F.lit(0))).alias("total")))
+    edges = settle(join_small(edges, supported.select("pattern"), "pattern"))
+    fixed = met.groupBy("instance").agg(most("seed").alias("seed"), most("refused").alias("refused"))
+    start = F.when(F.col("seed") > 0, 1.0).when(F.col("refused") > 0, 0.0)
+    fixed = settle(fixed.select("instance", start.alias("fixed")))
+    scores = fixed.select("instance", F.coalesce("fixed", F.lit(0.0)).alias("score"))
     for k in range(ROUNDS):
-        rated = edges.join(scores, "instance").groupBy("pattern").agg(
-            (F.sum(F.col("n") * F.col("score")) / (F.sum("n") + DAMP)).alias("rating"), F.count("*").alias("support")
-        )
-        rated = settle(rated.where("rating > 0"))
-        if k < ROUNDS - 1:
-            err = F.sum(F.log(F.greatest(1 - F.coalesce("rating", F.lit(0.0)), F.lit(1e-9))))
-            led = edges.join(rated, "pattern", "left").groupBy("instance").agg((1 - F.exp(err)).alias("led"), F.max("seed").alias("seed"))
-            scores = settle(led.select("instance", F.when(F.col("seed") > 0, F.lit(1.0)).otherwise(F.col("led")).alias("score")))
-    return rated.where((F.col("rating") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern", "rating")
+        sums = edges.join(scores, "instance").groupBy("pattern").agg(F.sum(F.col("n") * F.col("score")).alias("scored"))
+        rated = settle(sums.where("scored > 0").join(supported, "pattern").select("pattern", (F.col("scored") / (F.col("total") + DAMP)).alias("rating")))
+        err = F.exp(F.sum(F.log(F.greatest(1 - F.col("rating"), F.lit(1e-9)))))
+        led = join_small(edges, rated, "pattern").groupBy("instance").agg((1 - err).alias("led"))
+        scores = settle(fixed.join(led, "instance", "left").select("instance", F.coalesce("fixed", "led", F.lit(0.0)).alias("score")))
+    forms = met.join(scores, "instance").groupBy("shape").agg((F.sum("score") / (F.count("*") + DAMP)).alias("rating"), F.count_distinct("instance").alias("support"))
+    shapes = forms.where((F.col("rating") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("shape")
+    return rated.where(F.col("rating") >= FAIR), settle(shapes)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -167,9 +190,13 @@ def find(docs: DataFrame) -> DataFrame:
     found = matches(docs)
     each = spans(found)
     met = settle(occurrences(each))
-    new = met.where("not base").select("rid", "start", "end", F.explode("patterns").alias("pattern")).join(good_patterns(met), "pattern", "left_semi")
-    new = new.select("rid", F.lit("id").alias("kind"), "start", "end").distinct()
-    both = each.where("kind <> 'id'").select("rid", "kind", "start", "end").union(new)
+    contexts, shapes = good_patterns(met, docs)
+    new = met.where("not base")
+    led = join_small(new.select("rid", "start", "end", "shape", F.explode("contexts").alias("pattern")), settle(contexts), "pattern")
+    led = join_small(led, shapes.withColumn("known", F.lit(True)), "shape", "left").where((F.col("rating") >= CONFIDENCE) | F.col("known"))
+    new = new.where("seed").select("rid", "start", "end").union(led.select("rid", "start", "end"))
+    new = new.distinct().select("rid", F.lit("id").alias("kind"), "start", "end")
+    both = each.where("valid and kind <> 'id'").select("rid", "kind", "start", "end").union(new)
     rank = F.array_position(F.array(*[F.lit(k) for k in FAST]), F.col("kind"))
     by_row = both.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
     return found.drop("ms").join(by_row, "rid", "left").withColumn("spans", F.coalesce("spans", F.array()))
@@ -177,25 +204,25 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with each span, or run of overlapping spans, replaced by its first kind in brackets."""
-    found = find(docs).where("size(spans) > 0").dropDuplicates(["doc_id", "text_key"])
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
-    df = docs.join(found, docs.doc_id.eqNullSafe(found["__id"]) & (F.xxhash64(docs.text) == found["__key"]), "left")
+    found = find(docs).where("size(spans) > 0").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "spans")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("key"))
+    df = own.join(found, F.col("row.doc_id").eqNullSafe(found.doc_id) & (own.key == found.text_key), "left").select("row", "spans")
+    text = F.col("row.text")
     step = F.aggregate(
-        "__spans",
+        "spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda a, s: F.when(
             s["start"] >= a["at"],
             F.struct(
                 s["end"].alias("at"),
-                F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"),
+                F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"),
             ),
         ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))),
+        lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))),
     )
-    df = df.withColumn("text", F.when(F.col("__spans").isNotNull(), step).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*docs.columns)
+    df = df.select("row", F.when(F.col("spans").isNotNull(), step).otherwise(text).alias("clean"))
+    new = {"text": F.col("clean")} | ({"n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return df.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
