@@ -36,6 +36,20 @@ def test_stages_keep_columns(name, request):
         assert len(made.collect()) <= 2 * df.count()
 
 
+CLASHING = ("row", "own", "key", "id", "rid", "size", "turn", "pieces", "taken", "made", "spans", "clean", "text_key", "_id", "_key", "_label", "__key", "__size", "__own", "__pass", "a.b")
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_leave_other_columns_alone(name, docs):
+    from pyspark.sql import functions as F
+
+    clashing = docs.limit(60).withColumns({c: F.lit(k) for k, c in enumerate(CLASHING)})
+    made = STAGES[name](clashing)
+    assert made.columns == clashing.columns
+    rows = made.collect()
+    assert rows and {tuple(r[c] for c in CLASHING) for r in rows} == {tuple(range(len(CLASHING)))}
+
+
 def test_results(odd_docs):
     near = simhash.keep_one_of_each(odd_docs)
     assert near.where("text like 'a b c%'").count() == 1

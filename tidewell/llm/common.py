@@ -68,6 +68,16 @@ def row_key(df: DataFrame) -> F.Column:
     return F.xxhash64(*[plain(c, kind) for c, kind in df.dtypes])
 
 
+def whole_row(df: DataFrame) -> F.Column:
+    """All columns of a row as one, ``row``, so that no name of theirs meets a name of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def of_row(df: DataFrame, columns: list[str], new: dict | None = None) -> DataFrame:
+    """The columns back from ``row``; those in ``new`` replaced."""
+    return df.select(*[(new or {}).get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
+
+
 def words(text) -> F.Column:
     """The words of a text column (null: none), natively."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import join_small, row_key, running_total, settle, table, words
+from tidewell.llm.common import join_small, new_dir, of_row, row_key, running_total, settle, table, whole_row, words
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
@@ -185,20 +185,25 @@ def packed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, with ``docs``' columns: of each, the words taken, and again those taken twice."""
-    sizes = measured(docs)
-    by_row = packed(sizes, targets(sizes)).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pass", "first", "words"))).alias("__pieces"))
-    plan = sizes.join(by_row, "rid").select(F.col("row_key").alias("__key"), "__pieces", F.col("size").alias("__size"))
-    own = docs.withColumn("__own", row_key(docs)).dropDuplicates(["__own"])  # rows that agree in all columns; the plan has one for each
+    """The documents of the mix, with ``docs``' columns: of each, the words taken, and again those taken twice.
+
+    Rows are written once with a number each, by which the plan finds them again; so a row is never
+    told by a hash, and texts move once. That copy stays in the shared folder until the result has been read.
+    """
+    path = new_dir(docs.sparkSession, "numbered")
+    size = F.size(words(F.col("text"))).cast("long")
+    docs.select(whole_row(docs), row_key(docs).alias("row_key"), size.alias("size"), F.monotonically_increasing_id().alias("rid")).write.parquet(path)
+    numbered = docs.sparkSession.read.parquet(path)
+    sizes = numbered.select("row.doc_id", "row.source", "row_key", "size", "rid")
+    pieces = packed(sizes, targets(sizes)).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pass", "first", "words"))).alias("pieces"))
     # The words are split below the explode, so that the pieces do not each split the text again.
-    df = own.join(plan, own["__own"] == plan["__key"]).withColumn("__w", words(F.col("text"))).withColumn("__pass", F.explode(F.array(F.lit(0), F.lit(1))))
-    mine = F.filter("__pieces", lambda p: p["pass"] == F.col("__pass"))
-    df = df.withColumn("__taken", F.aggregate(mine, F.lit(0).cast("long"), lambda a, p: a + p["words"])).where("__taken > 0")
-    part = F.flatten(F.transform(mine, lambda p: F.slice(F.col("__w"), (p["first"] + 1).cast("int"), p["words"].cast("int"))))
-    df = df.withColumn("text", F.when(F.col("__taken") == F.col("__size"), F.col("text")).otherwise(F.array_join(part, " ")))
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*docs.columns)
+    df = numbered.join(pieces, "rid").withColumn("own_words", words(F.col("row.text"))).withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1))))
+    mine = F.filter("pieces", lambda p: p["pass"] == F.col("turn"))
+    df = df.withColumn("taken", F.aggregate(mine, F.lit(0).cast("long"), lambda a, p: a + p["words"])).where("taken > 0")
+    part = F.flatten(F.transform(mine, lambda p: F.slice(F.col("own_words"), (p["first"] + 1).cast("int"), p["words"].cast("int"))))
+    df = df.withColumn("made", F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(F.array_join(part, " ")))
+    new = {"text": F.col("made")} | ({"n_chars": F.length("made").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return of_row(df, docs.columns, new)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

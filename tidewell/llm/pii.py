@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import join_small, settle, table
+from tidewell.llm.common import join_small, of_row, settle, table, whole_row
 
 #: The base patterns as they are defined.
 PLAIN = {
@@ -205,7 +205,7 @@ def find(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with each span, or run of overlapping spans, replaced by its first kind in brackets."""
     found = find(docs).where("size(spans) > 0").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "spans")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("key"))
+    own = docs.select(whole_row(docs), F.xxhash64("text").alias("key"))
     df = own.join(found, F.col("row.doc_id").eqNullSafe(found.doc_id) & (own.key == found.text_key), "left").select("row", "spans")
     text = F.col("row.text")
     step = F.aggregate(
@@ -222,7 +222,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     )
     df = df.select("row", F.when(F.col("spans").isNotNull(), step).otherwise(text).alias("clean"))
     new = {"text": F.col("clean")} | ({"n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return df.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return of_row(df, docs.columns, new)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import SMALL_ROWS, SPACE, join_small, settle, table, words
+from tidewell.llm.common import SMALL_ROWS, SPACE, join_small, of_row, settle, table, whole_row, words
 
 MIN_WORDS = 10
 WINDOW = 5
@@ -241,12 +241,11 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected ones; the texts stay where they are if these are counted to be few."""
-    key = F.xxhash64("doc_id", "lang", "source", F.xxhash64("text"))
     out = judge(docs).where("not kept")
-    out = settle(out.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "lang", "source", "text_key").alias("_key")).distinct())
-    df = docs.withColumn("__key", key)
+    out = settle(out.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "lang", "source", "text_key").alias("key")).distinct())
+    own = docs.select(whole_row(docs), F.xxhash64("doc_id", "lang", "source", F.xxhash64("text")).alias("own"))
     few = F.broadcast(out) if out.count() <= SMALL_ROWS else out
-    return df.join(few, (df["__key"] == out["_key"]) & df.doc_id.eqNullSafe(out["_id"]), "left_anti").select(*docs.columns)
+    return of_row(own.join(few, (own.own == out.key) & F.col("row.doc_id").eqNullSafe(out.id), "left_anti"), docs.columns)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

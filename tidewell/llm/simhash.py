@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import least_labels, settle, table
+from tidewell.llm.common import least_labels, of_row, settle, table, whole_row
 
 SHINGLE = 3
 SEED = 42
@@ -149,8 +149,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     grouped = group_near_copies(docs)
     heads = grouped.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("label").alias("_label"))
     heads = settle(heads.dropDuplicates(["_label"]))
-    kept = docs.join(heads, docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_key")))
-    return kept.dropDuplicates(["_label"]).select(*[docs[c] for c in docs.columns])
+    own = docs.select(whole_row(docs), F.xxhash64("text").alias("own"))
+    kept = own.join(heads, F.col("row.doc_id").eqNullSafe(heads["_id"]) & (own.own == heads["_key"]))
+    return of_row(kept.dropDuplicates(["_label"]), docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
