@@ -44,25 +44,27 @@ def good_ones(docs):
         seen = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
         covered = {k + j for k in range(len(w) - 4) if seen[tuple(w[k : k + 5])] > 1 for j in range(5)}
         failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
-        counts = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines), len(lines) - len(set(lines)), len(covered), len(re.findall("[A-Z!]", text)))
+        counts = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines), len(lines) - len(set(lines)), len(covered), *(len(re.findall(p, text)) for p in ("[AEIOUYaeiouy]", "[.,;:?!]", "[A-Z!]")))
         rows.append((repr((d["lang"], d["source"])), repr(d["lang"]), counts, failed))
-    own, by_lang = defaultdict(lambda: np.zeros(2)), defaultdict(lambda: np.zeros(2))
+    own, by_lang = defaultdict(lambda: np.zeros(6)), defaultdict(lambda: np.zeros(6))
+    sums = lambda c: np.array([c[1], c[6], c[7], c[8], c[3], c[0]], float)  # noqa: E731  characters, vowels, marks, capitals, lines, words
     for g, gl, c, failed in rows:
         if not failed:
-            own[g] += (c[1], c[0])
-            by_lang[gl] += (c[1], c[0])
+            own[g] += sums(c)
+            by_lang[gl] += sums(c)
     prior, shrink, vectors, half = quality.PRIOR, quality.SHRINK * quality.PRIOR, [], []
-    for d, (g, gl, (n, chars, symbols, n_lines, dup, again, shouts), failed) in zip(docs, rows):
-        typical = (own[g][0] + shrink * by_lang[gl][0] / by_lang[gl][1]) / (own[g][1] + shrink) if g in own else 5.0
-        rates = (
-            math.log((chars + prior * typical) / (n + prior)), math.sqrt(symbols / (chars + 5 * prior)), math.sqrt(dup / (n_lines + prior / 10)),
-            math.sqrt(again / (n + prior)), math.sqrt(shouts / (chars + 5 * prior)),
-        )
-        vectors.append((g, gl, [math.floor(x * quality.UNIT + 0.5) for x in rates], not failed))
+    for d, (g, gl, c, failed) in zip(docs, rows):
+        typical = (own[g][:5] + shrink * by_lang[gl][:5] / by_lang[gl][5]) / (own[g][5] + shrink) if g in own else np.array([5.0, 2.0, 0.1, 0.1, 0.1])
+        chars, vowels, marks, shouts, n_lines = sums(c)[:5] + prior * typical
+        n = c[0] + prior
+        x = (math.log(chars / n), math.sqrt(vowels / chars), math.sqrt(marks / chars), math.sqrt(shouts / chars), math.log(n_lines / n))
+        rates = (math.sqrt(c[2] / (c[1] + 5 * prior)), math.sqrt(c[4] / (c[3] + prior / 10)), math.sqrt(c[5] / n))
+        whole = lambda values: [float(math.floor(v * quality.UNIT + 0.5)) for v in values]
+        vectors.append((g, gl, whole(x), whole(rates), not failed))
         row_hash = spark_hash(d["doc_id"], spark_hash(d["text"]))
         half.append([spark_hash(row_hash, int32(s)) % 2 == 0 for s in range(quality.STARTS)])
-    d2 = brute_verdicts([(g, gl, [float(x) for x in v], fit) for g, gl, v, fit in vectors], np.array(half))
-    return [d for d, v, far in zip(docs, vectors, d2) if v[3] and not far > quality.CUTOFF]
+    d2, far = brute_verdicts(vectors, np.array(half))
+    return [d for d, v, a, b in zip(docs, vectors, d2, far) if v[4] and not (a > quality.CUTOFF or b > quality.RATES_CUTOFF)]
 
 
 def one_of_each(docs):

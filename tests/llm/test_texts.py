@@ -193,21 +193,57 @@ def test_quality_rejects_menus_and_keeps_boilerplate(spark):
     df = spark.createDataFrame(good + menus, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id for r in quality.keep_good(df).collect()}
     assert kept == {g[0] for g in good}
-    assert abs(quality.CUTOFF - 20.515) < 0.001 and abs(quality.chi_square(4.3515, 5) - 0.5) < 1e-4
+    assert abs(quality.chi_square_quantile(0.999, 5) - 20.515) < 0.001 and abs(quality.chi_square(4.3515, 5) - 0.5) < 1e-4
+
+
+def test_quality_covariance_matters(spark, monkeypatch):
+    """A text whose vowels and word lengths are each usual, but not together, is an outlier; with floors for an estimate it is none."""
+    rng = random.Random(12)
+
+    def text(vowels, n=240):
+        size = round(2 + 14 * vowels)  # in this language longer words have more vowels
+        word = lambda: "".join(rng.choice("aeio" if rng.random() < vowels else "tnshrdl") for _ in range(max(1, size + rng.randint(-1, 1))))
+        return ".\n".join(" ".join(word() for _ in range(12)).capitalize() for _ in range(n // 12))
+
+    def crossed(vowels):
+        return ".\n".join(" ".join("".join(rng.choice("aeio" if rng.random() < vowels else "tnshrdl") for _ in range(round(2 + 14 * (0.7 - vowels)))) for _ in range(12)).capitalize() for _ in range(20))
+
+    rows = [(k, text(0.2 + 0.3 * k / 300)) for k in range(300)] + [(1000 + k, crossed(0.2 + 0.02 * k)) for k in range(4)]
+    df = spark.createDataFrame([(k, t, "xx", "s") for k, t in rows], "doc_id long, text string, lang string, source string")
+    kept = lambda: {r.doc_id for r in quality.judge(df).where("kept").collect()}
+    assert kept() == set(range(300))
+    monkeypatch.setattr(quality, "FACTOR", 0.0)
+    monkeypatch.setattr(quality, "LEAST", (0.3, 0.08, 0.08, 0.08, 0.5))
+    assert {1000, 1001, 1002, 1003} <= kept()
+
+
+def test_quality_distances_are_calibrated(spark):
+    """Of ordinary documents nearly all are kept; the median distance is near the chi-square's, 4.35 (less in a small table, where groups lean on the whole)."""
+    judged = quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("not base_failed and n_symbols < 0.02 * word_chars").collect()
+    assert 1.5 < np.median([r.d2 for r in judged]) < 5.5
+    assert sum(not r.kept for r in judged) <= 0.005 * len(judged)
 
 
 def brute_verdicts(rows, half):
-    """Estimates and squared distances in NumPy: {group: d2 of rows}; ``half``: the rows of each start."""
-    g, gl, x, fit = [np.array(c) for c in zip(*rows)]
-    floor = np.diag((np.array(quality.FLOORS) * quality.UNIT) ** 2)
+    """Estimates in NumPy: squared distances of vectors and of rates; ``half``: the rows of each start."""
+    g, gl, x, rate, fit = [np.array(c) for c in zip(*rows)]
+    x = np.hstack([x, rate])
+    dim, least = quality.DIM, (np.array(quality.LEAST) * quality.UNIT) ** 2
 
     def moments(v):
         m = v.mean(0)
-        return m, quality.FACTOR * (v.T @ v / len(v) - np.outer(m, m)) + floor
+        return m, quality.FACTOR * (v.T @ v / len(v) - np.outer(m, m))[:dim, :dim]
+
+    def factor(c):
+        low = np.zeros_like(c)
+        for j in range(dim):
+            low[j, j] = max(c[j, j] - low[j, :j] @ low[j, :j], least[j]) ** 0.5
+            for i in range(j + 1, dim):
+                low[i, j] = (c[i, j] - low[i, :j] @ low[j, :j]) / low[j, j]
+        return low
 
     def distance(v, m, c):
-        low, d = np.linalg.cholesky(c), v - m
-        return (np.linalg.solve(low, d.T) ** 2).sum(0)
+        return (np.linalg.solve(factor(c), (v - m)[:, :dim].T) ** 2).sum(0)
 
     core = {}
     for name in sorted(set(g)):
@@ -220,13 +256,13 @@ def brute_verdicts(rows, half):
                 bins = np.floor(np.log2(distance(own, *moments(inner)) + 1e-9) * 16)
                 near = np.array([(bins < b).sum() < quality.CORE * len(own) for b in bins])
                 inner = own[near]
-            volume = np.linalg.slogdet(moments(inner)[1])[1]
+            volume = np.log(np.diag(factor(moments(inner)[1]))).sum()
             if best is None or volume < best[0] - 1e-12:
                 best = volume, inner
         if best:
             core[name] = best[1]
     lang = {name: gl[g == name][0] for name in set(g)}
-    out = np.full(len(g), np.nan)
+    out, far = np.full(len(g), np.nan), np.full(len(g), np.nan)
     if core:
         whole = moments(np.concatenate(list(core.values())))
         for name in set(g[fit]):
@@ -237,7 +273,8 @@ def brute_verdicts(rows, half):
             of_own = moments(core[name]) if name in core else of_lang
             m, c = ((w * o + (1 - w) * (wl * k + (1 - wl) * t)) for o, k, t in zip(of_own, of_lang, whole))
             out[g == name] = distance(x[g == name], m, c)
-    return out
+            far[g == name] = (np.maximum(x[g == name][:, dim:] - m[dim:], 0) ** 2 / (np.array(quality.CHANCE) * quality.UNIT) ** 2).sum(1)
+    return out, far
 
 
 def test_quality_verdict_against_numpy(spark):
@@ -249,13 +286,13 @@ def test_quality_verdict_against_numpy(spark):
     vectors = quality.settle(quality._vectors(quality.settle(quality.with_counts(df))).withColumn("row_hash", F.xxhash64("doc_id", "text_key")))
     starts = [(F.pmod(F.xxhash64("row_hash", F.lit(s)), F.lit(2)) == 0).alias(f"h{s}") for s in range(quality.STARTS)]
     rows = vectors.select("*", *starts).collect()
-    x = [[float(r[f"x{k}"]) for k in range(quality.DIM)] for r in rows]
-    want = brute_verdicts([(r.g, r.gl, v, not r.base_failed) for r, v in zip(rows, x)], np.array([[r[f"h{s}"] for s in range(quality.STARTS)] for r in rows]))
+    x = [([float(r[f"x{k}"]) for k in range(quality.DIM)], [float(r[f"r{k}"]) for k in range(quality.N_RATES)]) for r in rows]
+    want = brute_verdicts([(r.g, r.gl, *v, not r.base_failed) for r, v in zip(rows, x)], np.array([[r[f"h{s}"] for s in range(quality.STARTS)] for r in rows]))
     got = {(r.doc_id, r.n_words, r.n_symbols, r.word_chars): r for r in quality.judge(df).collect()}
-    for r, d2 in zip(rows, want):
+    for r, d2, far in zip(rows, *want):
         own = got[r.doc_id, r.n_words, r.n_symbols, r.word_chars]
-        assert r.base_failed or abs(own.d2 - d2) <= 1e-6 * (1 + d2)
-        assert own.kept == (not r.base_failed and d2 <= quality.CUTOFF)
+        assert r.base_failed or abs(own.d2 - d2) <= 1e-6 * (1 + d2) and abs(own.far - far) <= 1e-6 * (1 + far)
+        assert own.kept == (not r.base_failed and d2 <= quality.CUTOFF and far <= quality.RATES_CUTOFF)
     verdict = {k[0]: r.kept for k, r in got.items()}
     assert (verdict[10**6], verdict[10**6 + 1], verdict[10**6 + 2]) == (False, True, False)
 
