@@ -149,8 +149,8 @@ def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select("rid", "vec_id", "v", (F.log("largest") + F.log(square) / 2).alias("length"))
 
 
-def fitted(rows: DataFrame, asked: DataFrame, dim: int, n: int, top: float, nearest: int) -> tuple[int, int]:
-    """The numbers of projections and probes, from exact results of a bounded sample of queries."""
+def fitted(rows: DataFrame, asked: DataFrame, dim: int, n: int, top: float, nearest: int) -> tuple[int, int] | None:
+    """The numbers of projections and probes, from exact results of a bounded sample of queries; None if none finds ``TARGET`` of these."""
     by = F.xxhash64("vec_id")
     queries = asked.orderBy(by, "rid").limit(SAMPLE_QUERIES).collect()
     others = rows.orderBy(F.xxhash64(by, F.lit(SEED)), "rid").limit(SAMPLE_ROWS).collect()
@@ -195,7 +195,7 @@ def fitted(rows: DataFrame, asked: DataFrame, dim: int, n: int, top: float, near
         cost = share * n + enough * TABLES * PROBE_COST
         if best is None or cost < best[0]:
             best = cost, hashes, enough
-    return best[1:] if best else (HASHES[0], PROBES)
+    return best[1:] if best else None
 
 
 def min_rank(probed: np.ndarray, keys: np.ndarray, missing: int) -> np.ndarray:
@@ -293,7 +293,8 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "e
     facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max("length").alias("top")).first()
     n, dim, top = facts.n, facts.dim or 1, facts.top or 0.0
     asked = rows.where(is_query)
-    hashes, probes = fitted(rows, asked, dim, n, top, nearest)
+    fit = fitted(rows, asked, dim, n, top, nearest)
+    hashes, probes = fit or (HASHES[0], 1)
     functions, order = Functions(dim, hashes), template(hashes, probes)
     shards = max(1, -(-n // SHARD_ROWS))
 
@@ -328,11 +329,14 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "e
         rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "rid"))
         return settle(found.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query", "query_id", "rank", "vec_id", "score"))
 
+    everywhere = lambda few: few.select("rid", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    if fit is None:  # no setting finds enough: every query against all rows
+        return answered(everywhere(asked), True).select("query_id", "rank", "vec_id", "score")
     found = answered(routes, False)
     full = found.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= min(nearest, n - 1))
     short = settle(asked.select("rid").join(full, F.col("rid") == F.col("query"), "left_anti"))
     if n > 1 and short.count():
-        more = answered(short.select("rid", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")), True)
+        more = answered(everywhere(short), True)
         found = found.join(short, found["query"] == short.rid, "left_anti").union(more)
     return found.select("query_id", "rank", "vec_id", "score")
 
