@@ -273,6 +273,19 @@ def test_hops_laid_out_do_not_move(spark, tmp_path):
     assert bag(graph.laid_out_pairs(spark, "laid_out_test", 3)) == bag(graph.pairs(edges, 3)) != []
 
 
+def test_hot_bridges_alone_are_split(spark):
+    """A bridge of 30 sources and 30 sinks goes to several tasks, one of two by two to one; the pairs stay the same."""
+    edges = tx(spark, [(f"s{k}", "v1") for k in range(30)] + [("v1", f"t{k}") for k in range(30)] + [("s1", "v2"), ("s2", "v2"), ("v2", "t1"), ("v2", "t2")]).select(*graph.EDGE)
+    via = ["via_bank", "via_account"]
+    first = edges.where("to_account like 'v%'").select("from_bank", "from_account", F.col("to_bank").alias("via_bank"), F.col("to_account").alias("via_account"))
+    second = edges.where("from_account like 'v%'").select(F.col("from_bank").alias("via_bank"), F.col("from_account").alias("via_account"), "to_bank", "to_account")
+    dealt, sent = graph.split_bridges(first, second, via, 100)
+    sizes = {(r.via_account, r["_salt"]): r.n for r in dealt.groupBy("via_account", "_salt").agg(F.count("*").alias("n")).collect()}
+    assert len([k for k in sizes if k[0] == "v1"]) > 3 and [k for k in sizes if k[0] == "v2"] == [("v2", 0)]
+    assert sent.where("via_account = 'v1'").count() == 270 and sent.where("via_account = 'v2'").count() == 2
+    assert bag(graph.pairs(edges, 1, most_met=100)) == bag(graph.pairs(edges, 1))
+
+
 @pytest.mark.parametrize("name", ["q2", "q3", "q4", "q5"])
 def test_tenants_are_kept_apart(spark, name):
     """Each client's result is that of its own rows; an edge or average of one never helps another."""

@@ -8,10 +8,13 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.catalog import ENDS, LOWER, NAMES, Q1, Q2, Q3, Q5, CONVERTED, P, _as_csv, _edges, pairs_sql, sql, tx
+from tidewell.catalog import CONVERTED, DAILY_SQL, ENDS, LOWER, NAMES, Q1, Q2, Q3, Q5, RATES_SQL, P, _as_csv, _edges, _written, pairs_sql, sql, tx
 from tidewell.functions.ids import TRANSACTIONS, derived_id, source_id, stage_id
-from tidewell.operators import graph
+from tidewell.functions.scalars import written_date
+from tidewell.operators import graph, joins, rows
+from tidewell.params import QueryParams
 from tidewell.plans import five
+from tidewell.plans.workers import worker
 from tidewell.sources import staging, verify
 from tidewell.sources import tables as t
 from tidewell.sources.files import scratch
@@ -131,6 +134,21 @@ def _verified(s: SparkSession, d: str) -> DataFrame:
     return verify.compare(expected, actual)
 
 
+def _fetched(s: SparkSession, d: str) -> DataFrame:
+    """Rates of three days from the table; a provider is asked for the others, once for each day and currency, and says half a dollar."""
+    df, known = _written(s, d), t.rates(s).where("rate_date <= '2022-09-03'")
+    asked = t.fetched_rates(df, known, written_date(F.col("timestamp")), lambda wanted: dict.fromkeys(wanted, 0.5))
+    return joins.in_usd(df, asked)
+
+
+def _chain(s: SparkSession, d: str) -> DataFrame:
+    """The fourth analysis as a chain of workers, named and configured as in a configuration file."""
+    df = rows.by_currency(tx(s, d), P.usd)[0]
+    for name, params in (("DateRangeFilter", {"lo": P.window1[0], "hi": P.window1[1]}), ("Spliter", {}), ("ScatterAndGather", {"threshold": 1}), ("ScatterGather", {}), ("ScatterGatherFilter", {"threshold": 3}), ("JoinQuery4", {})):
+        df = worker(name, **params)(df)
+    return df
+
+
 _TEXT = "SELECT from_bank, from_account, to_bank, to_account, CAST(total_amount AS VARCHAR) AS total_amount FROM"
 _ACTUAL = "actual AS (SELECT * FROM q1 WHERE total_amount >= 1 UNION ALL SELECT * FROM q1 WHERE total_amount > 49.5)"
 SERVED: dict[str, tuple] = {
@@ -147,6 +165,17 @@ SERVED: dict[str, tuple] = {
     "staged_q3": (_staged_query("q3"), sql(Q3)),
     "staged_q4": (_staged_query("q4", LOWER), sql(ENDS, pairs_sql(3))),
     "staged_q5": (_staged_query("q5"), sql(Q5, CONVERTED.format("w1"))),
+    "q4_split": (lambda s, d: graph.pairs(_edges(s, d), 3, most_met=20), sql("SELECT * FROM pairs", pairs_sql(3))),
+    "convert_fetched": (
+        _fetched,
+        f"{DAILY_SQL} SELECT w.* EXCLUDE (n, day) REPLACE (CASE WHEN payment_currency = 'US Dollar' THEN amount_paid ELSE amount_paid / coalesce(per_usd, 2.0) END AS amount_paid, 'US Dollar' AS payment_currency) "
+        f"FROM w LEFT JOIN (SELECT * FROM ({RATES_SQL}) WHERE rate_date <= '2022-09-03') r ON rate_date = day AND currency = payment_currency",
+    ),
+    "worker_chain": (_chain, sql(ENDS, pairs_sql(3))),
+    "params_mapping": (
+        lambda s, d: five.q1(tx(s, d), QueryParams.from_mapping({"small_amount": 20.5, "usd": "Euro", "window1": list(P.window1)})),
+        sql("SELECT from_bank, from_account, to_bank, to_account, amount_paid AS total_amount FROM tx WHERE payment_currency = 'Euro' AND amount_paid < 20.5"),
+    ),
     "q4_laid_out": (_laid_out, sql("SELECT * FROM pairs", pairs_sql(3))),
     "verify_rows": (
         _verified,

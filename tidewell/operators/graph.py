@@ -17,12 +17,28 @@ def heavy(edge: DataFrame, side: str, threshold: int, extra: tuple[str, ...] = (
     return edge.groupBy(*extra, f"{side}_bank", f"{side}_account").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
 
 
-def pairs(edge: DataFrame, threshold: int, pruned: bool = True, exclude_cycles: bool = False, extra: tuple[str, ...] = (), salts: int = 1) -> DataFrame:
+def split_bridges(first: DataFrame, second: DataFrame, via: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Both hops with ``_salt``: a bridge whose sources times sinks exceed ``most`` is dealt out to as many tasks as that takes, the others to one.
+
+    The sources of such a bridge are dealt out and its sinks sent to each part, so what is sent grows with the sinks alone.
+    """
+    counts = lambda df, name: df.groupBy(*via).agg(F.count("*").alias(name))
+    met = counts(first, "_sources").join(counts(second, "_sinks"), via).where(F.col("_sources") * F.col("_sinks") > most)
+    parts = F.least(F.ceil(F.col("_sources") * F.col("_sinks") / most), F.col("_sources")).cast("int")
+    hot = met.select(*via, parts.alias("_parts"))
+    salted = lambda df: df.join(hot, via, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = salted(first).withColumn("_salt", F.pmod(F.xxhash64("from_bank", "from_account"), F.col("_parts").cast("long")).cast("int"))
+    sent = salted(second).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return dealt.drop("_parts"), sent.drop("_parts")
+
+
+def pairs(edge: DataFrame, threshold: int, pruned: bool = True, exclude_cycles: bool = False, extra: tuple[str, ...] = (), salts: int = 1, most_met: int | None = None) -> DataFrame:
     """Pairs of accounts joined by ``threshold`` or more bridges, with their number ``n``.
 
     A pair with so many bridges has a source with as many partners and a sink with as
     many: pruning by that first loses nothing, and keeps hubs from multiplying. Where single
-    bridges have very many sources, ``salts`` deals these out to as many tasks, and sends the bridge's sinks to each.
+    bridges have very many sources, ``salts`` deals these out to as many tasks, and sends the bridge's sinks to each;
+    ``most_met`` does so for the bridges alone that would give more pairs than this, as counted.
     """
     first, second = edge, edge
     if pruned:
@@ -33,7 +49,9 @@ def pairs(edge: DataFrame, threshold: int, pruned: bool = True, exclude_cycles:
     if salts > 1:
         first = first.withColumn("_salt", F.pmod(F.xxhash64("from_bank", "from_account"), F.lit(salts)).cast("int"))
         second = second.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = first.join(second, [*extra, "via_bank", "via_account", *(["_salt"] if salts > 1 else [])])
+    elif most_met is not None:
+        first, second = split_bridges(first, second, [*extra, "via_bank", "via_account"], most_met)
+    met = first.join(second, [*extra, "via_bank", "via_account", *(["_salt"] if salts > 1 or most_met is not None else [])])
     if exclude_cycles:
         met = met.where("from_bank <> to_bank or from_account <> to_account")
     return met.groupBy(*extra, *EDGE).agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
