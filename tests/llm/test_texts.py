@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -315,9 +316,7 @@ def brute_ids(texts):
     occurrences, total = [], Counter()
     for k, text in enumerate(texts):
         text = text or ""
-        t = words(text.lower())
-        total.update(f"b:{x} {y}" for x, y, _ in zip(t, t[1:], t[2:]))
-        total.update(f"a:{x} {y}" for x, _, y in zip(t, t[1:], t[2:]))
+        total.update(words(text.lower()))
         base = base_spans(text)
         valid = {(s, e) for s, _, _, e in base}
         gaps = {kind: [m.span() for m in re.finditer(p, text)] for kind, p in pii.PLAIN.items()} | {"id": [m.span() for m in token.finditer(text)]}
@@ -357,9 +356,10 @@ def brute_ids(texts):
         scored, err = Counter(), {}
         for (p, i), n in edges.items():
             scored[p] += n * score[i]
-        rating = {p: x / (max(own[p], total[p]) + pii.DAMP) for p, x in scored.items()}
+        chance = lambda p: 0.0 if p[0] == "m" else math.prod(total[w] for w in p[2:].split(" ")) / sum(total.values())
+        rating = {p: x / (max(own[p], chance(p)) + pii.DAMP) for p, x in scored.items()}
         for p, i in edges:
-            err[i] = err.get(i, 1.0) * max(1 - rating[p], 1e-9)
+            err[i] = err.get(i, 1.0) * (max(1 - rating[p], 1e-9) if rating[p] >= pii.FAIR else 1.0)
         score = {i: (1 - err.get(i, 1.0)) if x is None else x for i, x in fixed.items()}
     by_shape = {}
     for *_, i, _, shape in occurrences:
@@ -372,7 +372,7 @@ def brute_ids(texts):
 #: Identifiers of forms that no seed has, in contexts that seeds also have; and numbers of the same forms elsewhere.
 MEMBERS = [f"our records show member no: {k * 7919 % 100_000:05d}/{chr(97 + k % 26)} joined late" for k in range(20)]
 MEMBERS += [f"our records show member no: user{k}@mail{k}.org joined late" for k in range(40)] + [f"please reach me under 555-{k:05d} until noon" for k in range(15)]
-MEMBERS += [f"please reach me under +1 (555) 555-{k:04d} until noon" for k in range(40)] + [f"the order of {k * 7919 % 100_000:05d}/{chr(97 + k % 26)} and the rest" for k in range(25)]
+MEMBERS += [f"please reach me under +1 (555) 555-{k:04d} until noon" for k in range(40)] + [f"the order of {(k + 50) * 7919 % 100_000:05d}/{chr(97 + k % 26)} and the rest" for k in range(25)]
 MEMBERS += [f"the order of user{k}@shop.org and the rest" for k in range(6)] + ["the order of things and the rest was the order of the day"] * 60
 
 
@@ -382,8 +382,8 @@ def test_pii_discovers_forms_that_no_seed_has(spark, monkeypatch):
     ids = lambda: {r.doc_id for r in pii.find(df).collect() if any(s.kind == "id" for s in r.spans)}
     want = {k for k, t in enumerate(MEMBERS) if re.search(r"no: [0-9]{5}/|under 555-", t)}
     assert ids() == want and len(want) == 35
-    monkeypatch.setattr(pii, "context_counts", lambda docs, wanted: docs.sparkSession.createDataFrame([], "pattern string, total long"))
     monkeypatch.setattr(pii, "CONFIDENCE", 0.1)
+    monkeypatch.setattr(pii, "FAIR", 0.1)
     assert ids() > want
     monkeypatch.undo()
     monkeypatch.setattr(pii, "ROUNDS", 1)

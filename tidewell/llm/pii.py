@@ -4,10 +4,10 @@ The base patterns give e-mail addresses, IP addresses, card numbers and telephon
 after a label of ``LABELS`` (``password: ...``), are the seeds of a bootstrap. Instances are the seeds and every token of ``LEAST`` or
 more characters that holds a digit or stands in quotes after a colon or an equals sign. Patterns are contexts: the two words before; the word before and the
 word after; the word and the marks before (``member no: "``). In ``ROUNDS`` rounds over the graph of patterns and instances the score of a
-pattern becomes the share of its occurrences that score, and the score of an instance the chance that not all of its patterns err.
+pattern becomes the share of its occurrences that score, and the score of an instance the chance that not all of its patterns of ``FAIR`` or more err.
 Seeds score 1. What a base pattern matched and its check refused (a card number's digits that fail it) scores 0: it is evidence
-against its contexts. The occurrences of words' contexts are counted over all texts, also where they surround an ordinary word, so that contexts such as ``the _ of``
-come to nothing. Contexts of ``CONFIDENCE`` or more that surround ``SUPPORT`` different instances or more are kept, and every instance that
+against its contexts. A context of two words counts as occurring at least as often as chance would bring these together, given the counts of all words in all texts,
+so that contexts such as ``the _ of``, which mostly surround ordinary words, come to nothing. Contexts of ``CONFIDENCE`` or more that surround ``SUPPORT`` different instances or more are kept, and every instance that
 they surround is personal data of kind ``id``, unless it overlaps a base span. Shapes (``hex40``, ``9-9:7``: runs and the number
 of digits) only support: a context of ``FAIR`` or more counts where the shape, too, has ``CONFIDENCE``.
 
@@ -150,15 +150,17 @@ def occurrences(each: DataFrame) -> DataFrame:
 
 
 def context_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(pattern, total)``: how often all texts have each word context of ``wanted``, whatever it surrounds."""
+    """``(pattern, total)``: how often each pair of words in ``wanted`` would meet in all texts, were words independent."""
     t = F.filter(F.split(F.lower("text"), BETWEEN), lambda w: w != "")
-    df = docs.select(t.alias("_t")).where(F.size("_t") > 2)
-    rest = lambda k: F.slice("_t", F.lit(k + 1), F.size("_t") - k)
-    pair = lambda name, a, b: F.zip_with(a, b, lambda x, y: F.concat(F.lit(name), x, F.lit(" "), y))
-    before = pair("b:", F.slice("_t", F.lit(1), F.size("_t") - 2), F.slice("_t", F.lit(2), F.size("_t") - 2))
-    around = pair("a:", F.slice("_t", F.lit(1), F.size("_t") - 2), rest(2))
-    each = df.select(F.explode(F.concat(before, around)).alias("pattern"))
-    return join_small(each, wanted.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+    words = settle(docs.select(F.explode(t).alias("word")).groupBy("word").agg(F.count("*").alias("c")))
+    every = words.agg(F.sum("c")).first()[0] or 1
+    two = F.split(F.substring("pattern", 3, 1 << 20), " ")
+    pairs = settle(wanted.where("pattern not like 'm:%'").select("pattern", F.get(two, 0).alias("one"), F.get(two, 1).alias("other")))
+    need = settle(pairs.select(F.explode(F.array("one", "other")).alias("word")).distinct())
+    counts = settle(join_small(words, need, "word"))
+    both = join_small(pairs, counts.select(F.col("word").alias("one"), F.col("c").alias("c1")), "one")
+    both = join_small(both, counts.select(F.col("word").alias("other"), F.col("c").alias("c2")), "other")
+    return both.select("pattern", (F.col("c1") * F.col("c2").cast("double") / every).alias("total"))
 
 
 def good_patterns(met: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -168,7 +170,7 @@ def good_patterns(met: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
     edges = settle(edges.groupBy("pattern", "instance").agg(F.count("*").alias("n"), most("seed").alias("seed"), most("refused").alias("refused")))
     supported = settle(edges.groupBy("pattern").agg(F.count("*").alias("support"), F.sum("n").alias("own")).where(F.col("support") >= SUPPORT))
     totals = context_counts(docs, supported)
-    supported = settle(supported.join(totals, "pattern", "left").select("pattern", "support", F.greatest("own", F.coalesce("total", F.lit(0))).alias("total")))
+    supported = settle(supported.join(totals, "pattern", "left").select("pattern", "support", F.greatest(F.col("own").cast("double"), F.coalesce("total", F.lit(0.0))).alias("total")))
     edges = settle(join_small(edges, supported.select("pattern"), "pattern"))
     fixed = met.groupBy("instance").agg(most("seed").alias("seed"), most("refused").alias("refused"))
     start = F.when(F.col("seed") > 0, 1.0).when(F.col("refused") > 0, 0.0)
@@ -178,7 +180,7 @@ def good_patterns(met: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
         sums = edges.join(scores, "instance").groupBy("pattern").agg(F.sum(F.col("n") * F.col("score")).alias("scored"))
         rated = settle(sums.where("scored > 0").join(supported, "pattern").select("pattern", (F.col("scored") / (F.col("total") + DAMP)).alias("rating")))
         err = F.exp(F.sum(F.log(F.greatest(1 - F.col("rating"), F.lit(1e-9)))))
-        led = join_small(edges, rated, "pattern").groupBy("instance").agg((1 - err).alias("led"))
+        led = join_small(edges, rated.where(F.col("rating") >= FAIR), "pattern").groupBy("instance").agg((1 - err).alias("led"))
         scores = settle(fixed.join(led, "instance", "left").select("instance", F.coalesce("fixed", "led", F.lit(0.0)).alias("score")))
     forms = met.join(scores, "instance").groupBy("shape").agg((F.sum("score") / (F.count("*") + DAMP)).alias("rating"), F.count_distinct("instance").alias("support"))
     shapes = forms.where((F.col("rating") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("shape")
