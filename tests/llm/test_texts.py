@@ -128,6 +128,28 @@ def test_suffixes_remove_what_repeats(spark, docs, monkeypatch, hot, many):
     assert sorted(str(tuple(r)) for r in got) == brute_removal(rows)
 
 
+def test_suffixes_exchange_no_common_gram(spark, monkeypatch):
+    """Where one passage stands in every document, the rows of one gram stay below ``HOT``, however many documents there are."""
+    monkeypatch.setattr(suffixes, "HOT", 40)
+    monkeypatch.setattr(suffixes, "SLICE_BYTES", 2_000)
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(250))
+    for size in (200, 800):
+        rows = [(k, "".join(rng.choice("abcdefgh ") for _ in range(120)) + passage) for k in range(size)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        dealt, _ = suffixes._dealt(df)
+        most = lambda common: dealt.select("text", "slice").mapInArrow(suffixes._count_grams(common), "gram long, slice int, n int").groupBy("gram").count().agg({"count": "max"}).first()[0]
+        common = suffixes.common_grams(dealt)
+        assert len(common) and most(common) <= 40 < most(common[:0])
+        monkeypatch.setattr(suffixes, "COMMON", 2)  # the rest goes the other way
+        assert len(suffixes.common_grams(dealt)) == 2
+        if size == 200:
+            assert sorted(str(tuple(r)) for r in suffixes.without_repeats(df).collect()) == brute_removal(rows)
+        monkeypatch.undo()
+        monkeypatch.setattr(suffixes, "HOT", 40)
+        monkeypatch.setattr(suffixes, "SLICE_BYTES", 2_000)
+
+
 def test_suffixes_compare_left_contexts_by_bytes(monkeypatch):
     """The same spans if all left contexts hash alike."""
     rng = np.random.default_rng(1)

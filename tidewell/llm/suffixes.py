@@ -28,7 +28,10 @@ the partitions merge these. The result is the same.
 
 Where a gram occurs over ``HOT`` times, each of its windows is sent as a suffix of its own
 to a partition that depends on the whole window, so that no task gathers a common line's
-every context.
+every context. Most such grams are found by a pass of its own, in which each task counts what is frequent in its part in
+bounded memory and the counts are added up by gram. They are told to all slices (``COMMON`` of them at most, 8 bytes each) and their occurrences
+are not exchanged at all. That pass chooses the way only: grams that it misses, or that are beyond the most frequent
+``COMMON``, are counted by the exchange like all others, and the result is the same.
 
 Defined cases: null and short texts lose nothing; null ids come last (with the largest possible id); of rows that agree in
 id and text the later ones are copies; ids that agree with different texts are ordered by
@@ -52,6 +55,8 @@ LENGTH = 100
 GRAM = 40
 SPAN = LENGTH - GRAM + 1  # grams in a window
 HOT = 50_000
+COMMON = 1 << 20  # frequent grams that are told to all slices; what a task holds of them
+SELDOM = 4  # occurrences in a task from which on it reports a gram as frequent
 SLICE_BYTES, PARTITION_BYTES = 8 << 20, 4 << 20
 MANY_RUNS = 1 << 20
 _PLACE = np.uint64((1 << 31) - 1)
@@ -137,33 +142,90 @@ def _laid(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(each), np.uint8), np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(gram, slice, n)`` of the anchors in each batch, sent a megabyte or so of text at a time."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 1000):
-            part = batch.slice(k, 1000)
-            data, ends = _laid(part.column("text"))
-            hashes, at, _, _ = anchors_by_piece(data, ends)
-            slices = part.column("slice").to_numpy(zero_copy_only=False)[np.searchsorted(ends, at, "right")]
-            order = np.lexsort((slices, hashes))
-            hashes, slices = hashes[order], slices[order]
-            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), (hashes[1:] != hashes[:-1]) | (slices[1:] != slices[:-1]))))
-            n = np.diff(np.append(first, len(order)))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(slices[first].astype(np.int32)), pa.array(n.astype(np.int32))], names=["gram", "slice", "n"])
+def _added(hashes: list[np.ndarray], counts: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts added up by hash, the ``most`` largest of them."""
+    hashes, counts = np.concatenate(hashes), np.concatenate(counts)
+    order = np.argsort(hashes, kind="stable")
+    hashes, counts = hashes[order], counts[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
+    hashes, counts = hashes[first], np.add.reduceat(counts, first) if len(first) else counts
+    if len(hashes) > most:
+        keep = np.argpartition(counts, -most)[-most:]
+        hashes, counts = hashes[keep], counts[keep]
+    return hashes, counts
+
+
+def _frequent(most: int, least: int):
+    """Count the grams of a part, holding ``most`` of them between batches; report those with ``least`` or more."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts, new = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                found = anchors_by_piece(*_laid(batch.slice(k, 1000).column("text")))[0]
+                some, n = np.unique(found, return_counts=True)
+                hashes.append(some)
+                counts.append(n.astype(np.int64))
+                new += len(some)
+                if new >= most:
+                    summed = _added(hashes, counts, most)
+                    hashes, counts, new = [summed[0]], [summed[1]], 0
+        gram, n = _added(hashes, counts, most)
+        keep = n >= least
+        yield pa.RecordBatch.from_arrays([pa.array(gram[keep].view(np.int64)), pa.array(n[keep])], names=["gram", "n"])
+
+    return count
+
+
+def common_grams(dealt: DataFrame) -> np.ndarray:
+    """Hashes, sorted, of the grams that are known to occur over ``HOT`` times: the ``COMMON`` most frequent, if more."""
+    counts = dealt.select("text").mapInArrow(_frequent(COMMON, SELDOM), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") > HOT).orderBy(F.desc("n"), "gram").limit(COMMON).select("gram").toArrow()
+    return np.sort(found.column("gram").to_numpy().view(np.uint64))
+
+
+def _is_in(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes are among the sorted ones."""
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else np.zeros(len(hashes), bool)
+
+
+def _count_grams(common: np.ndarray):
+    """``(gram, slice, n)`` of the anchors in each batch, sent a megabyte or so of text at a time, without the common grams."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                data, ends = _laid(part.column("text"))
+                hashes, at, _, _ = anchors_by_piece(data, ends)
+                rest = ~_is_in(common, hashes)
+                hashes, at = hashes[rest], at[rest]
+                slices = part.column("slice").to_numpy(zero_copy_only=False)[np.searchsorted(ends, at, "right")]
+                order = np.lexsort((slices, hashes))
+                hashes, slices = hashes[order], slices[order]
+                first = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), (hashes[1:] != hashes[:-1]) | (slices[1:] != slices[:-1]))))
+                n = np.diff(np.append(first, len(order)))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(slices[first].astype(np.int32)), pa.array(n.astype(np.int32))], names=["gram", "slice", "n"])
+
+    return count
+
+
+def _recurring(hot: int):
+    """``(slice, gram, hot)`` of the grams that occur twice or more in the partition."""
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches), pa.schema([("gram", pa.int64()), ("slice", pa.int32()), ("n", pa.int32())]))
+        if not held.num_rows:
+            return
+        gram, slices, n = (held.column(c).to_numpy() for c in ("gram", "slice", "n"))
+        order = np.argsort(gram, kind="stable")
+        gram, slices, n = gram[order], slices[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(gram))))
+        keep = total > 1
+        yield pa.RecordBatch.from_arrays([pa.array(slices[keep]), pa.array(gram[keep]), pa.array(total[keep] > hot)], names=["slice", "gram", "hot"])
 
-def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(slice, gram, hot)`` of the grams that occur twice or more in the partition."""
-    held = pa.Table.from_batches(list(batches), pa.schema([("gram", pa.int64()), ("slice", pa.int32()), ("n", pa.int32())]))
-    if not held.num_rows:
-        return
-    gram, slices, n = (held.column(c).to_numpy() for c in ("gram", "slice", "n"))
-    order = np.argsort(gram, kind="stable")
-    gram, slices, n = gram[order], slices[order], n[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-    total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(gram))))
-    keep = total > 1
-    yield pa.RecordBatch.from_arrays([pa.array(slices[keep]), pa.array(gram[keep]), pa.array(total[keep] > HOT)], names=["slice", "gram", "hot"])
+    return find
 
 
 def _shared(rows: list[bytes]) -> np.ndarray:
@@ -178,9 +240,9 @@ def _shared(rows: list[bytes]) -> np.ndarray:
     return out
 
 
-def _bundles(parts: int, width: int, slices: int):
+def _bundles(parts: int, common: np.ndarray, width: int, slices: int):
     """A slice's runs, those for ``width`` partitions in a row; slices in groups of ``slices``."""
-    sort = _runs(parts)
+    sort = _runs(parts, common)
 
     def run(docs: pa.Table, grams: pa.Table) -> pa.Table:
         made = sort(docs, grams)
@@ -196,18 +258,18 @@ def _bundles(parts: int, width: int, slices: int):
     return run
 
 
-def _runs(parts: int):
+def _runs(parts: int, common: np.ndarray):
     """Sort a slice's suffixes into front-coded runs, one for each partition of the exchange."""
 
     def sort(docs: pa.Table, grams: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if docs.num_rows and grams.num_rows:
+        if docs.num_rows and (grams.num_rows or len(common)):
             docs = _first_of_each(docs)
             data, ends = _laid(docs.column("text"))
             hashes, at, first, last = anchors_by_piece(data, ends)
-            known = grams.column("gram").to_numpy().view(np.uint64)
+            known = np.append(grams.column("gram").to_numpy().view(np.uint64), common)
             order = np.argsort(known)
-            known, hot = known[order], grams.column("hot").to_numpy()[order]
+            known, hot = known[order], np.append(grams.column("hot").to_numpy(), np.ones(len(common), bool))[order]
             found = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             take = np.flatnonzero(known[found] == hashes)
             doc = np.searchsorted(ends, at[take], "right")
@@ -536,13 +598,15 @@ def _dealt(docs: DataFrame) -> tuple[DataFrame, int]:
 def repeated_spans(dealt: DataFrame, total: int) -> DataFrame:
     """``(slice, doc_id, text_key, start, end)``: spans in which every byte is to go; they may overlap."""
     parts = max(1, total // PARTITION_BYTES)
-    grams = dealt.select("text", "slice").mapInArrow(_count_grams, "gram long, slice int, n int").repartition(parts, "gram").mapInArrow(_recurring, "slice int, gram long, hot boolean")
+    common = common_grams(dealt)
+    counts = dealt.select("text", "slice").mapInArrow(_count_grams(common), "gram long, slice int, n int")
+    grams = counts.repartition(parts, "gram").mapInArrow(_recurring(HOT), "slice int, gram long, hot boolean")
     by_slice = dealt.groupBy("slice").cogroup(grams.groupBy("slice"))
     slices = max(1, total // SLICE_BYTES)
     if slices * parts <= MANY_RUNS:
-        runs = by_slice.applyInArrow(_runs(parts), RUN)
+        runs = by_slice.applyInArrow(_runs(parts, common), RUN)
     else:
-        bundles = by_slice.applyInArrow(_bundles(parts, 1 + isqrt(parts), 1 + isqrt(slices)), BUNDLE)
+        bundles = by_slice.applyInArrow(_bundles(parts, common, 1 + isqrt(parts), 1 + isqrt(slices)), BUNDLE)
         runs = bundles.groupBy("slices", "parts").applyInArrow(_merge_bundles, RUN)
     return runs.groupBy("part").applyInArrow(_merge, SPANS)
 
