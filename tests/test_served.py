@@ -2,11 +2,13 @@
 
 import shutil
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell import __main__ as command
+from tidewell import catalog
 from tidewell import catalog_served as served
 from tidewell.functions.ids import derived_id, source_id
 from tidewell.operators import graph
@@ -215,6 +217,20 @@ def test_bad_rows_lie_aside(spark, csv):
         counts.reconcile("x", 3, {"good": 2})
 
 
+def test_files_to_stage_grow_in_number_not_in_size(spark, monkeypatch):
+    """Lines that cannot be taken are written by the tasks that make them, not by one; each file has its header."""
+    d = "/root/testdata/sf0.001"
+    n, made = served.tx(spark, d).count(), served.tx(spark, d).repartition(5)
+    monkeypatch.setattr(catalog, "FILE_ROWS", 50, raising=False)
+    monkeypatch.setattr(served, "tx", lambda *_: made)
+    path = served._with_bad_rows(spark, d)
+    held = [f.read_text().splitlines() for f in Path(path).glob("*.csv")]
+    assert all(lines[0] == HEADER for lines in held) and max(map(len, held)) < 100 < n
+    assert len([lines for lines in held if any(x == "too,few,columns" or "abc" in x for x in lines)]) > 1
+    of = staging.stage(spark, path, served.scratch(spark, "staged"))
+    assert of.counts["good"] == n and min(of.counts.values()) > 0 and of.counts["read"] == sum(map(len, held)) - len(held)
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -19,6 +19,8 @@ from tidewell.streaming import runs
 P = SAMPLE
 LOWER = replace(P, threshold=3)
 EDGE = ", ".join(graph.EDGE)
+#: Rows of a file that is sent as a stream or read as CSV, about; more rows make more files.
+FILE_ROWS = 1 << 20
 
 TX = """tx AS (
   SELECT strftime(e.ts, '%Y/%m/%d %H:%M') AS timestamp, CAST(cf.c_nationkey AS VARCHAR) AS from_bank, CAST(e.user_id AS VARCHAR) AS from_account,
@@ -104,6 +106,12 @@ def _tenants(spark, d):
     return five.q1(tx(spark, d).withColumn("client_id", both), replace(P, tenant_cols=("client_id",)))
 
 
+def dealt(df: DataFrame, parts: int = 4) -> tuple[DataFrame, int]:
+    """``df`` in ``parts`` partitions, or more where one would hold over ``FILE_ROWS``; and how many make up a part."""
+    times = max(1, -(-df.count() // (parts * FILE_ROWS)))
+    return df.repartition(parts * times, *df.columns), times  # by columns: by turns, all rows of a task would be sorted
+
+
 def _as_csv(spark, d) -> str:
     """Transactions in a folder of CSV files."""
     path = scratch(spark, "csv")
@@ -111,7 +119,7 @@ def _as_csv(spark, d) -> str:
         "timestamp", "from_bank", "from_account", "to_bank", "to_account", F.col("amount_paid").alias("amount_received"),
         F.col("payment_currency").alias("receiving_currency"), "amount_paid", "payment_currency", "payment_format", F.lit("0").alias("is_laundering"),
     )
-    full.repartition(4).write.option("header", True).csv(path)
+    dealt(full)[0].write.option("header", True).csv(path)
     return path
 
 

@@ -102,9 +102,8 @@ def _with_bad_rows(s: SparkSession, d: str) -> str:
     turn = F.round(F.col("amount_paid") * 100).cast("long") % 40
     own = F.col("from_account")
     made = F.when(turn == 0, F.lit("too,few,columns")).when(turn == 1, line(F.lit("abc"), own, "0")).when(turn == 2, line(F.lit("1.5"), own, "maybe")).when(turn == 3, line(F.lit("1.5"), F.lit(""), "1"))
-    header = s.createDataFrame([(0, ",".join(t.TRANSACTIONS.fieldNames()))], "at int, value string")
-    lines = tx(s, d).select(F.lit(1).alias("at"), made.alias("value")).where("value is not null")
-    header.union(lines).coalesce(1).sortWithinPartitions("at").select("value").write.mode("append").text(path)
+    lines = tx(s, d).select(made.alias(",".join(t.TRANSACTIONS.fieldNames()))).dropna()  # the column's name is each file's first line
+    lines.write.mode("append").options(header=True, sep="\u0001", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return path
 
 
