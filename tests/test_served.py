@@ -87,6 +87,15 @@ def test_fourth_analysis_joins_changes_only(spark, tmp_path):
     assert sizes == [1, 1, 0, 0]
 
 
+def test_streams_grow_in_files_not_in_batches(spark, monkeypatch):
+    """More rows make more files of the same size; a batch takes several, and all rows arrive."""
+    monkeypatch.setattr(catalog, "FILE_ROWS", 50, raising=False)
+    stream, sizes = served.as_stream(spark.range(1000).withColumn("odd", F.col("id") % 2)), []
+    folder = served.scratch(spark, "state")
+    stream.writeStream.foreachBatch(lambda df, _: sizes.append([r.n for r in df.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()])).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
+    assert [len(x) for x in sizes] == [5] * 4 and sum(map(sum, sizes)) == 1000 and max(map(max, sizes)) < 100
+
+
 def marked(spark, *marks):
     return spark.createDataFrame([(c, f"{c}{kind}", kind, n) for c, kind, n in marks], "client_id string, msg_id string, kind string, expected long")
 

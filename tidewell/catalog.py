@@ -112,20 +112,21 @@ def dealt(df: DataFrame, parts: int = 4) -> tuple[DataFrame, int]:
     return df.repartition(parts * times, *df.columns), times  # by columns: by turns, all rows of a task would be sorted
 
 
-def _as_csv(spark, d) -> str:
-    """Transactions in a folder of CSV files."""
+def _as_csv(spark, d) -> tuple[str, int]:
+    """Transactions in a folder of CSV files, and how many of these make up a quarter."""
     path = scratch(spark, "csv")
     full = tx(spark, d).select(
         "timestamp", "from_bank", "from_account", "to_bank", "to_account", F.col("amount_paid").alias("amount_received"),
         F.col("payment_currency").alias("receiving_currency"), "amount_paid", "payment_currency", "payment_format", F.lit("0").alias("is_laundering"),
     )
-    dealt(full)[0].write.option("header", True).csv(path)
-    return path
+    sent, files = dealt(full)
+    sent.write.option("header", True).csv(path)
+    return path, files
 
 
 def _csv_round(spark, d):
     """Transactions written as CSV and read again with the strict reader."""
-    return t.read_transactions(spark, _as_csv(spark, d))
+    return t.read_transactions(spark, _as_csv(spark, d)[0])
 
 
 def _ingested(spark, d, what: str):
@@ -137,7 +138,8 @@ def _ingested(spark, d, what: str):
     runs.ingest(sent, "a", f"{out}/accounts", f"{state}/accounts")
     if what == "accounts":
         return runs.ingested(spark, f"{out}/accounts", sent).select("bank_name", "bank_id")
-    sent = t.stream_transactions(spark, _as_csv(spark, d), files_per_trigger=2)
+    csv, files = _as_csv(spark, d)
+    sent = t.stream_transactions(spark, csv, files_per_trigger=2 * files)
     runs.ingest(sent, "a", f"{out}/tx", f"{state}/tx")
     got = runs.ingested(spark, f"{out}/tx", sent)
     if what == "q2":
@@ -152,8 +154,9 @@ def _streamed(spark, d, kind: str):
     batch = tx(spark, d)
     if kind == "again":  # numbered once, as the client sends them
         batch = batch.withColumn("seq", F.monotonically_increasing_id())
-    batch.repartition(4).write.mode("overwrite").parquet(folder)
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    sent, files = dealt(batch)
+    sent.write.mode("overwrite").parquet(folder)
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 2 * files).parquet(folder)
     if kind == "q1":
         runs.drain(runs.q1(stream, P), out, state)
     elif kind == "q2":

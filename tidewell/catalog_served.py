@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.catalog import CONVERTED, DAILY_SQL, ENDS, LOWER, NAMES, Q1, Q2, Q3, Q5, RATES_SQL, P, _as_csv, _edges, _written, pairs_sql, sql, tx
+from tidewell.catalog import CONVERTED, DAILY_SQL, ENDS, LOWER, NAMES, Q1, Q2, Q3, Q5, RATES_SQL, P, _as_csv, _edges, _written, dealt, pairs_sql, sql, tx
 from tidewell.functions.ids import TRANSACTIONS, derived_id, source_id, stage_id
 from tidewell.functions.scalars import written_date
 from tidewell.operators import graph, joins, rows
@@ -22,10 +22,11 @@ from tidewell.streaming import bridges, clients, delivery, names
 
 
 def as_stream(df: DataFrame, parts: int = 4, per_batch: int = 1) -> DataFrame:
-    """``df`` as a stream over Parquet files."""
+    """``df`` as a stream over Parquet files: ``per_batch`` of ``parts`` at a time, each of as many files as its rows need."""
     folder = scratch(df.sparkSession, "in")
-    df.repartition(parts).write.parquet(folder)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(folder)
+    sent, files = dealt(df, parts)
+    sent.write.parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch * files).parquet(folder)
 
 
 def numbered(df: DataFrame, client: str = "a") -> DataFrame:
@@ -97,7 +98,7 @@ def _q2_any_order(s: SparkSession, d: str) -> DataFrame:
 
 def _with_bad_rows(s: SparkSession, d: str) -> str:
     """The CSV files of the transactions, and lines of four kinds that cannot be taken, chosen by the cents of the amount."""
-    path = _as_csv(s, d)
+    path = _as_csv(s, d)[0]
     line = lambda amount, account, flag: F.concat_ws(",", F.col("timestamp"), F.col("from_bank"), account, F.col("to_bank"), F.col("to_account"), amount, F.lit("Euro"), amount, F.lit("Euro"), F.lit("Wire"), F.lit(flag))
     turn = F.round(F.col("amount_paid") * 100).cast("long") % 40
     own = F.col("from_account")
