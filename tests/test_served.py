@@ -195,6 +195,20 @@ def test_names_may_come_late(spark, tmp_path, order):
     assert bag(names.named(spark, f"{tmp_path}/out").select("msg_id", "bank_name")) == ["('m1', 'alpha')", "('m2', 'gamma')", "('m3', 'alpha')"]
 
 
+def test_named_transactions_lie_on_disk_once(spark, tmp_path):
+    """Neither a state of all transactions nor a copy of them for each name; a message that comes twice is named once."""
+    sides = {"tx": ([(f"m{k % 40}", str(k % 5)) for k in range(50)], "msg_id string, from_bank string"), "names": ([(str(b), f"{n}{b}") for b in range(4) for n in "cab"], "bank_id string, bank_name string")}
+    for side, (made, kind) in sides.items():
+        spark.createDataFrame(made, kind).repartition(3).write.parquet(f"{tmp_path}/{side}")
+    streams = [spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{side}") for side, (_, kind) in sides.items()]
+    for _ in range(2):
+        names.follow(*streams, f"{tmp_path}/out", f"{tmp_path}/state")
+    assert not list((tmp_path / "state").rglob("*.delta"))
+    kept = [spark.read.parquet(str(f)) for f in (tmp_path / "out").rglob("*.parquet")]
+    assert sum(df.count() for df in kept if "msg_id" in df.columns) == 50
+    assert sorted(map(tuple, names.named(spark, f"{tmp_path}/out").collect())) == sorted((f"m{k}", str(k % 5), f"a{k % 5}") for k in range(40) if k % 5 < 4)
+
+
 HEADER = ",".join(tables.TRANSACTIONS.fieldNames())
 LINES = {
     None: ["2022/09/02 10:00,007,a,2,b,1.5,Euro,12.5,US Dollar,Wire,0", "2022/09/12 10:00,7,a,2,b,1.5,Euro,0.01,US Dollar,Wire,TRUE", '2022/09/02 10:00,7,"x, ""y""",2,b,1.5,Euro,3.5,Euro,ACH,1'],

@@ -1,8 +1,9 @@
-"""Transactions and accounts that arrive in any order: a join of two streams.
+"""Transactions and accounts that arrive in any order: each stream goes to a log of its own, and the logs are joined where they are read.
 
-Both sides stay in Spark's state, so a transaction finds names that came before it and names that come after. A bank may
-have several names, which may also come one after the other: each makes a row, and ``named``
-takes the least of those that arrived, whatever their order.
+So a transaction finds names that came before it and names that come after, and nothing of either stream is held in executors'
+memory: without a bound on how late a name may come, a join of the streams themselves would keep every transaction in its state, by bank,
+and write it once for each name. A bank may have several names, which may also come one after the other: ``named`` takes the least of
+those that arrived, whatever their order.
 """
 
 from __future__ import annotations
@@ -13,19 +14,15 @@ from pyspark.sql import functions as F
 from tidewell.streaming.runs import drain
 
 
-def with_every_name(tx: DataFrame, accounts: DataFrame) -> DataFrame:
-    """``tx`` (with ``msg_id``) with each name of its source bank; both are streams."""
-    names = accounts.select(F.col("bank_id").alias("_bank"), "bank_name").dropDuplicates(["_bank", "bank_name"])
-    return tx.join(names, tx.from_bank == names["_bank"]).drop("_bank")
-
-
 def follow(tx: DataFrame, accounts: DataFrame, folder: str, checkpoint: str) -> None:
-    drain(with_every_name(tx, accounts), folder, checkpoint)
+    """Take in all that is there of both streams, each row exactly once; ``tx`` has ``msg_id``."""
+    drain(accounts.select("bank_id", "bank_name"), f"{folder}/names", f"{checkpoint}/names")
+    drain(tx, f"{folder}/tx", f"{checkpoint}/tx")
 
 
 def named(spark: SparkSession, folder: str) -> DataFrame:
-    """Each transaction once, with the least name of its bank so far."""
-    rows = spark.read.parquet(folder)
-    keys = [c for c in ("client_id", "msg_id") if c in rows.columns]
-    own = [c for c in rows.columns if c not in (*keys, "bank_name")]
-    return rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in own], F.min("bank_name").alias("bank_name")).select(*rows.columns)
+    """Each transaction once, with the least name of its bank so far; those of banks without a name are not there yet."""
+    tx = spark.read.parquet(f"{folder}/tx")
+    names = spark.read.parquet(f"{folder}/names").groupBy(F.col("bank_id").alias("_bank")).agg(F.min("bank_name").alias("bank_name"))
+    keys = [c for c in ("client_id", "msg_id") if c in tx.columns]
+    return tx.join(names, tx.from_bank == names["_bank"]).drop("_bank").dropDuplicates(keys)
